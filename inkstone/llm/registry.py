@@ -2,12 +2,23 @@
 
 from __future__ import annotations
 
-from inkstone.llm import minhash
+from inkstone.llm import decontaminate, embeddings, html, language, minhash, mixing, quality, secrets, toxicity
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (minhash.op1_minhash_near_dedup,)}
+    found = (
+        minhash.op1_minhash_near_dedup,
+        decontaminate.op2_benchmark_decontamination,
+        html.op3_html_extraction,
+        mixing.op4_source_mixing,
+        secrets.op5_secret_scan,
+        quality.op6_quality_classifier,
+        embeddings.op7_embedding_near_dedup,
+        language.op8_language_id,
+        toxicity.op10_toxicity,
+    )
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_benchmark_decontamination": decontaminate.OP2_SQL}
