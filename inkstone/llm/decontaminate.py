@@ -33,14 +33,18 @@ def words(text: str) -> Column:
 
 def seeds(df: DataFrame, key: str, text: str, place: str) -> DataFrame:
     """(key, place, seed): the hashes of every mask at every word."""
-    hashed = df.select(F.col(key), F.transform(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}]+"), lambda w: F.xxhash64(w)).alias("_h"))
-    # A leading separator gives an empty first word, which is no word.
-    hashed = hashed.select(key, F.when(F.get("_h", F.lit(0)) == F.xxhash64(F.lit("")), F.slice("_h", 2, F.size("_h"))).otherwise(F.col("_h")).alias("_h"))
-    hashed = hashed.where(F.size("_h") >= SPAN)
+    # No filter on the words' number: pushed below the projection it would compute them again.
+    hashed = df.select(F.col(key), F.transform(words(text), lambda w: F.xxhash64(w)).alias("_h"))
+    n = F.size("_h") - (SPAN - 1)
     at = lambda i, k: F.get("_h", i + k if k else i)
-    each = F.transform(F.sequence(F.lit(0), F.size("_h") - SPAN), lambda i: F.array(*(F.xxhash64(F.lit(m), *(at(i, k) for k in mask)) for m, mask in enumerate(MASKS))))
-    found = hashed.select(key, F.posexplode(F.flatten(each)).alias("_p", "seed"))
-    return found.select(key, (F.col("_p") / len(MASKS)).cast("int").alias(place), "seed")
+
+    def seed(p: Column) -> Column:
+        i = F.shiftright(p, 1)
+        first, second = (F.xxhash64(F.lit(m), *(at(i, k) for k in mask)) for m, mask in enumerate(MASKS))
+        return F.when(p.bitwiseAND(1) == 0, first).otherwise(second)
+
+    each = F.when(n > 0, F.transform(F.sequence(F.lit(0), 2 * n - 1), seed))
+    return hashed.select(key, F.posexplode(each).alias("_p", "seed")).select(key, F.shiftright("_p", 1).alias(place), "seed")
 
 
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
