@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkstone.llm import decontaminate, embeddings, html, language, minhash, mixing, quality, secrets, toxicity
+from inkstone.llm import decontaminate, embeddings, html, language, minhash, mixing, packing, quality, secrets, toxicity
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         quality.op6_quality_classifier,
         embeddings.op7_embedding_near_dedup,
         language.op8_language_id,
+        packing.op9_token_packing,
         toxicity.op10_toxicity,
     )
     return {f.__name__: f for f in found}
