@@ -1,9 +1,421 @@
-"""Queries over the driver's tables, and their SQL."""
+"""Queries over the driver's tables, one for each operator or family, and their DuckDB SQL.
+
+documents stand for catalog entries and books, pages for raw files, events for behavioural
+data, conversations for chats; rules for Chinese text run over the fixtures below.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from inkstone.functions import text as T
+from inkstone.operators import behaviour, catalog, enrich, footnotes, paginate, parse, report, retrieve, search
+from inkstone.sources import tables
+
+BASE = "https://example.org"
+
+#: (book_id, title, lines): what each rule of the parser is for.
+BOOKS = [
+    ("f1", "三洞珠囊", ["三洞珠囊", "", "經名：三洞珠囊。唐王懸河編。十卷。底本出處：《正統道藏》太平部。", "", "三洞珠囊卷之一", "", "救導品", "　　《道學傳第四》云：任敦，字尚能，博昌人。永嘉中投雲陽山。", "　　又云：杜炅，字子恭，及壯識信精勤，宗事正一。"]),
+    ("f2", "靈寶領教濟度金書", ["靈寶領教濟度金書", "", "卷之一", "呪曰", "　　天地玄宗，萬炁本根。", "頌曰：", "　　身有金光，覆映吾身。", "又", "　　再誦三遍。", "武林道士褚伯秀學", "靈寶領教濟度金書卷之一竟"]),
+    ("f3", "無上黃籙大齋立成儀", ["無上黃籙大齋立成儀", "", "目錄", "宣衛靈咒", "　　琳琅振響，十方肅清。", "其二", "　　天地玄宗，萬炁本根。", "各禮師存念如法", "　　次請稱職奏請。"]),
+    ("f4", "某某經", ["某某經", "", "短句甲", "　　正文段落內容，這裏是一段經文。"]),
+    ("f5", "", [""]),
+    ("f6", "題", ["題", "三洞珠囊卷之一", "天地玄宗", "萬炁本根", "", "天地玄宗", "", "甲乙丙丁", "三洞珠囊卷之一", "戊己庚辛", "　縮排正文。"]),
+    ("f7", "三洞珠囊", ["﻿三洞珠囊\r", "三洞珠囊卷上\r", "請按東井讖#133，清潔吉日#134沐浴，見＃7。\r", "#133東井識：敦煌本作『東井記』。\r", "#6#23于：教煌本作『乎』。\r", "　　再見#6與#23。\r", "三洞珠囊卷下\r", "此處#6無注，#1有注。\r", "＃1 環珮鏘鏘：敦煌本作「玉質蠶蠻」。\r", "#1後注從此。"]),
+]
+FILES = ["正統道藏洞真部本文類-元始無量度人上品妙經-宋陳椿榮", "正统道藏太平部-三洞珠囊", "續续道藏-太上中道妙法蓮華經", "續道藏-弘道錄-明邵經邦", "续道藏-老子翼-明焦竑", "正統道藏太清部-黃帝陰符經集解-金刘处玄", "雜記", "正統道藏洞玄部威儀類-太上黃籙齋儀-前蜀杜光庭"]
+QUESTIONS = ["什么是清静无为？", "《道德經》的核心思想是什么？", "内丹与外丹有什么区别？", "内丹 外丹 符箓 斋醮 存思 坐忘", "请问如何理解坐忘论和存思", "", "hello"]
+BODIES = [
+    ("b1", '[{"event":"page_view","sessionId":"s1","bookId":"x","extra":{"ts":5}},{"event":"nope"},{"event":"search","sessionId":7}]'),
+    ("b2", '{"events":[{"event":"share","sessionId":"s2"}]}'),
+    ("b3", "[]"),
+    ("b4", "[" + ",".join('{"event":"share"}' for _ in range(51)) + "]"),
+    ("b5", '[{"event":"unknown"},3]'),
+    ("b6", "not json"),
+]
+NOW_MS = 1_780_000_000_000
+
+
+def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as catalog entries with content."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(
+        F.col("doc_id").alias("ord"),
+        F.col("doc_id").cast("string").alias("id"),
+        F.substring_index("text", "\n", 1).alias("title"),
+        F.col("lang").alias("category"),
+        F.col("source").alias("subcategory"),
+        F.when(F.col("lang") == "en", "正统道藏").otherwise("续道藏").alias("collection"),
+        F.when(F.col("lang") != "en", F.col("source")).alias("author"),
+        F.size(T.lines("text")).alias("line_count"),
+        T.preview("text").alias("preview"),
+        F.col("text").alias("content"),
+    )
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select(F.col("doc_id").cast("string").alias("book_id"), F.substring_index("text", "\n", 1).alias("title"), F.col("text").alias("source"))
+
+
+def fixture_books(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(b, t, "\n".join(x)) for b, t, x in BOOKS], "book_id string, title string, source string")
+
+
+def _blocks(spark, sf_dir):
+    return parse.parse(books(spark, sf_dir))
+
+
+def _all_blocks(spark, sf_dir):
+    return parse.parse(books(spark, sf_dir).unionByName(fixture_books(spark)))
+
+
+def _events(spark, sf_dir):
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet")
+    at = F.unix_millis(F.col("ts").cast("timestamp"))
+    name = F.when(F.col("event_type") == "click", "recommendation_click").when(F.col("event_type") == "view", "page_view").when(F.col("event_type") == "signup", "book_open").otherwise(F.col("event_type"))
+    return ev.select("event_id", name.alias("event"), F.col("user_id").cast("string").alias("user_id"), "event_type", "value", F.col("props").alias("extra_json"), at.alias("created_at"), F.col("ts").cast("timestamp").alias("ts"))
+
+
+def _overrides(blocks):
+    """A correction for the second block of every third book."""
+    rows = blocks.where((F.col("block_seq") == 1) & (F.pmod(F.crc32(F.col("book_id").cast("binary")), F.lit(3)) == 0))
+    kind = F.when(F.length("content") % 2 == 0, "paragraph").otherwise("subheading")
+    return rows.select("book_id", enrich.block_key().alias("key"), kind.alias("type"), F.when(F.length("content") % 2 == 1, 3).cast("int").alias("level"), F.lit(1).cast("long").alias("reviewed_at"))
+
+
+def _illustrations(blocks):
+    rows = blocks.where((F.col("block_seq") == 2) & (F.length("content") % 2 == 0))
+    return rows.select("book_id", enrich.block_key().alias("key"), F.lit("a.png").alias("image"), F.substring("content", 1, 5).alias("caption"), F.when(F.length("content") % 4 == 0, "after").otherwise("before").alias("position"))
+
+
+# --- catalog
+
+
+def catalog_rollup(spark, sf_dir):
+    return catalog.rollup(entries(spark, sf_dir)).select("name", "count", F.array_join("subcategories", ",").alias("subcategories"))
+
+
+def catalog_summary(spark, sf_dir):
+    return catalog.summary(entries(spark, sf_dir))
+
+
+def catalog_filter_page(spark, sf_dir):
+    return catalog.page(catalog.in_category(entries(spark, sf_dir), "en", "src1"), 1, 30, F.col("ord")).select("id", "title")
+
+
+def catalog_metadata_search(spark, sf_dir):
+    return catalog.search(entries(spark, sf_dir), ["Erst", "src1"]).select("id", "title", "author")
+
+
+def catalog_facets(spark, sf_dir):
+    rows = catalog.facets(entries(spark, sf_dir), "supplement", True, ("续藏", "科仪"), "en")
+    return catalog.page(rows, 2, 24, *catalog.order_of("lines-desc")).select("id", "line_count", F.array_join("tags", ",").alias("tags"))
+
+
+def tag_counts(spark, sf_dir):
+    return catalog.tag_counts(entries(spark, sf_dir))
+
+
+def tag_rules(spark, sf_dir):
+    rows = spark.createDataFrame([(f,) for f in FILES], "filename string").select("filename", catalog.parse_name(F.col("filename")).alias("p")).select("filename", "p.*")
+    return catalog.with_tags(rows).select("filename", F.array_join("tags", ",").alias("tags"))
+
+
+def parse_names(spark, sf_dir):
+    rows = spark.createDataFrame([(f,) for f in FILES], "filename string")
+    strict = rows.select("filename", catalog.parse_name(F.col("filename")).alias("p")).select("filename", "p.*")
+    lenient = rows.select("filename", catalog.parse_name(F.col("filename"), True)["category"].alias("lenient_category"))
+    return strict.join(lenient, "filename")
+
+
+def size_labels(spark, sf_dir):
+    rows = entries(spark, sf_dir).select(catalog.size_label(F.col("line_count") * 20).alias("label"))
+    return rows.groupBy("label").agg(F.count("*").alias("n"))
+
+
+def entry_profile(spark, sf_dir):
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return pages.select("page_id", T.stable_id("url").alias("id"), F.octet_length("html").alias("size"), F.size(T.lines("html")).alias("line_count"), T.preview("html").alias("preview"))
+
+
+def adjacent_entries(spark, sf_dir):
+    return catalog.adjacent(entries(spark, sf_dir))
+
+
+def related_entries(spark, sf_dir):
+    return catalog.related(entries(spark, sf_dir))
+
+
+def title_picks(spark, sf_dir):
+    return catalog.picks(entries(spark, sf_dir), ["Erst", "Tion", "zzzz", "les", "der "])
+
+
+def daily_pick(spark, sf_dir):
+    return catalog.daily_pick(entries(spark, sf_dir), NOW_MS).select("id", "title")
+
+
+def sitemap(spark, sf_dir):
+    return tables.sitemap(entries(spark, sf_dir), BASE)
+
+
+# --- search
+
+
+def fulltext_search(spark, sf_dir):
+    return search.search(entries(spark, sf_dir), ["eron", "thth"], 1, 20).select("id", "title", "matched_term", "match_count", "snippet", "title_hit")
+
+
+def fulltext_hits(spark, sf_dir):
+    return search.hits(entries(spark, sf_dir), ["ción", "ung"]).select("id", "matched_term", "pos", "match_count", "snippet", "title_hit")
+
+
+def fulltext_total(spark, sf_dir):
+    return search.total(entries(spark, sf_dir), ["ción", "ung"])
+
+
+def in_book_search(spark, sf_dir):
+    return search.in_book(_blocks(spark, sf_dir), "7", "on").select("block_id", "snippet")
+
+
+def highlight_pieces(spark, sf_dir):
+    rows = entries(spark, sf_dir).select("id", search.highlight(F.col("title"), "on").alias("p"))
+    return rows.select("id", F.size("p").alias("pieces"), F.array_join("p", "[on]").alias("marked"))
+
+
+def visible_text(spark, sf_dir):
+    return search.visible_text(_blocks(spark, sf_dir))
+
+
+def whole_text(spark, sf_dir):
+    return search.whole_text(_blocks(spark, sf_dir)).select("book_id", F.md5("text").alias("md5"), F.length("text").alias("chars"))
+
+
+def concept_terms(spark, sf_dir):
+    rows = spark.createDataFrame([(i, q) for i, q in enumerate(QUESTIONS)], "id int, q string")
+    return rows.select("id", F.array_join(retrieve.titles(F.col("q")), ",").alias("titles"), F.array_join(retrieve.concepts(F.col("q")), ",").alias("concepts"))
+
+
+# --- parsing
+
+
+def parse_blocks(spark, sf_dir):
+    return _blocks(spark, sf_dir)
+
+
+def parse_fixtures(spark, sf_dir):
+    return parse.parse(fixture_books(spark))
+
+
+def parse_toc(spark, sf_dir):
+    return parse.table_of_contents(_all_blocks(spark, sf_dir))
+
+
+def parse_stats(spark, sf_dir):
+    every = books(spark, sf_dir).unionByName(fixture_books(spark))
+    return parse.statistics(every, parse.parse(every))
+
+
+def overrides_applied(spark, sf_dir):
+    blocks = _all_blocks(spark, sf_dir)
+    return enrich.apply_overrides(blocks, _overrides(blocks)).select("book_id", "block_id", "type", "level", "confidence", "parser")
+
+
+def review_queue(spark, sf_dir):
+    blocks = _all_blocks(spark, sf_dir)
+    return enrich.review_queue(blocks, _overrides(blocks))
+
+
+def reviewed_books(spark, sf_dir):
+    return enrich.reviewed_books(_overrides(_all_blocks(spark, sf_dir)), entries(spark, sf_dir))
+
+
+def illustration_injection(spark, sf_dir):
+    blocks = _all_blocks(spark, sf_dir)
+    return enrich.inject_illustrations(blocks, _illustrations(blocks)).select("book_id", "block_seq", "block_id", "type", "content", "confidence", "parser")
+
+
+# --- pages
+
+
+def page_of_block(spark, sf_dir):
+    return paginate.assign_pages(_all_blocks(spark, sf_dir)).select("book_id", "block_id", "page_index")
+
+
+def paginate_books(spark, sf_dir):
+    every = books(spark, sf_dir).unionByName(fixture_books(spark))
+    rows = paginate.pages(every, parse.parse(every))
+    return rows.select("book_id", "page_index", "start_block", "end_block", F.size("block_ids").alias("n_blocks"), "char_count")
+
+
+def volume_carry(spark, sf_dir):
+    blocks = _all_blocks(spark, sf_dir)
+    return paginate.with_volume(blocks, parse.table_of_contents(blocks)).select("book_id", "block_id", "volume_block_id", "volume_title")
+
+
+def toc_parent(spark, sf_dir):
+    return paginate.toc_parents(parse.table_of_contents(_all_blocks(spark, sf_dir)))
+
+
+def toc_pages(spark, sf_dir):
+    blocks = _all_blocks(spark, sf_dir)
+    return paginate.enrich_toc(parse.table_of_contents(blocks), paginate.assign_pages(blocks)).select("book_id", "block_id", "level", "page_index", "page_id")
+
+
+def active_toc(spark, sf_dir):
+    every = books(spark, sf_dir).unionByName(fixture_books(spark))
+    blocks = parse.parse(every)
+    return paginate.active_item(paginate.pages(every, blocks), parse.table_of_contents(blocks))
+
+
+def page_fetch(spark, sf_dir):
+    every = books(spark, sf_dir)
+    blocks = parse.parse(every)
+    asks = every.select(F.concat(F.lit("r"), "book_id").alias("request_id"), "book_id", (F.length("book_id") * 2 - 3).alias("page_num"), F.when(F.col("book_id").endswith("5"), F.lit("x")).alias("volume"))
+    return paginate.fetch_page(blocks, paginate.pages(every, blocks), paginate.with_volume(blocks, parse.table_of_contents(blocks)), asks)
+
+
+def scroll_pages(spark, sf_dir):
+    ev = _events(spark, sf_dir)
+    total = F.pmod(F.col("event_id"), F.lit(9)).cast("int")
+    return ev.select("event_id", paginate.page_from_scroll(F.col("value") / 100, total).alias("page_index"))
+
+
+# --- footnotes
+
+
+def _scoped(spark):
+    return footnotes.with_scope(parse.parse(fixture_books(spark)))
+
+
+def footnote_refs(spark, sf_dir):
+    return footnotes.references(_scoped(spark))
+
+
+def footnote_definitions(spark, sf_dir):
+    return footnotes.index(_scoped(spark))
+
+
+def footnote_resolve(spark, sf_dir):
+    return footnotes.resolve(_scoped(spark)).select("book_id", "scope", "block_id", "num", "def_block_id")
+
+
+def footnote_orphans(spark, sf_dir):
+    return footnotes.orphans(_scoped(spark)).select("book_id", "block_id", "num")
+
+
+# --- report
+
+
+def quality_by_type(spark, sf_dir):
+    return report.by_type(_all_blocks(spark, sf_dir))
+
+
+def low_conf_shapes(spark, sf_dir):
+    return report.shapes(_all_blocks(spark, sf_dir))
+
+
+def worst_documents(spark, sf_dir):
+    return report.worst_books(_all_blocks(spark, sf_dir))
+
+
+def quality_totals(spark, sf_dir):
+    return report.totals(_all_blocks(spark, sf_dir))
+
+
+# --- behaviour
+
+
+def event_batches(spark, sf_dir):
+    rows = spark.createDataFrame([(i, b, "u1", "agent " * 40, 1) for i, b in BODIES], "batch_id string, body string, user_id string, user_agent string, created_at long")
+    return behaviour.expand_batches(rows).select("batch_id", "event", "session_id", "book_id", F.length("platform").alias("platform_chars"))
+
+
+def events_valid(spark, sf_dir):
+    return behaviour.known_events(_events(spark, sf_dir)).select("event_id", "event", "user_id")
+
+
+def event_daily_counts(spark, sf_dir):
+    return behaviour.daily_counts(_events(spark, sf_dir))
+
+
+def quota_decisions(spark, sf_dir):
+    calls = _events(spark, sf_dir).select(F.col("event_id").alias("call_id"), F.col("user_id").alias("key"), F.col("ts").alias("at"))
+    return behaviour.quota_decisions(calls, F.lit(behaviour.GUEST_LIMIT)).select("call_id", "key", "day", "used", "allowed", "remaining")
+
+
+def quota_counts(spark, sf_dir):
+    return behaviour.quota_counts(_events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("ts").alias("at")))
+
+
+def quota_keys(spark, sf_dir):
+    rows = _events(spark, sf_dir)
+    session = F.when(F.col("event_id") % 3 == 0, F.col("event")).when(F.col("event_id") % 3 == 1, "anonymous")
+    return rows.select("event_id", behaviour.quota_key(F.when(F.col("event_id") % 5 == 0, F.col("user_id")), session, F.col("extra_json")).alias("key"))
+
+
+def progress_latest(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("user_id", F.col("event").alias("book_id"), F.col("extra_json").alias("data_json"), F.col("created_at").alias("updated_at"))
+    return behaviour.latest_progress(rows)
+
+
+def reading_duration_running(spark, sf_dir):
+    rows = _events(spark, sf_dir).select(F.col("event_id").alias("visit_id"), "user_id", F.col("event").alias("book_id"), F.col("created_at").alias("at"), F.floor(F.coalesce("value", F.lit(0.0)) * 10).cast("long").alias("duration_ms"))
+    return behaviour.running_duration(rows).select("visit_id", "total_ms")
+
+
+def resume_links(spark, sf_dir):
+    n = F.col("event_id")
+    rows = _events(spark, sf_dir).select(
+        "event_id",
+        F.col("user_id").alias("book_id"),
+        F.when(n % 3 > 0, n % 7 - 1).alias("page_index"),
+        F.when(n % 2 == 0, F.concat(F.lit("b/"), n.cast("string"))).alias("volume_block_id"),
+        F.when(n % 4 > 0, F.lit("blk")).alias("block_id"),
+        F.when(n % 5 > 0, n % 11).alias("total_pages"),
+        (n % 1000 / 1000).alias("scroll_progress"),
+    )
+    return rows.select("event_id", behaviour.resume_link().alias("href"), behaviour.progress_label().alias("label"))
+
+
+def job_patch_state(spark, sf_dir):
+    n = F.col("event_id")
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("job_id"), F.col("created_at").alias("at"), n.alias("patch_id"), F.when(n % 2 == 0, F.col("event")).alias("status"), F.when(n % 7 == 0, F.lit("failed")).alias("error"), F.when(n % 3 == 0, F.concat(F.lit("/i/"), n.cast("string"))).alias("image_url"))
+    return behaviour.job_state(rows)
+
+
+def recent_items(spark, sf_dir):
+    rows = _events(spark, sf_dir).select("user_id", F.col("event_id").alias("item_id"), "created_at")
+    return behaviour.recent(rows, "user_id", "created_at", 3).select("user_id", "item_id", "rank")
+
+
+def chat_last10(spark, sf_dir):
+    return behaviour.last_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet"), 3).select("conv_id", "turn", "role", "text")
+
+
+def ring_neighbours(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet").select(F.col("n_regionkey").alias("list_id"), F.col("n_name").alias("track_id"), F.col("n_nationkey").alias("place"))
+    return behaviour.ring_neighbours(n)
 
 
 def queries() -> dict:
-    return {}
+    found = (
+        catalog_rollup, catalog_summary, catalog_filter_page, catalog_metadata_search, catalog_facets, tag_counts, tag_rules,
+        parse_names, size_labels, entry_profile, adjacent_entries, related_entries, title_picks, daily_pick, sitemap,
+        fulltext_search, fulltext_hits, fulltext_total, in_book_search, highlight_pieces, visible_text, whole_text,
+        concept_terms, parse_blocks, parse_fixtures, parse_toc, parse_stats, overrides_applied, review_queue, reviewed_books,
+        illustration_injection, page_of_block, paginate_books, volume_carry, toc_parent, toc_pages, active_toc, page_fetch,
+        scroll_pages, footnote_refs, footnote_definitions, footnote_resolve, footnote_orphans, quality_by_type,
+        low_conf_shapes, worst_documents, quality_totals, event_batches, events_valid, event_daily_counts, quota_decisions,
+        quota_counts, quota_keys, progress_latest, reading_duration_running, resume_links, job_patch_state, recent_items,
+        chat_last10, ring_neighbours,
+    )
+    return {f.__name__: f for f in found}
+
 
+def oracle_sql() -> dict[str, str]:
+    from inkstone.oracle import SQL
 
-def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
