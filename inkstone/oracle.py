@@ -225,8 +225,8 @@ SELECT event_id, CASE WHEN u IS NOT NULL THEN 'user:' || u WHEN coalesce(session
     "resume_links": f"""WITH {_EV}, p AS (SELECT event_id AS n, user_id AS book_id, CASE WHEN event_id % 3 > 0 THEN event_id % 7 - 1 END AS page_index, CASE WHEN event_id % 2 = 0 THEN 'b%2F' || event_id END AS vol, CASE WHEN event_id % 4 > 0 THEN 'blk' END AS blk, CASE WHEN event_id % 5 > 0 THEN event_id % 11 END AS total FROM ev)
 SELECT n AS event_id, '/text/' || book_id || CASE WHEN page_index >= 0 THEN '?page=' || (page_index + 1) || coalesce('&volume=' || vol, '') WHEN blk IS NOT NULL THEN '#' || blk ELSE '' END AS href,
  CASE WHEN page_index IS NOT NULL AND coalesce(total, 0) <> 0 THEN '第 ' || (page_index + 1) || '/' || total || ' 页' ELSE floor(n % 1000 / 1000 * 100 + 0.5)::BIGINT || '%' END AS label FROM p""",
-    "job_patch_state": f"""WITH {_EV}, p AS (SELECT user_id AS job_id, created_at AS at, event_id AS patch_id, CASE WHEN event_id % 2 = 0 THEN event END AS status, CASE WHEN event_id % 7 = 0 THEN 'failed' END AS error, CASE WHEN event_id % 3 = 0 THEN '/i/' || event_id END AS image_url FROM ev)
-SELECT job_id, arg_max(status, {{'a': at, 'p': patch_id}}) FILTER (status IS NOT NULL) AS status, arg_max(error, {{'a': at, 'p': patch_id}}) FILTER (error IS NOT NULL) AS error, arg_max(image_url, {{'a': at, 'p': patch_id}}) FILTER (image_url IS NOT NULL) AS image_url, max(at) AS updated_at FROM p GROUP BY job_id""",
+    "job_patch_state": f"""WITH {_EV}, p AS (SELECT user_id AS job_id, created_at AS seen, event_id AS patch_id, CASE WHEN event_id % 2 = 0 THEN event END AS status, CASE WHEN event_id % 7 = 0 THEN 'failed' END AS error, CASE WHEN event_id % 3 = 0 THEN '/i/' || event_id END AS image_url FROM ev)
+SELECT job_id, arg_max(status, {{'a': seen, 'p': patch_id}}) FILTER (status IS NOT NULL) AS status, arg_max(error, {{'a': seen, 'p': patch_id}}) FILTER (error IS NOT NULL) AS error, arg_max(image_url, {{'a': seen, 'p': patch_id}}) FILTER (image_url IS NOT NULL) AS image_url, max(seen) AS updated_at FROM p GROUP BY job_id""",
     "recent_items": f"WITH {_EV} SELECT user_id, event_id AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, event_id)::INT AS rank FROM ev QUALIFY rank <= 3",
     "chat_last10": "SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
     "ring_neighbours": "SELECT n_regionkey AS list_id, n_name AS track_id, coalesce(lag(n_name) OVER w, last_value(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS prev_id, coalesce(lead(n_name) OVER w, first_value(n_name) OVER w) AS next_id FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)",
