@@ -53,7 +53,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -
     """cells with the weight that gives the weighted tokens the target marginals, scaled to the corpus's tokens.
 
     targets: by dimension, the share of each value (scaled to a sum of 1 over the values
-    that occur; values left out get none).  Targets that no weights meet, because too many
+    that occur; values left out get none, and where none is wanted all weights are 0).
+    Targets that no weights meet, because too many
     cells are empty, are met as closely as ROUNDS rounds bring them.
     """
     over = {d: Window.partitionBy(d) for d in DIMENSIONS}
@@ -70,7 +71,8 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -
             for value, share in sorted(given.items()):
                 want = F.when(F.col(d) == value, float(share)).otherwise(want)
             each = each.withColumn("want", want)
-        sums[d] = each.select(d, (F.col("want") / F.sum("want").over(Window.partitionBy("_all")) * total).alias(f"_{d}"))
+        part = F.try_divide("want", F.sum("want").over(Window.partitionBy("_all")))
+        sums[d] = each.select(d, (F.coalesce(part, F.lit(0.0)) * total).alias(f"_{d}"))
     state = cells.withColumn("weight", F.lit(1.0))
     for d in DIMENSIONS:
         state = state.join(sums[d], d)
@@ -102,7 +104,7 @@ def weighted(docs: DataFrame, targets=None, doc_id: str = "doc_id", text: str =
     cells = settle(cells_of(docs, text, dims))
     raked = settle(rake(cells, targets))
     most = raked.agg(F.max("weight").alias("_most"))
-    raked = raked.join(F.broadcast(most)).select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.col("weight").alias("_weight"), (F.col("weight") / F.col("_most")).alias("_probability"))
+    raked = raked.join(F.broadcast(most)).select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.col("weight").alias("_weight"), F.coalesce(F.try_divide("weight", "_most"), F.lit(0.0)).alias("_probability"))
     if raked.count() <= BROADCAST:
         raked = F.broadcast(raked)
     rows = docs.withColumns({f"_{d}": F.coalesce(c.cast("string"), F.lit(NONE)) for d, c in dims.items()} | {"_tokens": n_tokens(text)})
