@@ -54,25 +54,24 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -
 
     targets: by dimension, the share of each value (scaled to a sum of 1 over the values
     that occur; values left out get none, and where none is wanted all weights are 0).
-    Targets that no weights meet, because too many
-    cells are empty, are met as closely as ROUNDS rounds bring them.
+    Targets that no weights meet, because too many cells are empty, are met as closely as
+    ROUNDS rounds bring them.  Only single sums and the largest deviation reach the driver.
     """
     over = {d: Window.partitionBy(d) for d in DIMENSIONS}
-    total = F.sum("tokens").over(Window.partitionBy("_all"))
-    start = cells.withColumn("_all", F.lit(1))
+    total = float(cells.agg(F.sum("tokens")).head()[0] or 0)
     sums = {}
     for d in DIMENSIONS:
-        each = start.groupBy(d, "_all").agg(F.sum("tokens").cast("double").alias("tokens")).withColumn("share", F.col("tokens") / total)
+        each = cells.groupBy(d).agg((F.sum("tokens") / total).alias("share"))
         given = (targets or {}).get(d)
         if given is None:
-            each = each.withColumn("want", F.pow("share", F.lit(FLATTEN[d])))
+            want = F.pow("share", F.lit(FLATTEN[d]))
         else:
             want = F.lit(0.0)
             for value, share in sorted(given.items()):
                 want = F.when(F.col(d) == value, float(share)).otherwise(want)
-            each = each.withColumn("want", want)
-        part = F.try_divide("want", F.sum("want").over(Window.partitionBy("_all")))
-        sums[d] = each.select(d, (F.coalesce(part, F.lit(0.0)) * total).alias(f"_{d}"))
+        each = each.select(d, want.alias("want"))
+        wanted = each.agg(F.sum("want")).head()[0] or 1.0
+        sums[d] = each.select(d, (F.col("want") * total / wanted).alias(f"_{d}"))
     state = cells.withColumn("weight", F.lit(1.0))
     for d in DIMENSIONS:
         state = state.join(sums[d], d)
@@ -103,8 +102,8 @@ def weighted(docs: DataFrame, targets=None, doc_id: str = "doc_id", text: str =
     dims = dims or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(text)}
     cells = settle(cells_of(docs, text, dims))
     raked = settle(rake(cells, targets))
-    most = raked.agg(F.max("weight").alias("_most"))
-    raked = raked.join(F.broadcast(most)).select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.col("weight").alias("_weight"), F.coalesce(F.try_divide("weight", "_most"), F.lit(0.0)).alias("_probability"))
+    most = raked.agg(F.max("weight")).head()[0] or 1.0
+    raked = raked.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.col("weight").alias("_weight"), (F.col("weight") / most).alias("_probability"))
     if raked.count() <= BROADCAST:
         raked = F.broadcast(raked)
     rows = docs.withColumns({f"_{d}": F.coalesce(c.cast("string"), F.lit(NONE)) for d, c in dims.items()} | {"_tokens": n_tokens(text)})
