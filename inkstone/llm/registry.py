@@ -22,4 +22,8 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_benchmark_decontamination": decontaminate.OP2_SQL}
+    return {
+        "op1_minhash_near_dedup": minhash.OP1_SQL,
+        "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+        "op7_embedding_near_dedup": embeddings.OP7_SQL,
+    }
