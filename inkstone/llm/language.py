@@ -25,7 +25,7 @@ from inkstone.llm.wordhash import LOWER, texts
 
 ORDER = 4
 PER_LANGUAGE = 400
-LONGEST = 200_000
+LONGEST = 50_000
 #: Bits are divided by this before they become a probability: neighbouring bytes tell much the same.
 TEMPER = 8.0
 PIECE = 1 << 18
