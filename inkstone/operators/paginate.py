@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Characters of a page from which a heading starts the next, and at which it ends anyway.
 TARGET, MOST = 1400, 2200
 
 
