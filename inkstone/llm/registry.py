@@ -25,5 +25,6 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op1_minhash_near_dedup": minhash.OP1_SQL,
         "op2_benchmark_decontamination": decontaminate.OP2_SQL,
+        "op5_secret_scan": secrets.OP5_SQL,
         "op7_embedding_near_dedup": embeddings.OP7_SQL,
     }

@@ -27,7 +27,7 @@ from inkstone.llm.wordhash import texts
 
 #: Kinds in the order in which spans at one place are listed.
 KINDS = ("assign", "access", "hex", "forge", "registry")
-#: (kind, expression, least length of its last group). All keywords of an expression are at its start.
+#: The expressions by kind, each of which begins with one of its keywords.
 _ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 _ACCESS = re.compile(r"(AKIA[A-Z0-9]+)")
 _HEX = re.compile(r"[0-9a-f]+")
@@ -158,3 +158,20 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataF
 def op5_secret_scan(spark, sf_dir: str) -> DataFrame:
     """Query: the secrets of every document."""
     return scan(table(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+_SQL_ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: The base kinds by plain expressions. Checksums are beyond it: it holds for tables without tokens that carry a valid one.
+OP5_SQL = rf"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+m AS (SELECT doc_id, text, 0 AS k, regexp_extract_all(text, '{_SQL_ASSIGN}') AS ms FROM t
+  UNION ALL SELECT doc_id, text, 1, regexp_extract_all(text, 'AKIA[A-Z0-9]+') FROM t
+  UNION ALL SELECT doc_id, text, 2, regexp_extract_all(text, '[0-9a-f]{{24,}}') FROM t),
+p AS (SELECT doc_id, text, k, ms, 1 AS i, instr(text, ms[1]) - 1 AS s FROM m WHERE len(ms) > 0
+  UNION ALL SELECT doc_id, text, k, ms, i + 1, s + length(ms[i]) + instr(substr(text, s + length(ms[i]) + 1), ms[i + 1]) - 1 FROM p WHERE i < len(ms)),
+f AS (SELECT doc_id, k, s, ['assign', 'access', 'hex'][k + 1] || ':' || s || ':' || (s + length(ms[i])) AS span FROM p
+  WHERE CASE k WHEN 0 THEN length(regexp_extract(ms[i], '{_SQL_ASSIGN}', 2)) >= 6 WHEN 1 THEN length(ms[i]) >= 20 ELSE true END),
+g AS (SELECT doc_id, count(*) FILTER (k = 0) AS a, count(*) FILTER (k = 1) AS b, count(*) FILTER (k = 2) AS c, string_agg(span, ',' ORDER BY s, k) AS spans FROM f GROUP BY doc_id)
+SELECT doc_id, coalesce(a, 0)::BIGINT AS n_assign, coalesce(b, 0)::BIGINT AS n_access, coalesce(c, 0)::BIGINT AS n_hex, sha256(coalesce(spans, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN g USING (doc_id)
+"""
