@@ -171,3 +171,35 @@ def ring_neighbours(tracks: DataFrame) -> DataFrame:
     order = Window.partitionBy("list_id").orderBy("place")
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return tracks.select("list_id", "track_id", F.coalesce(F.lag("track_id").over(order), F.last("track_id").over(whole)).alias("prev_id"), F.coalesce(F.lead("track_id").over(order), F.first("track_id").over(whole)).alias("next_id"))
+
+
+def user_by_id(users: DataFrame, user_id: str) -> DataFrame:
+    return users.where(F.col("id") == user_id)
+
+
+def progress_in(progress: DataFrame, user_id: str, book_id: str) -> DataFrame:
+    return progress.where((F.col("user_id") == user_id) & (F.col("book_id") == book_id))
+
+
+def quota_used(keys: DataFrame, counts: DataFrame, day: str) -> DataFrame:
+    """keys with the calls counted on a day, 0 where there are none."""
+    own = counts.where(F.col("day") == day).select("key", F.col("count").alias("used"))
+    return keys.join(own, "key", "left").withColumn("used", F.coalesce("used", F.lit(0)))
+
+
+def job_by_id(jobs: DataFrame, job_id: str) -> DataFrame:
+    return jobs.where(F.col("id") == job_id)
+
+
+def job_of_block(jobs: DataFrame, book_id: str, block_id: str, kind: str = "scene") -> DataFrame:
+    return jobs.where((F.col("book_id") == book_id) & (F.col("block_id") == block_id) & (F.col("type") == kind))
+
+
+def duplicates(table: DataFrame, key: list[str]) -> DataFrame:
+    """Keys that occur more than once: empty where a unique index would hold."""
+    return table.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
+
+
+def append_events(batches: DataFrame, path: str) -> None:
+    """Append the valid events of request bodies to a table."""
+    expand_batches(batches).write.mode("append").parquet(path)

@@ -71,3 +71,8 @@ def orphans(scoped: DataFrame) -> DataFrame:
 def display_type(blocks: DataFrame) -> DataFrame:
     """blocks with display: a definition is shown as a footnote whatever its type."""
     return blocks.withColumn("display", F.when(is_definition(F.col("content")), "footnote").otherwise(F.col("type")))
+
+
+def counts(scoped: DataFrame) -> DataFrame:
+    """(book_id, resolved, orphans) of the books with references."""
+    return resolve(scoped).groupBy("book_id").agg(F.count("def_block_id").alias("resolved"), F.count_if(F.col("def_block_id").isNull()).alias("orphans"))

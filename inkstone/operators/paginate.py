@@ -121,3 +121,26 @@ def fetch_page(paged: DataFrame, page_rows: DataFrame, volumes: DataFrame, reque
         F.when(ok & (F.col("page_num") < F.col("total_pages")), F.col("page_num") + 1).alias("next_page"),
         *(F.when(ok, F.col(c)).alias(c) for c in ("start_block", "end_block", "char_count", "total_pages")),
     )
+
+
+def toc_ancestors(toc: DataFrame) -> DataFrame:
+    """(book_id, block_id, path): the ids from the outermost item down to each; three levels need two look-ups."""
+    up = toc_parents(toc)
+    above = up.select("book_id", F.col("block_id").alias("parent_id"), F.col("parent_id").alias("_g"))
+    rows = up.join(above, ["book_id", "parent_id"], "left")
+    return rows.select("book_id", "block_id", F.concat_ws(">", "_g", "parent_id", "block_id").alias("path"))
+
+
+def toc_answer(toc: DataFrame, page_rows: DataFrame) -> DataFrame:
+    """(book_id, total_pages, items) of every book, without contents too."""
+    pages_of = page_rows.groupBy("book_id").agg(F.count("*").alias("total_pages"))
+    items = toc.groupBy("book_id").agg(F.count("*").alias("items"))
+    return pages_of.join(items, "book_id", "left").withColumn("items", F.coalesce("items", F.lit(0)))
+
+
+def fetch_page_at(page_rows: DataFrame, requests: DataFrame) -> DataFrame:
+    """Answers to 0-based requests (request_id, book_id, page_index): 400 below 0, 404 for an unknown book or page."""
+    totals = page_rows.groupBy("book_id").agg(F.count("*").alias("total_pages"))
+    rows = requests.join(totals, "book_id", "left").join(page_rows.select("book_id", "page_index", "start_block", "end_block"), ["book_id", "page_index"], "left")
+    status = F.when(F.coalesce(F.col("page_index") < 0, F.lit(True)), 400).when(F.col("end_block").isNull(), 404).otherwise(200)
+    return rows.select("request_id", "book_id", "page_index", status.alias("status"), "start_block", "end_block", "total_pages")

@@ -230,4 +230,16 @@ SELECT job_id, arg_max(status, {{'a': seen, 'p': patch_id}}) FILTER (status IS N
     "recent_items": f"WITH {_EV} SELECT user_id, event_id AS item_id, row_number() OVER (PARTITION BY user_id ORDER BY created_at DESC, event_id)::INT AS rank FROM ev QUALIFY rank <= 3",
     "chat_last10": "SELECT conv_id, turn, role, text FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3",
     "ring_neighbours": "SELECT n_regionkey AS list_id, n_name AS track_id, coalesce(lag(n_name) OVER w, last_value(n_name) OVER (PARTITION BY n_regionkey ORDER BY n_nationkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS prev_id, coalesce(lead(n_name) OVER w, first_value(n_name) OVER w) AS next_id FROM nation WINDOW w AS (PARTITION BY n_regionkey ORDER BY n_nationkey)",
+    "toc_ancestors": f"WITH RECURSIVE {ALL}, up AS (SELECT c.book_id, c.block_id, (SELECT arg_max(p.block_id, p.block_seq) FROM toc p WHERE p.book_id = c.book_id AND p.block_seq < c.block_seq AND p.level < c.level) AS parent FROM toc c), walk AS (SELECT book_id, block_id, parent AS next, block_id AS path FROM up UNION ALL SELECT w.book_id, w.block_id, u.parent, u.block_id || '>' || path FROM walk w JOIN up u ON u.book_id = w.book_id AND u.block_id = w.next) SELECT book_id, block_id, path FROM walk WHERE next IS NULL",
+    "toc_answers": f"WITH RECURSIVE {ALL}, {_PAGES} SELECT book_id, count(*) AS total_pages, (SELECT count(*) FROM toc t WHERE t.book_id = r.book_id) AS items FROM page_rows r GROUP BY book_id",
+    "page_fetch_at": f"WITH RECURSIVE {DOC}, {_PAGES}, asks AS (SELECT book_id, (length(book_id) - 2)::INT AS page_index FROM books) SELECT a.book_id AS request_id, a.book_id, a.page_index, CASE WHEN a.page_index < 0 THEN 400 WHEN end_block IS NULL THEN 404 ELSE 200 END::INT AS status, start_block, end_block, total_pages FROM asks a JOIN (SELECT book_id, count(*) AS total_pages FROM page_rows GROUP BY book_id) USING (book_id) LEFT JOIN page_rows r ON r.book_id = a.book_id AND r.page_index = a.page_index",
+    "footnote_counts": f"WITH {FIX}, {_NOTES} SELECT r.book_id, count(def_block_id) AS resolved, count(*) - count(def_block_id) AS orphans FROM refs r LEFT JOIN defs d ON r.book_id = d.book_id AND r.scope = d.scope AND r.num = d.num GROUP BY r.book_id",
+    "progress_of_user": f"WITH {_EV} SELECT event AS book_id, extra_json AS data_json, created_at AS updated_at FROM ev WHERE user_id = '7' QUALIFY row_number() OVER (PARTITION BY event ORDER BY created_at DESC, extra_json DESC) = 1",
+    "quota_used": "SELECT user_id::VARCHAR AS key, count(*) FILTER (strftime(ts, '%Y-%m-%d') = '2024-01-15') AS used FROM events GROUP BY user_id",
+    "job_reuse": "SELECT * FROM (VALUES ('k', 'j1', 'reuse'), ('l', 'j2', 'reject'), ('m', 'j3', 'reuse'), ('n', NULL, 'insert'), ('o', 'j4', 'reject')) v(block_id, job_id, action)",
+    "unique_insert": "SELECT n_nationkey, n_name, n_regionkey FROM nation",
+    "duplicate_keys": "SELECT n_regionkey, count(*) AS n FROM nation GROUP BY 1 HAVING count(*) > 1",
+    "catalog_sorted": f"WITH {E} SELECT id, line_count FROM e ORDER BY line_count, ord LIMIT 30 OFFSET 60",
+    "content_lookup": f"WITH {E} SELECT id, CASE WHEN category <> 'en' THEN length(content) ELSE 0 END::INT AS chars FROM e",
+    "corpus_scan": f"WITH {E} SELECT id, title, length(content)::INT AS chars FROM e WHERE category <> 'en'",
 }

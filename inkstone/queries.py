@@ -283,6 +283,22 @@ def scroll_pages(spark, sf_dir):
     return ev.select("event_id", paginate.page_from_scroll(F.col("value") / 100, total).alias("page_index"))
 
 
+def toc_ancestors(spark, sf_dir):
+    return paginate.toc_ancestors(parse.table_of_contents(_all_blocks(spark, sf_dir)))
+
+
+def toc_answers(spark, sf_dir):
+    every = books(spark, sf_dir).unionByName(fixture_books(spark))
+    blocks = parse.parse(every)
+    return paginate.toc_answer(parse.table_of_contents(blocks), paginate.pages(every, blocks))
+
+
+def page_fetch_at(spark, sf_dir):
+    every = books(spark, sf_dir)
+    asks = every.select(F.col("book_id").alias("request_id"), "book_id", (F.length("book_id") - 2).alias("page_index"))
+    return paginate.fetch_page_at(paginate.pages(every, parse.parse(every)), asks)
+
+
 # --- footnotes
 
 
@@ -306,6 +322,10 @@ def footnote_orphans(spark, sf_dir):
     return footnotes.orphans(_scoped(spark)).select("book_id", "block_id", "num")
 
 
+def footnote_counts(spark, sf_dir):
+    return footnotes.counts(_scoped(spark))
+
+
 # --- report
 
 
@@ -400,6 +420,45 @@ def ring_neighbours(spark, sf_dir):
     return behaviour.ring_neighbours(n)
 
 
+def progress_of_user(spark, sf_dir):
+    return behaviour.progress_of(progress_latest(spark, sf_dir), "7").select("book_id", "data_json", "updated_at")
+
+
+def quota_used(spark, sf_dir):
+    users = _events(spark, sf_dir).select(F.col("user_id").alias("key")).distinct()
+    return behaviour.quota_used(users, quota_counts(spark, sf_dir), "2024-01-15")
+
+
+def job_reuse(spark, sf_dir):
+    jobs = spark.createDataFrame([("j1", "b", "k", "scene", "done", "/u"), ("j2", "b", "l", "scene", "failed", None), ("j3", "b", "m", "scene", "pending", None), ("j4", "b", "o", "scene", "done", "")], "id string, book_id string, block_id string, type string, status string, image_url string")
+    asks = spark.createDataFrame([("b", x, None) for x in "klmno"], "book_id string, block_id string, type string")
+    return behaviour.job_requests(asks, jobs).select("block_id", "job_id", "action")
+
+
+def unique_insert(spark, sf_dir):
+    n = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    fresh = n.where("n_nationkey >= 5").unionByName(n.where("n_nationkey >= 5").withColumn("n_name", F.lower("n_name")))
+    return behaviour.insert_unique(n.where("n_nationkey < 10"), fresh, ["n_nationkey"], "n_name")
+
+
+def duplicate_keys(spark, sf_dir):
+    return behaviour.duplicates(spark.read.parquet(f"{sf_dir}/nation.parquet"), ["n_regionkey"])
+
+
+def catalog_sorted(spark, sf_dir):
+    return catalog.page(entries(spark, sf_dir), 3, 30, *catalog.order_of("lines-asc")).select("id", "line_count")
+
+
+def content_lookup(spark, sf_dir):
+    own = entries(spark, sf_dir)
+    return tables.content_of(own.select("id"), own.where("category <> 'en'")).select("id", F.length("content").alias("chars"))
+
+
+def corpus_scan(spark, sf_dir):
+    own = entries(spark, sf_dir)
+    return tables.corpus(own.drop("content"), own.where("category <> 'en'")).select("id", "title", F.length("content").alias("chars"))
+
+
 def queries() -> dict:
     found = (
         catalog_rollup, catalog_summary, catalog_filter_page, catalog_metadata_search, catalog_facets, tag_counts, tag_rules,
@@ -410,7 +469,8 @@ def queries() -> dict:
         scroll_pages, footnote_refs, footnote_definitions, footnote_resolve, footnote_orphans, quality_by_type,
         low_conf_shapes, worst_documents, quality_totals, event_batches, events_valid, event_daily_counts, quota_decisions,
         quota_counts, quota_keys, progress_latest, reading_duration_running, resume_links, job_patch_state, recent_items,
-        chat_last10, ring_neighbours,
+        chat_last10, ring_neighbours, toc_ancestors, toc_answers, page_fetch_at, footnote_counts, progress_of_user, quota_used,
+        job_reuse, unique_insert, duplicate_keys, catalog_sorted, content_lookup, corpus_scan,
     )
     return {f.__name__: f for f in found}
 
