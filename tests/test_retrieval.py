@@ -73,6 +73,14 @@ def test_tools(docs):
             registry.call(name, args)
 
 
+def test_standard_tools(spark, docs):
+    made = tools.standard(spark, docs, compile_books(Q.fixture_books(spark)))
+    assert [r.id for r in made.call("search_text", {"query": "清静无为"}).collect()] == ["b", "a"]
+    assert [r.id for r in made.call("search_catalog", {"query": "悟真"}).collect()] == ["c"]
+    toc, blocks = made.call("get_chapter", {"book_id": "f2"})
+    assert (toc.count(), blocks.count()) == (2, 10) and made.call("related_books", {"entry_id": "a"}).count() == 0
+
+
 def test_catalog_from_files(spark, tmp_path):
     (tmp_path / "正統道藏洞真部本文類-甲經-宋某人.txt").write_text("甲\r\n乙\n", encoding="utf-8")
     (tmp_path / "雜記.txt").write_text("x", encoding="utf-8")
