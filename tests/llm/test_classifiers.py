@@ -194,3 +194,11 @@ def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert toxicity.train(docs, none).terms == {}
+
+
+def test_very_long_texts(spark):
+    df = spark.createDataFrame([(1, "the cat and the dog " * 200_000), (2, "x" * 3_000_000)], "doc_id long, text string")
+    model = language.Model({"en": texts(pa.array(["the cat and the dog"])), "xx": texts(pa.array(["xxxx"]))})
+    assert [r.lang_pred for r in language.identify(df, model).orderBy("id").collect()] == ["en", "xx"]
+    assert [r.score for r in quality.scores(df, quality.fit(np.zeros((0, quality.WIDTH)), np.zeros(0))).collect()] == [0.5, 0.5]
+    assert np.isfinite(quality.statistics(pa.array([r.text for r in df.collect()]))).all()

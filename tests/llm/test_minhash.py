@@ -95,3 +95,9 @@ def test_span(n):
     assert links.tolist() == [[i, 0] for i in range(1, n)]
     only_new = linking.span(n, lambda i: np.arange(i + 1, n), np.arange(n) == n - 1, np.zeros(n))
     assert only_new.tolist() == []
+
+
+def test_very_long_text(spark):
+    text = " ".join(f"w{i}" for i in range(300_000))
+    df = spark.createDataFrame([(1, text), (2, text.upper()), (3, text + " end")], "doc_id long, text string")
+    assert result(minhash.near_duplicates(df)) == {1: (299_997, 1), 2: (299_997, 1), 3: (299_998, 1)}

@@ -40,3 +40,18 @@ def test_empty_documents(spark):
     for _, stage in P.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.collect() == []
+
+
+def test_nulls_and_repeats(spark, tmp_path):
+    words = " ".join(f"word{i}" for i in range(30))
+    rows = [(1, words, "en", "a", 3), (1, words, "en", "a", 3), (2, words + " more", None, None, None), (3, None, "en", "a", 0), (4, "", "en", None, 0), (None, words, "de", "b", 9), (5, words[:100], "en", "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(None, 1, 0), (1, 1, 0), (1, None, None), (3, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, None), (None, words), (2, words[:90]), (2, words[:90])], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    columns, counts = docs.columns, []
+    for _, stage in P.STAGES[:-1]:
+        docs = P.settle(stage(spark, docs, str(tmp_path)))
+        assert docs.columns == columns
+        counts.append(docs.count())
+    assert counts == sorted(counts, reverse=True)
+    assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 0
