@@ -31,7 +31,8 @@ _ATTR = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 _SPACE = re.compile(r"\s+")
 _NAME = re.compile(r"[A-Za-z0-9]+")
 
-#: Elements whose content is no text of the page; all but the last group hold raw text up to their end tag.
+#: Elements whose content, up to their end tag, is no text of the page; without an end tag only these take the rest.
+_ENDLESS = frozenset("script style title textarea iframe xmp".split())
 _RAW = frozenset("script style noscript template title textarea iframe object svg math canvas xmp noembed noframes select option button audio video".split())
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody tfoot thead tr ul".split())
 _BLANK = frozenset("br td th wbr img input".split())
@@ -146,6 +147,9 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         out.text(page[at : m.start()])
         at = m.end()
         if m[0] == "<!--":
+            if short := re.match("-?>", page[at : at + 2]):  # an empty comment
+                at += short.end()
+                continue
             end = page.find("-->", at)
             at = len(page) if end < 0 else end + 3
             continue
@@ -157,7 +161,7 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
         elif tag in _RAW and not m[3].rstrip().endswith("/"):
             low = page.lower() if low is None else low
             end = low.find(f"</{tag}", at) if len(low) == len(page) else page.find(f"</{tag}", at)
-            at = len(page) if end < 0 else end
+            at = end if end >= 0 else len(page) if tag in _ENDLESS else at
         else:
             out.start(tag, m[3])
     rest = page[at:]

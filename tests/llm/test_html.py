@@ -36,6 +36,7 @@ def test_article_parts():
 
 def test_edges(spark):
     assert [html.main_text(x) for x in (None, "", "   ", "<p>Hi.", "no markup at all", "<p>cut <b", "a < b and 2<3", "<nav>x</nav>")] == ["", "", "", "Hi.", "no markup at all", "cut", "a < b and 2<3", ""]
+    assert html.main_text("<p>a<!-->b<!--->c<!-- x -->d<button>e<p>f<script>g") == "abcde\n\nf"
     assert len(html.main_text("<p>" + "word " * 400_000)) == 5 * 400_000 - 1
     rows = [(1, None, None, "x"), (1, "u", "<p>Hi.", "x"), (1, "u", "<p>Hi.", "x"), (None, "u", "", "x")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
