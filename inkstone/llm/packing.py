@@ -145,6 +145,26 @@ def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, doc_
     return docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).mapInArrow(run, SCHEMA)
 
 
+def write(packed: DataFrame, path: str) -> None:
+    """The packed rows as a Parquet table: one binary row of the id matrix each, with its segment lengths and resets."""
+    packed.write.mode("overwrite").parquet(path)
+
+
+def read_matrix(rows: list, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Collected packed rows as arrays (ids, positions, segments), each rows x length.
+
+    positions start again at 0 with every segment; segments numbers them from 1, and both
+    are 0 in what is filled up.
+    """
+    kind = np.dtype("<u2") if not rows or len(rows[0]["ids"]) == 2 * length else np.dtype("<u4")
+    ids = np.frombuffer(b"".join(r["ids"] for r in rows), kind).reshape(-1, length)
+    positions, segments = np.zeros(ids.shape, np.int32), np.zeros(ids.shape, np.int32)
+    for i, r in enumerate(rows):
+        for k, (a, b) in enumerate(zip(r["cu_seqlens"], r["cu_seqlens"][1:]), 1):
+            positions[i, a:b], segments[i, a:b] = np.arange(b - a), k
+    return ids, positions, segments
+
+
 def op9_token_packing(spark, sf_dir: str) -> DataFrame:
     """Query: the token ids of every document in rows of 2,048."""
     return pack(table(spark, sf_dir, "documents"))

@@ -66,3 +66,16 @@ def test_edges(spark):
     twice = packing.pack(spark.createDataFrame([(None, "a b"), (7, "a b"), (7, "a b")], "doc_id long, text string")).collect()
     assert sum(r.n_segments for r in twice) == 3
     assert packing.pack(df.limit(0)).collect() == []
+
+
+def test_written_matrix(spark, tmp_path):
+    df = spark.createDataFrame([(1, "one two three"), (2, "four"), (3, "five six")], "doc_id long, text string").coalesce(1)
+    packing.write(packing.pack(df, length=16), str(tmp_path / "packed"))
+    rows = spark.read.parquet(str(tmp_path / "packed")).collect()
+    ids, positions, segments = packing.read_matrix(rows, 16)
+    assert ids.shape == positions.shape == (len(rows), 16)
+    for i, r in enumerate(rows):
+        assert [int(p) for p in np.flatnonzero((positions[i] == 0) & (segments[i] > 0))] == r.resets
+        assert (segments[i] > 0).sum() == r.n_tokens and segments[i].max() == r.n_segments
+    empty = packing.read_matrix([], 16)
+    assert empty[0].shape == (0, 16)
