@@ -26,6 +26,7 @@ from inkstone.llm.linking import Forest
 
 MISS = 1e-3
 BLOCK = 2048  # vectors of a block
+SMALL = 16  # vectors of a bucket that is compared together with others
 SEED = 11
 
 
@@ -72,6 +73,15 @@ def _hashed(bits: int, tables: int):
     return run
 
 
+def _fixed(column: pa.ChunkedArray, kind) -> np.ndarray:
+    """A column of binary values of one length as a matrix."""
+    column = column.combine_chunks()
+    column = (column if isinstance(column, pa.Array) else pa.concat_arrays(column.chunks)).cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(len(column), -1)
+
+
 def _counted(cosine: float, tables: int):
     """Per bucket and pair of blocks: (a, null, links of a) and spanning edges (a, b, null)."""
 
@@ -103,17 +113,51 @@ def _counted(cosine: float, tables: int):
                     trees.join(u, v)
                 trees.roots()
         roots = trees.roots()
-        some, moved = np.flatnonzero(links), np.flatnonzero(roots != np.arange(len(ids)))
+        moved = np.flatnonzero(roots != np.arange(len(ids)))
+        return emitted(ids, links, np.stack([ids[moved], ids[roots[moved]]], 1))
+
+    def small(rows: pa.Table, cuts: np.ndarray):
+        """All buckets of a few rows at once: one pass for each distance between two rows of a bucket."""
+        ids, copies, place = rows["id"].to_numpy(), rows["copies"].to_numpy(), rows["place"].to_numpy() >> 32
+        unit, codes = _fixed(rows["unit"], np.float64), _fixed(rows["codes"], np.uint32)
+        which = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
+        links, edges = np.zeros(len(ids), np.int64), [np.empty((0, 2), np.int64)]
+        for step in range(1, int(np.diff(cuts).max(initial=0))):
+            p = np.flatnonzero(which[:-step] == which[step:])
+            p = p[np.einsum("ij,ij->i", unit[p], unit[p + step]) >= cosine]
+            p = p[(codes[p] == codes[p + step]).argmax(1) == place[p]]
+            np.add.at(links, p, copies[p + step])
+            np.add.at(links, p + step, copies[p])
+            edges.append(np.stack([ids[p], ids[p + step]], 1))
+        return emitted(ids, links, np.concatenate(edges))
+
+    def emitted(ids: np.ndarray, links: np.ndarray, edges: np.ndarray):
+        some = np.flatnonzero(links)
         if not len(some):
             return None
         none = lambda n: pa.nulls(n, pa.int64())
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.concatenate((ids[some], ids[moved]))), pa.concat_arrays([none(len(some)), pa.array(ids[roots[moved]])]), pa.concat_arrays([pa.array(links[some]), none(len(moved))])],
+            [pa.array(np.concatenate((ids[some], edges[:, 0]))), pa.concat_arrays([none(len(some)), pa.array(edges[:, 1])]), pa.concat_arrays([pa.array(links[some]), none(len(edges))])],
             ["a", "b", "links"],
         )
 
     keys = ["label", "place", "dim", "_i", "_j"]
 
+    def whole(rows: pa.Table, cuts: np.ndarray):
+        """Buckets between cuts, all of them complete."""
+        sizes = np.diff(cuts)
+        few = (sizes <= SMALL) & (rows["_i"].to_numpy() == rows["_j"].to_numpy())[cuts[:-1]]
+        dims = rows["dim"].to_numpy()[cuts[:-1]]
+        for dim in np.unique(dims[few]):
+            own = few & (dims == dim) & (sizes > 1)
+            if own.any():
+                part = rows.filter(pa.array(np.repeat(own, sizes)))
+                if (out := small(part, np.concatenate(([0], np.cumsum(sizes[own]))))) is not None:
+                    yield out
+        for k in np.flatnonzero(~few & (sizes > 1)).tolist():
+            if (out := bucket(rows.slice(cuts[k], sizes[k]))) is not None:
+                yield out
+
     def run(batches):
         tail = None
         for batch in batches:
@@ -124,13 +168,12 @@ def _counted(cosine: float, tables: int):
                 for k in keys:
                     col = rows[k].to_numpy()
                     change[1:] |= col[1:] != col[:-1]
-                cuts = [0, *np.flatnonzero(change).tolist()]
-                for lo, hi in zip(cuts, cuts[1:]):
-                    if hi - lo > 1 and (out := bucket(rows.slice(lo, hi - lo))) is not None:
-                        yield out
+                cuts = np.concatenate(([0], np.flatnonzero(change)))
+                if len(cuts) > 1:
+                    yield from whole(rows.slice(0, cuts[-1]), cuts)
                 tail = rows.slice(cuts[-1])
-        if tail is not None and tail.num_rows > 1 and (out := bucket(tail)) is not None:
-            yield out
+        if tail is not None:
+            yield from whole(tail, np.array([0, tail.num_rows]))
 
     return run
 
