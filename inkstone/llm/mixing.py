@@ -6,6 +6,12 @@ topic, over and over until every marginal is within TOLERANCE of its target.  A
 probability is its cell's weight divided by the largest one, so the tokens expected of the
 sample have the target marginals; a hash of the id decides, alike in every run.
 
+Where that would expect less than SHARE of the wanted tokens, because a small cell has a
+large weight, the scale is set by SHARE instead.  A value that has fewer tokens than its
+target is wanted whole and the other values of its dimension share the rest in their
+proportions; raking goes on with probabilities of at most 1, so that cells that reach 1
+are kept whole and the others make up for them.
+
 Cells are a table like any other and are never collected.  They are counted: up to
 BROADCAST rows they are broadcast to the documents, beyond that the join shuffles.
 """
@@ -22,6 +28,10 @@ DIMENSIONS = ("source", "lang", "topic")
 FLATTEN = {"source": 0.5, "lang": 0.7, "topic": 0.8}
 TOLERANCE, ROUNDS, STRIDE = 1e-6, 60, 5
 BROADCAST = 100_000
+#: The least part of the wanted tokens that a sample is expected to have.
+SHARE = 0.25
+#: Factors of cells that are kept whole may grow without end; they are cut here.
+FULL = 1e9
 NONE = "(none)"
 
 
@@ -57,7 +67,6 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -
     Targets that no weights meet, because too many cells are empty, are met as closely as
     ROUNDS rounds bring them.  Only single sums and the largest deviation reach the driver.
     """
-    over = {d: Window.partitionBy(d) for d in DIMENSIONS}
     total = float(cells.agg(F.sum("tokens")).head()[0] or 0)
     sums = {}
     for d in DIMENSIONS:
@@ -75,24 +84,58 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None) -
     state = cells.withColumn("weight", F.lit(1.0))
     for d in DIMENSIONS:
         state = state.join(sums[d], d)
+    return fitted(state, F.col("weight")).select(*DIMENSIONS, "tokens", "weight")
+
+
+def fitted(state: DataFrame, part: Column, most: float = float("inf")) -> DataFrame:
+    """state with the weight, at most `most`, whose part, times tokens, has the marginals _source, _lang and _topic."""
+    over = {d: Window.partitionBy(d) for d in DIMENSIONS}
     state = settle(state)
     for _ in range(0, ROUNDS, STRIDE):
         for _ in range(STRIDE):
             for d in DIMENSIONS:
-                now = F.sum(F.col("tokens") * F.col("weight")).over(over[d])
-                state = state.withColumn("weight", F.when(now > 0, F.col("weight") * F.col(f"_{d}") / now).otherwise(0.0))
+                now = F.sum(F.col("tokens") * part).over(over[d])
+                state = state.withColumn("weight", F.when(now > 0, F.least(F.col("weight") * F.col(f"_{d}") / now, F.lit(most))).otherwise(0.0))
         state = settle(state)
         off = []
         for d in DIMENSIONS:
-            now = state.groupBy(d).agg(F.sum(F.col("tokens") * F.col("weight")).alias("now"), F.first(f"_{d}").alias("want")).where("want > 0")
+            now = state.groupBy(d).agg(F.sum(F.col("tokens") * part).alias("now"), F.first(f"_{d}").alias("want")).where("want > 0")
             off.append(now.agg(F.max(F.abs(F.col("now") / F.col("want") - 1)).alias("off")))
         worst = off[0].unionByName(off[1]).unionByName(off[2]).agg(F.max("off")).head()[0]
         if worst is None or worst < TOLERANCE:
             break
-    return state.select(*DIMENSIONS, "tokens", "weight")
+    return state
+
+
+def filled(each: DataFrame, budget: float) -> float:
+    """The factor of want at which the sum of the smaller of have and factor * want is budget; each: (have, want) of every value."""
+    factor, n = 0.0, -1
+    while True:
+        full = F.col("have") <= F.col("want") * factor
+        have, want, now = each.agg(F.sum(F.when(full, F.col("have"))), F.sum(F.when(~full, F.col("want"))), F.count(F.when(full, 1))).head()
+        if now == n or not want:
+            return factor
+        factor, n = max(factor, (budget - (have or 0)) / want), now
+
+
+def probabilities(raked: DataFrame, share: float = SHARE) -> DataFrame:
+    """raked cells with their probability: that of the weights alone, or at share of the wanted tokens if that is more."""
+    wanted = raked.where("weight > 0")
+    most, tokens, sums = wanted.agg(F.max("weight"), F.sum("tokens"), F.sum(F.col("tokens") * F.col("weight"))).head()
+    if not most or sums / most >= share * tokens:
+        return raked.withColumn("probability", F.col("weight") / (most or 1.0))
+    budget = min(1.0, share) * tokens
+    state = wanted.withColumnRenamed("weight", "_raked").withColumn("weight", F.col("_raked") * budget / sums)
+    for d in DIMENSIONS:
+        each = settle(wanted.groupBy(d).agg(F.sum("tokens").alias("have"), F.sum(F.col("tokens") * F.col("weight")).alias("want")))
+        state = state.join(each.select(d, F.least("have", F.col("want") * filled(each, budget)).alias(f"_{d}")), d)
+    state = fitted(state, F.least("weight", F.lit(1.0)), FULL)
+    chance = F.when(F.col("weight") < 1 - 10 * TOLERANCE, F.col("weight")).otherwise(1.0)
+    cells = state.select(*DIMENSIONS, "tokens", F.col("_raked").alias("weight"), chance.alias("probability"))
+    return cells.unionByName(raked.where("weight <= 0").withColumn("probability", F.lit(0.0)))
 
 
-def weighted(docs: DataFrame, targets=None, doc_id: str = "doc_id", text: str = "text", dims: dict[str, Column] | None = None, seed: int = 17) -> DataFrame:
+def weighted(docs: DataFrame, targets=None, doc_id: str = "doc_id", text: str = "text", dims: dict[str, Column] | None = None, seed: int = 17, share: float = SHARE) -> DataFrame:
     """docs with _source, _lang, _topic, _tokens, _weight, _probability and _kept.
 
     Documents without words have weight, probability 0 and are not kept: they add nothing
@@ -102,8 +145,8 @@ def weighted(docs: DataFrame, targets=None, doc_id: str = "doc_id", text: str =
     dims = dims or {"source": F.col("source"), "lang": F.col("lang"), "topic": topic_of(text)}
     cells = settle(cells_of(docs, text, dims))
     raked = settle(rake(cells, targets))
-    most = raked.agg(F.max("weight")).head()[0] or 1.0
-    raked = raked.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.col("weight").alias("_weight"), (F.col("weight") / most).alias("_probability"))
+    raked = probabilities(raked, share)
+    raked = raked.select(*(F.col(d).alias(f"_{d}") for d in DIMENSIONS), F.col("weight").alias("_weight"), F.col("probability").alias("_probability"))
     if raked.count() <= BROADCAST:
         raked = F.broadcast(raked)
     rows = docs.withColumns({f"_{d}": F.coalesce(c.cast("string"), F.lit(NONE)) for d, c in dims.items()} | {"_tokens": n_tokens(text)})
@@ -114,9 +157,9 @@ def weighted(docs: DataFrame, targets=None, doc_id: str = "doc_id", text: str =
     return out.withColumn("_kept", chance < F.col("_probability"))
 
 
-def sample(docs: DataFrame, targets=None, doc_id: str = "doc_id", text: str = "text", dims=None, seed: int = 17) -> DataFrame:
+def sample(docs: DataFrame, targets=None, doc_id: str = "doc_id", text: str = "text", dims=None, seed: int = 17, share: float = SHARE) -> DataFrame:
     """The sampled rows of docs with their own columns."""
-    return weighted(docs, targets, doc_id, text, dims, seed).where("_kept").select(*docs.columns)
+    return weighted(docs, targets, doc_id, text, dims, seed, share).where("_kept").select(*docs.columns)
 
 
 def op4_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -82,3 +82,28 @@ def test_edges(spark, monkeypatch):
     assert none.columns == df.columns and none.collect() == []
     zero = mixing.weighted(df, {"lang": {"de": 1.0}}).collect()
     assert not any(r._kept for r in zero)
+
+
+def test_a_rare_cell_does_not_set_the_size(spark):
+    rows = [(i, "w " * 50, ["a", "b"][i % 4 == 0], ["x", "y"][i % 3 == 0]) for i in range(3000)] + [(9000, "w " * 20, "z", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    out = mixing.weighted(df).collect()
+    cells = defaultdict(int)
+    for r in out:
+        cells[r._source, r._lang, r._topic] += r._tokens
+    want = targets(cells, list(mixing.FLATTEN.values()))
+    expected = [defaultdict(float) for _ in range(2)]
+    for r in out:
+        assert 0 < r._probability <= 1
+        for d, v in enumerate((r._source, r._lang)):
+            expected[d][v] += r._probability * r._tokens
+    total = sum(cells.values())
+    for d in range(2):
+        assert sum(expected[d].values()) == pytest.approx(mixing.SHARE * total, rel=1e-4)
+    # The rare document is kept whole; the other values share the rest in the targets' proportions.
+    assert all(r._probability > 0.999 and r._kept for r in out if r.doc_id == 9000)
+    assert expected[0]["a"] / expected[0]["b"] == pytest.approx(want[0]["a"] / want[0]["b"], rel=1e-3)
+    assert expected[1]["x"] / expected[1]["y"] == pytest.approx(want[1]["x"] / want[1]["y"], rel=1e-3)
+    assert sum(r._kept for r in out) > 600
+    half = mixing.weighted(df, share=0.5).collect()
+    assert sum(r._probability * r._tokens for r in half) == pytest.approx(0.5 * total, rel=1e-4)
