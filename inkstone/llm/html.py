@@ -3,13 +3,17 @@
 A page becomes lines, one for each block of text: markup, scripts, styles, comments,
 hidden parts and the head go, inline tags vanish, block tags end a line.  Each line weighs
 the length of its text outside links; lines in menus, page headers, footers, sidebars,
-notices, adverts, forms and reader comments weigh nothing.  Where the page marks its
-article (article or main), other lines weigh nothing either, and a line of the article
-weighs as much as starts a surge, however short it is.  The weights are summed over
+notices, adverts, forms and reader comments weigh nothing.  The weights are summed over
 sliding windows of WINDOW lines.  Text starts where the sum surges to SURGE on a line that
 weighs something, and ends where it dives to nothing; the lines with weight in between
 are kept.  On a page too short for any surge all lines with weight are kept.
 
+Where the page marks an article (article or main), the text that the window sums choose
+decides whether the mark is believed: not if more of it lies outside than the article has
+(a teaser beside the story), and, for main, which a page has once, if that is also what a
+full window of surging lines holds.  A believed article is the text, all its lines however
+short; the marks of any other page are ignored.
+
 A page is read once, in time and memory proportional to its length.
 """
 
@@ -52,6 +56,8 @@ pagination pager skip copyright legal disclaimer
 """.split())
 _HEADER = frozenset(("header", "topbar"))
 _ARTICLE = frozenset(("article", "main"))
+#: How a line is marked: not at all (0), by an article, by the one main part of the page.
+_ONE, _MAIN = 1, 2
 #: Classes that name the article's own body, for which words such as "legal" or "promoted" don't count.
 _BODY = frozenset(("body", "main", "html", "article"))
 
@@ -61,19 +67,19 @@ def _attributes(source: str) -> dict[str, str]:
 
 
 class _Lines:
-    """The lines of a page: [text, text in links, outside the text, in the article]."""
+    """The lines of a page: [text, text in links, outside the text, mark of the article]."""
 
     def __init__(self):
-        self.out: list[tuple[str, int, bool, bool]] = []
+        self.out: list[tuple[str, int, bool, int]] = []
         self.parts: list[str] = []
         self.link = 0
-        #: (tag, outside the text, header, in the article) of the open elements that matter.
-        self.open: list[tuple[str, bool, bool, bool]] = []
+        #: (tag, outside the text, header, mark of the article) of the open elements that matter.
+        self.open: list[tuple[str, bool, bool, int]] = []
         self.heading = 0
         self.links = 0
 
-    def state(self) -> tuple[bool, bool, bool]:
-        return self.open[-1][1:] if self.open else (False, False, False)
+    def state(self) -> tuple[bool, bool, int]:
+        return self.open[-1][1:] if self.open else (False, False, 0)
 
     def text(self, source: str) -> None:
         if source:
@@ -115,10 +121,11 @@ class _Lines:
             mark |= (bool(words & _WORDS) and tag not in _BODY) or a.get("role", "").lower() in _ROLE
             mark |= "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
             header |= bool(words & _HEADER) and tag not in _BODY and tag not in _HEADING
-            article |= a.get("role", "").lower() in _ARTICLE or a.get("itemprop", "").lower() == "articlebody"
+            role = a.get("role", "").lower()
+            article = max(article, _MAIN if role == "main" or a.get("itemprop", "").lower() == "articlebody" else _ONE if role in _ARTICLE else 0)
             if tag in _ARTICLE and words & {"comment", "comments", "reply", "related", "ad", "sponsored", "promo"}:
                 mark = True
-        self.open.append((tag, outside or mark, header or tag == "header", article or tag in _ARTICLE))
+        self.open.append((tag, outside or mark, header or tag == "header", max(article, _MAIN if tag == "main" else _ONE if tag in _ARTICLE else 0)))
 
     def end(self, tag: str) -> None:
         if tag == "a":
@@ -139,8 +146,8 @@ class _Lines:
             self.links = 0
 
 
-def lines(page: str) -> list[tuple[str, int, bool, bool]]:
-    """(text, length in links, outside the text, in the article) of a page's blocks in order."""
+def lines(page: str) -> list[tuple[str, int, bool, int]]:
+    """(text, length in links, outside the text, mark of the article) of a page's blocks in order."""
     out, at = _Lines(), 0
     low = None
     while m := _TOKEN.search(page, at):
@@ -175,20 +182,25 @@ def lines(page: str) -> list[tuple[str, int, bool, bool]]:
 def main_text(page: str | None) -> str:
     """The main text of a page: its blocks joined by blank lines, empty if there is none."""
     found = lines(page or "")
-    marked = any(article and not outside for _, _, outside, article in found)
-    weights = []
-    for text, link, outside, article in found:
-        weight = 0 if outside or marked and not article else max(0, len(text) - link)
-        weights.append(max(weight, SURGE) if marked and article and not outside else weight)
+    weights = [0 if outside else max(0, len(text) - link) for text, link, outside, _ in found]
+    keep = chosen(weights)
+    if any(article and not outside for _, _, outside, article in found):
+        beside = sum(weights[i] for i in keep if not found[i][3])
+        own = sum(weight for weight, x in zip(weights, found) if x[3])
+        if beside <= own or beside < WINDOW * SURGE and any(article == _MAIN and not outside for _, _, outside, article in found):
+            keep = [i for i, (_, _, outside, article) in enumerate(found) if article and not outside]
+    return "\n\n".join(found[i][0] for i in keep)
+
+
+def chosen(weights: list[int]) -> list[int]:
+    """The lines between surges and dives of the window sums; without a surge all that weigh something."""
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     keep, inside = [], False
     for i, weight in enumerate(weights):
         inside = sums[i] > 0 if inside else weight > 0 and sums[i] >= SURGE
         if inside and weight:
-            keep.append(found[i][0])
-    if not keep:
-        keep = [x[0] for x, weight in zip(found, weights) if weight]
-    return "\n\n".join(keep)
+            keep.append(i)
+    return keep or [i for i, weight in enumerate(weights) if weight]
 
 
 def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -34,6 +34,19 @@ def test_article_parts():
     assert html.main_text(page) == "Title\n\nHi.\n\nOne two\n\na b"
 
 
+def test_a_teaser_is_not_the_article():
+    story = f"<div><h2>Story</h2><p>{LONG}</p><p>Short.</p><p>{LONG}</p></div>"
+    text = f"Story\n\n{LONG}\n\nShort.\n\n{LONG}"
+    menu = "<nav><a href=/>Home</a></nav><ul><li><a href=/a>One</a></li><li><a href=/b>Two</a></li></ul>"
+    assert html.main_text(f'{menu}{story}<ul><li><a href=/c>Three</a></ul><ul><li><a href=/d>Four</a><li><a href=/e>Five</a></ul><article class="card"><a href=/f>Read this too</a></article>') == text
+    assert html.main_text(f'<article class="card"><p>A teaser.</p></article>{menu}{story}') == text
+    # A mark that holds most of the text is believed: short lines stay, text beside it goes.
+    assert html.main_text(f"<div><p>{LONG}</p></div><article><h1>A</h1>{story}<p>x</p></article>") == f"A\n\n{text}\n\nx"
+    # A main part may be short beside one long line, not beside a story.
+    assert html.main_text(f"<main><p>Hi.</p></main><p>{LONG}</p>") == "Hi."
+    assert html.main_text(f"<main><p>Hi.</p></main>{menu}{menu}{story}<p>{LONG}</p>") == f"{text}\n\n{LONG}"
+
+
 def test_edges(spark):
     assert [html.main_text(x) for x in (None, "", "   ", "<p>Hi.", "no markup at all", "<p>cut <b", "a < b and 2<3", "<nav>x</nav>")] == ["", "", "", "Hi.", "no markup at all", "cut", "a < b and 2<3", ""]
     assert html.main_text("<p>a<!-->b<!--->c<!-- x -->d<button>e<p>f<script>g") == "abcde\n\nf"
