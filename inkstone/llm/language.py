@@ -9,8 +9,10 @@ distinct bytes; 8 bits below order 0).  A text goes to the language that codes i
 The trees of all languages are merged into one hash table per order, whose entries hold
 the finished code length in every language, so a byte takes one look-up in the common
 case.  The model is fitted on the driver from PER_LANGUAGE documents of each language in
-expectation (chosen by a hash of the id, texts of up to LONGEST characters); scoring
-reads whole texts of all rows, a few hundred KB at a time.
+expectation, chosen by a hash of the id.  Of a longer text a slice of LONGEST characters is
+taken, at a place that the hash gives, and where a language's sample would exceed SAMPLE
+bytes all its slices shrink alike; no text and no language is left out for its length.
+Scoring reads whole texts of all rows, a few hundred KB at a time.
 """
 
 from __future__ import annotations
@@ -26,6 +28,7 @@ from inkstone.llm.wordhash import LOWER, texts
 ORDER = 4
 PER_LANGUAGE = 400
 LONGEST = 50_000
+SAMPLE = 8_000_000
 #: Bits are divided by this before they become a probability: neighbouring bytes tell much the same.
 TEMPER = 8.0
 PIECE = 1 << 18
@@ -172,15 +175,21 @@ def train(docs: DataFrame, test_fold: tuple[int, int] | None = (4, 2), doc_id: s
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & (F.length(text) > 0))
     if test_fold:
         rows = rows.where(fold(doc_id, test_fold[0]) != test_fold[1])
-    rows = rows.where(F.length(text) <= LONGEST).select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    size = F.octet_length("text") * F.least(F.lit(1.0), LONGEST / F.length("text"))
+    counts = {r["lang"]: (r["n"], r["bytes"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()}
     if not counts:
         return None
-    rate = F.lit(0)
-    for name, n in counts.items():
-        rate = F.when(F.col("lang") == name, int((1 << 30) * min(1.0, PER_LANGUAGE / n))).otherwise(rate)
+    rate, part = F.lit(0), F.lit(1.0)
+    for name, (n, total) in counts.items():
+        share = min(1.0, PER_LANGUAGE / n)
+        rate = F.when(F.col("lang") == name, int((1 << 30) * share)).otherwise(rate)
+        part = F.when(F.col("lang") == name, min(1.0, SAMPLE / (total * share))).otherwise(part)
     # A language of few documents may lose all of them to no chance: its rate is 1.
-    found = rows.where(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 30)) < rate).select("lang", "text").orderBy("lang").toArrow()
+    found = rows.where(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 30)) < rate)
+    length = F.ceil(F.least(F.length("text"), F.lit(LONGEST)) * part).cast("int")
+    start = F.pmod(F.xxhash64("id", F.lit(9)), F.length("text") - length + 1).cast("int") + 1
+    found = found.select("lang", F.substring("text", start, length).alias("text")).orderBy("lang").toArrow()
     names = found["lang"].to_pylist()
     samples = {}
     for name in sorted(set(names)):

@@ -130,6 +130,23 @@ def test_language_edges(spark):
     assert language.identify(none, model).collect() == []
 
 
+def test_languages_of_long_texts_only(spark, monkeypatch):
+    """A language, or a whole table, of texts longer than the slice is learned from slices."""
+    rng = random.Random(3)
+    make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    rows = [(i, make("abc ", 300), "xx") for i in range(20)] + [(100 + i, make("défg ", language.LONGEST + 1 + i), "yy") for i in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for part in (docs, docs.where("lang = 'yy'")):
+        model = language.train(part, None)
+        assert model.langs == sorted({r.lang for r in part.collect()})
+        assert all(r.lang_pred == ("xx" if r.id < 100 else "yy") for r in language.identify(part, model).collect())
+    taken = []
+    monkeypatch.setattr(language, "SAMPLE", 10_000)
+    monkeypatch.setattr(language, "texts", lambda c: taken.append(c) or texts(c))
+    assert language.train(docs, None).langs == ["xx", "yy"]
+    assert [len(c) for c in taken] == [20, 4] and all(5_000 < sum(len(t.encode()) for t in c.to_pylist()) < 11_000 for c in taken)
+
+
 def test_toxicity_held_out(spark):
     truth = labels(spark, "toxic")
     rows = toxicity.op10_toxicity(spark, SF).collect()
