@@ -176,16 +176,38 @@ class Lexicon:
         return [(int(long[i]), *found[which[i]]) for i in some]
 
 
-def _quoted(raw: bytes, start: int, end: int) -> bool:
-    """Whether a span lies between quotation marks: in the text so far more opened than closed, and one closes after it."""
-    before, after = raw[max(0, start - 2000) : start].rpartition(b"\n")[2], raw[end : end + 2000].partition(b"\n")[0]
-    if before.count(b'"') % 2 and b'"' in after:
-        return True
+def _places(raw: np.ndarray, mark: str) -> np.ndarray:
+    """Where a mark stands in raw, in order."""
+    sign = mark.encode()
+    n = max(0, len(raw) - len(sign) + 1)
+    same = raw[:n] == sign[0]
+    for k in range(1, len(sign)):
+        same &= raw[k : n + k] == sign[k]
+    return np.flatnonzero(same)
+
+
+def _quoted(raw: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Whether each span lies between quotation marks of its line: in the line so far more opened than closed, and one closes after it."""
+    lines, out = _places(raw, "\n"), np.zeros(len(starts), bool)
+    if not (len(raw) and len(starts)):
+        return out
+    bounds = np.concatenate(([0], lines + 1, [len(raw) + 1]))
+    line = np.searchsorted(bounds, starts, "right") - 1
+    first, last = bounds[line], bounds[np.searchsorted(bounds, ends, "right")] - 1
+
+    def before(at):
+        """The last place in the line so far, or -1."""
+        found = np.concatenate(([-1], at))[np.searchsorted(at, starts)]
+        return np.where(found >= first, found, -1)
+
+    after = lambda at: np.searchsorted(at, last) > np.searchsorted(at, ends)
+    straight = _places(raw, '"')
+    out |= ((np.searchsorted(straight, starts) - np.searchsorted(straight, first)) % 2 == 1) & after(straight)
     for left, right in (("“", "”"), ("«", "»"), ("„", "“"), ("‘", "’")):
-        left, right = left.encode(), right.encode()
-        if before.rfind(left) > before.rfind(right) and right in after:
-            return True
-    return False
+        opens, closes = _places(raw, left), _places(raw, right)
+        if len(opens) and len(closes):
+            out |= (before(opens) > before(closes)) & after(closes)
+    return out
 
 
 def evidence(hits: list[tuple[int, float, bool]], n_words: int) -> tuple[float, float, float]:
@@ -214,9 +236,9 @@ def documents(column, lexicon: Lexicon):
         for d, h in zip(docs_of.tolist(), found):
             by.setdefault(d, []).append(h)
         for d, hs in by.items():
-            own = raw[cuts[d] : cuts[d + 1]].tobytes()
-            marks = any(q in own for q in (b'"', "“".encode(), "«".encode(), "„".encode(), "‘".encode()))
-            chances = [(i, (MISSPELT if e else EXACT) * lexicon.terms[t][1], marks and _quoted(own, int(starts[i] - cuts[d]), int(ends[i] - cuts[d]))) for i, t, e in hs]
+            spans = np.array([h[0] for h in hs])
+            quoted = _quoted(raw[cuts[d] : cuts[d + 1]], starts[spans] - cuts[d], ends[spans] - cuts[d]).tolist()
+            chances = [(i, (MISSPELT if e else EXACT) * lexicon.terms[t][1], q) for (i, t, e), q in zip(hs, quoted)]
             yield row + d, evidence(chances, int(at[d + 1] - at[d])), [(int(i - at[d]), t, e) for i, t, e in hs]
 
 

@@ -207,6 +207,27 @@ def test_quotation_lowers_a_score(spark):
     assert toxicity.scores(df.limit(0), lexicon).collect() == []
 
 
+def plain_quoted(raw, start, end):
+    """Quotation by cutting the line of a span out of the whole text."""
+    before, after = raw[:start].rpartition(b"\n")[2], raw[end:].partition(b"\n")[0]
+    pairs = [(x.encode(), y.encode()) for x, y in ("“”", "«»", "„“", "‘’")]
+    return before.count(b'"') % 2 == 1 and b'"' in after or any(before.rfind(x) > before.rfind(y) and y in after for x, y in pairs)
+
+
+def test_quotation_reads_whole_lines(spark):
+    rng = random.Random(5)
+    for n in range(300):
+        raw = "".join(rng.choice([" idiot ", " w ", '"', "“", "”", "«", "»", "„", "‘", "’", "\n", "é"]) for _ in range(rng.randrange(40))).encode()
+        at = [k for k in range(len(raw)) if raw.startswith(b"idiot", k)]
+        found = toxicity._quoted(np.frombuffer(raw, np.uint8), np.array(at, int), np.array(at, int) + 5)
+        assert found.tolist() == [plain_quoted(raw, k, k + 5) for k in at], raw
+    far, lexicon = "plain words " * 400, toxicity.Lexicon(TERMS)
+    # After a quotation that began long before; deep inside a long one.
+    rows = [f'"{far}" {far[:1200]} you idiot {far[:600]} "yes"', f'He wrote "{far} you idiot {far}" there', "you idiot", 'He wrote "idiot" there']
+    s = {r.id: r.score for r in toxicity.scores(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), lexicon).collect()}
+    assert s[0] == pytest.approx(s[2]) and s[1] == pytest.approx(s[3]) and s[1] < s[0]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
