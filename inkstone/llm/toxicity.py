@@ -35,7 +35,7 @@ TOXIC, CLEAN = 3000, 6000
 SUPPORT, DOCUMENTS, VARIETY = 6, 8, 0.6  # distinct pairs of neighbours, toxic documents, and the former by the latter
 BRANCHES = 3  # letters that follow a stem
 ODDS = 12.0  # times likelier in toxic documents
-CANDIDATES = 50_000
+TALLY = 200_000  # terms counted in memory before they go to the exchange
 FUZZY = 5
 STEM = (3, 7)
 WINDOW = 8
@@ -307,19 +307,27 @@ def train(docs: DataFrame, labels: DataFrame, test_fold: tuple[int, int] | None
 
     support = sample.where("y = 1").select("text").mapInArrow(contexts, "term string, stem boolean, around string")
     support = support.groupBy("term", "stem").agg(F.count_distinct("around").alias("n")).where(F.col("n") >= SUPPORT)
-    wide = {(r.term, r.stem): r.n for r in support.orderBy(F.desc("n"), "term", "stem").limit(CANDIDATES).collect()}
+    support = settle(support)
 
     def counts(batches):
+        out: dict[tuple[str, bool], list[int]] = {}
+
+        def rows():
+            keys = list(out)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([out[k][0] for k in keys], pa.int64()), pa.array([out[k][1] for k in keys], pa.int64())],
+                ["term", "stem", "clean", "toxic"],
+            )
+
         for batch in batches:
-            tally: dict[int, Counter] = {0: Counter(), 1: Counter()}
             labels_of = batch.column(1).to_pylist()
             for row, words in _words(batch.column(0)):
-                tally[labels_of[row]].update({t for w in set(words) if len(w) >= 3 for t in _terms(w) if t in wide})
-            keys = list(tally[0].keys() | tally[1].keys())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.bool_()), pa.array([tally[0][k] for k in keys], pa.int64()), pa.array([tally[1][k] for k in keys], pa.int64())],
-                ["term", "stem", "clean", "toxic"],
-            )
+                for t in {t for w in set(words) if len(w) >= 3 for t in _terms(w)}:
+                    out.setdefault(t, [0, 0])[int(labels_of[row])] += 1
+                if len(out) > TALLY:
+                    yield rows()
+                    out.clear()
+        yield rows()
 
     sizes = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
@@ -327,8 +335,13 @@ def train(docs: DataFrame, labels: DataFrame, test_fold: tuple[int, int] | None
         return Lexicon({})
     found = sample.mapInArrow(counts, "term string, stem boolean, clean long, toxic long").groupBy("term", "stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     odds = (F.col("toxic") / toxic) / ((F.col("clean") + 0.5) / (clean + 1))
-    rows = found.where((odds >= ODDS) & (F.col("toxic") >= DOCUMENTS)).collect()
-    terms = choose({(r.term, r.stem): (r.toxic / toxic, (r.clean + 0.5) / (clean + 1), r.clean == 0) for r in rows if wide[r.term, r.stem] >= VARIETY * r.toxic}, wide)
+    found = found.where((odds >= ODDS) & (F.col("toxic") >= DOCUMENTS)).join(support, ["term", "stem"])
+    # The letters that follow a beginning in any supported term.
+    size = F.least(F.lit(STEM[1]), F.length("term") - 1)
+    longer = support.where(F.length("term") > STEM[0]).select("term", F.explode(F.sequence(F.lit(STEM[0]), size)).alias("k"))
+    after = longer.select(F.expr("substring(term, 1, k)").alias("term"), F.expr("substring(term, k + 1, 1)").alias("next")).groupBy("term").agg(F.count_distinct("next").alias("branches"))
+    rows = found.where(F.col("n") >= VARIETY * F.col("toxic")).join(after, "term", "left").where(~F.col("stem") | (F.col("branches") >= BRANCHES)).collect()
+    terms = choose({(r.term, r.stem): (r.toxic / toxic, (r.clean + 0.5) / (clean + 1), r.clean == 0) for r in rows})
     lexicon = Lexicon(terms)
 
     def misspelt(batches):
@@ -353,19 +366,14 @@ def train(docs: DataFrame, labels: DataFrame, test_fold: tuple[int, int] | None
     return Lexicon(terms, lexicon.exceptions, fit_curve(x, y, weight))
 
 
-def choose(rates: dict[tuple[str, bool], tuple[float, float, bool]], known) -> dict[str, tuple[bool, float, bool]]:
+def choose(rates: dict[tuple[str, bool], tuple[float, float, bool]]) -> dict[str, tuple[bool, float, bool]]:
     """Terms of the lexicon, from the shares of toxic and clean documents that have each, and whether no clean one does.
 
-    A stem counts if BRANCHES letters follow it among the known (term, stem) and it reaches
+    Only stems that BRANCHES letters follow are given.  A stem counts if it reaches
     clearly more toxic documents than any one word that begins with it; of stems that extend one another the longest with the same reach stays.  Words
     under a stem go.
     """
     words = {t: r for (t, stem), r in rates.items() if not stem}
-    branches: dict[str, set[str]] = {}
-    for t, _ in known:
-        for n in range(STEM[0], min(STEM[1], len(t) - 1) + 1):
-            branches.setdefault(t[:n], set()).add(t[n])
-    rates = {k: r for k, r in rates.items() if not k[1] or len(branches.get(k[0], ())) >= BRANCHES}
     best: Counter = Counter()
     for w, (toxic, *_) in words.items():
         for n in range(STEM[0], min(STEM[1], len(w)) + 1):

@@ -228,6 +228,26 @@ def test_quotation_reads_whole_lines(spark):
     assert s[0] == pytest.approx(s[2]) and s[1] == pytest.approx(s[3]) and s[1] < s[0]
 
 
+def test_rare_abuse_among_many_common_words(spark):
+    """More than 50,000 (term, stem) pairs are commoner in toxic documents than the abuse."""
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghijklmnop") for _ in range(8)) for _ in range(15_000)]
+    rows = []
+    for y in (1, 0):
+        texts_of = [[] for _ in range(40)]
+        for w in words:
+            for k in rng.sample(range(40), 14):
+                texts_of[k].append(w)
+        for own in texts_of:
+            rng.shuffle(own)
+        for k in range(10 * y):
+            texts_of[k].insert(100, "vilest")
+        rows += [(100 * y + k, " ".join(own), y) for k, own in enumerate(texts_of)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    lexicon = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"), None)
+    assert list(lexicon.terms) == ["vilest"]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a b c")], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
