@@ -9,7 +9,9 @@ A word of a text is run as a Levenshtein automaton (states: position and errors
 down the lexicon trie.  One error is allowed in words of FUZZY letters or more, never in
 the first letter.  Most words never meet the trie: a table of the three bytes with which
 a word can begin at all, made from the same automaton, turns them away by the million.
-Misspelt forms that the clean sample itself contains are exceptions.
+Misspelt forms that the clean sample itself contains are exceptions.  Digits and signs end
+a word; words that only they join also meet the trie as one, signs as letters, at the same
+bound on errors, so that a letter replaced by a sign is found.
 
 A hit is a chance that the document is abuse; quotation marks around it lower the chance,
 other hits within WINDOW words raise it.  A document's score joins the chances of all its
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from inkstone.llm.common import fold, settle, table
 from inkstone.llm.quality import labelled, sampled
-from inkstone.llm.wordhash import LOWER, hash_words, texts, word_spans
+from inkstone.llm.wordhash import LOWER, SPACE, hash_words, texts, word_spans
 
 TOXIC, CLEAN = 3000, 6000
 SUPPORT, DOCUMENTS, VARIETY = 6, 8, 0.6  # distinct pairs of neighbours, toxic documents, and the former by the latter
@@ -144,6 +146,7 @@ class Lexicon:
     def __init__(self, terms: dict[str, tuple[bool, float, bool]], exceptions: frozenset[str] = frozenset(), curve: tuple[float, ...] | None = None):
         self.terms, self.exceptions, self.curve = terms, exceptions, curve
         self.trie, self.gate, self.cache = Trie(terms), np.packbits(gate(terms)), {}
+        self.longest = max((len(t.encode()) for t in terms), default=0)
 
     def __getstate__(self):
         return {"terms": self.terms, "exceptions": self.exceptions, "curve": self.curve}
@@ -159,10 +162,26 @@ class Lexicon:
             self.cache[word] = None if found and found[1] and word in self.exceptions else found
         return self.cache[word]
 
-    def hits(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, str, int]]:
-        """(word's index, term, errors) of the words that match."""
+    def hits(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray | None = None) -> list[tuple[int, str, int, int]]:
+        """(word's index, term, errors, end) of the words that match, and of joined words that do, at their first word; none reaches beyond a cut."""
         if not len(starts) or not self.terms:
             return []
+        out = self._found(buf, starts, ends)
+        first, last = joined(buf, starts, ends, cuts)
+        plain = np.zeros(len(starts) + 1, np.int64)
+        plain[[h[0] + 1 for h in out]] = 1
+        plain = np.cumsum(plain)
+        free = plain[last + 1] == plain[first]  # a joined word of which no part is a hit by itself
+        first, last = first[free], last[free]
+        # The longest term with one error more does not reach this far.
+        tails = np.minimum(ends[last], starts[first] + self.longest + 8)
+        for k, term, errors, end in self._found(buf, starts[first], tails):
+            word = buf[starts[first[k]] : end].tobytes().decode("utf-8", "replace")
+            if any(c < "\x80" and not c.isalpha() for c in word[: len(term)]):  # the sign stands in the term, not behind a stem
+                out.append((int(first[k]), term, errors, end))
+        return sorted(out)
+
+    def _found(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, str, int, int]]:
         long = np.flatnonzero(ends - starts >= 3)
         at = starts[long]
         three = (buf[at].astype(np.int32) << 16) | (buf[at + 1].astype(np.int32) << 8) | buf[at + 2]
@@ -173,7 +192,17 @@ class Lexicon:
         found = [self.look(buf[starts[i] : ends[i]].tobytes().decode("utf-8", "replace")) for i in long[first].tolist()]
         match = np.array([x is not None for x in found])
         some = np.flatnonzero(match[which])
-        return [(int(long[i]), *found[which[i]]) for i in some]
+        return [(int(long[i]), *found[which[i]], int(ends[long[i]])) for i in some]
+
+
+def joined(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, cuts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The first and the last word of each row of words with digits or signs but no white space and no cut between them."""
+    blank = np.concatenate(([0], np.cumsum(SPACE[buf], dtype=np.int32)))
+    gap = (blank[starts[1:]] == blank[ends[:-1]]) & (starts[1:] > ends[:-1])
+    if cuts is not None:
+        gap &= np.searchsorted(cuts, starts[1:], "right") == np.searchsorted(cuts, starts[:-1], "right")
+    edge = np.diff(np.concatenate(([False], gap, [False])).astype(np.int8))
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
 def _places(raw: np.ndarray, mark: str) -> np.ndarray:
@@ -230,16 +259,16 @@ def score_of(found: tuple[float, float, float], curve: tuple[float, ...] | None)
 def documents(column, lexicon: Lexicon):
     """(row, evidence, hits) of the documents with hits, in an Arrow string column."""
     for row, buf, raw, cuts, starts, ends, at in pieces(column):
-        found = lexicon.hits(buf, starts, ends)
+        found = lexicon.hits(buf, starts, ends, cuts)
         docs_of = np.searchsorted(at, [h[0] for h in found], "right") - 1
         by: dict[int, list] = {}
         for d, h in zip(docs_of.tolist(), found):
             by.setdefault(d, []).append(h)
         for d, hs in by.items():
             spans = np.array([h[0] for h in hs])
-            quoted = _quoted(raw[cuts[d] : cuts[d + 1]], starts[spans] - cuts[d], ends[spans] - cuts[d]).tolist()
-            chances = [(i, (MISSPELT if e else EXACT) * lexicon.terms[t][1], q) for (i, t, e), q in zip(hs, quoted)]
-            yield row + d, evidence(chances, int(at[d + 1] - at[d])), [(int(i - at[d]), t, e) for i, t, e in hs]
+            quoted = _quoted(raw[cuts[d] : cuts[d + 1]], starts[spans] - cuts[d], np.array([h[3] for h in hs]) - cuts[d]).tolist()
+            chances = [(i, (MISSPELT if e else EXACT) * lexicon.terms[t][1], q) for (i, t, e, _), q in zip(hs, quoted)]
+            yield row + d, evidence(chances, int(at[d + 1] - at[d])), [(int(i - at[d]), t, e) for i, t, e, _ in hs]
 
 
 def scores(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -347,8 +376,8 @@ def train(docs: DataFrame, labels: DataFrame, test_fold: tuple[int, int] | None
     def misspelt(batches):
         for batch in batches:
             out = set()
-            for _, buf, _, _, starts, ends, _ in pieces(batch.column(0)):
-                out.update(buf[starts[i] : ends[i]].tobytes().decode("utf-8", "replace") for i, _, e in lexicon.hits(buf, starts, ends) if e)
+            for _, buf, _, cuts, starts, ends, _ in pieces(batch.column(0)):
+                out.update(buf[starts[i] : end].tobytes().decode("utf-8", "replace") for i, _, e, end in lexicon.hits(buf, starts, ends, cuts) if e)
             yield pa.RecordBatch.from_arrays([pa.array(sorted(out), pa.string())], ["word"])
 
     innocent = sample.where("y = 0").select("text").mapInArrow(misspelt, "word string").distinct().collect()

@@ -228,6 +228,14 @@ def test_quotation_reads_whole_lines(spark):
     assert s[0] == pytest.approx(s[2]) and s[1] == pytest.approx(s[3]) and s[1] < s[0]
 
 
+def test_letters_replaced_by_digits_and_signs(spark):
+    lexicon = toxicity.Lexicon(TERMS, frozenset(["wort*less"]))
+    rows = [f"you {w} there" for w in ("id1ot", "(ID!OT),", "i-diot", "w0rthless", "st*ff", "id10t", "wort*less", "lostr4chen", "loxtra-foo", "idi ot", "id\not", "idiot-like", "a/b/idiot")]
+    rows += ["id1", "ot", "id-" + "x" * 100_000, "x" * 100 + "-y", "ab-c" * 20_000]
+    got = {r.id: r.hits for r in toxicity.scores(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1), lexicon).collect()}
+    assert [got[k] for k in range(len(rows))] == ["1:idiot:1"] * 3 + ["1:worthless:1"] + [""] * 3 + ["1:lostra:1"] + [""] * 3 + ["1:idiot:0", "3:idiot:0"] + [""] * 5
+
+
 def test_rare_abuse_among_many_common_words(spark):
     """More than 50,000 (term, stem) pairs are commoner in toxic documents than the abuse."""
     rng = random.Random(8)
