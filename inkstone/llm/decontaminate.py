@@ -6,7 +6,13 @@ Seeds of training documents are joined with seeds of benchmark items, each hit f
 alignment of one document with one item, and along each alignment the words are compared:
 a match counts 1, a substitution -PENALTY, and the best run of words is the overlap.  A
 document is contaminated by an item when the overlap reaches LEAST, or SHARE of the words
-of a shorter item.  Items shorter than a mask have no seed and match nothing.
+of a shorter item.
+
+Items shorter than a mask are met by an exact hash of their whole word sequence, those of
+FEWEST words or more; one or two words alone are no passage and match nothing.  Items whose
+bound is less than a mask's span also give a hash of every run of RUN words, which is what
+is left of them when words at an end are replaced.  The documents' runs are hashed only for
+the lengths that such items have.
 
 The benchmark's seeds are counted; up to BROADCAST rows they are broadcast, beyond that
 the join shuffles.  All words of all texts give seeds.
@@ -19,9 +25,13 @@ from pyspark.sql import functions as F
 
 from inkstone.llm.common import settle, table
 
-#: Selected positions of each mask: 1101011 and 1011101.
-MASKS = ((0, 1, 3, 5, 6), (0, 2, 3, 4, 6))
+#: Selected positions of each mask: 1101011 and 1011101 for all items; 1111110 and 0111111, which are
+#: the same runs of RUN words, only for items of up to BRIEF words: longer ones meet their bound by the first two.
+MASKS = ((0, 1, 3, 5, 6), (0, 2, 3, 4, 6), (0, 1, 2, 3, 4, 5), (1, 2, 3, 4, 5, 6))
+SPACED = 2
 SPAN = 7
+#: Words of the shortest item; words of a run, the bound of items of up to BRIEF words.
+FEWEST, RUN, BRIEF = 3, 6, 8
 PENALTY, LEAST, SHARE = 2, 10, 0.75
 BROADCAST = 1_000_000
 
@@ -32,7 +42,7 @@ def words(text: str) -> Column:
 
 
 def seeds(df: DataFrame, key: str, text: str, place: str) -> DataFrame:
-    """(key, place, seed): the hashes of every mask at every word."""
+    """(key, place, seed): the hashes of both spaced masks at every word."""
     # No filter on the words' number: pushed below the projection it would compute them again.
     hashed = df.select(F.col(key), F.transform(words(text), lambda w: F.xxhash64(w)).alias("_h"))
     n = F.size("_h") - (SPAN - 1)
@@ -40,13 +50,21 @@ def seeds(df: DataFrame, key: str, text: str, place: str) -> DataFrame:
 
     def seed(p: Column) -> Column:
         i = F.shiftright(p, 1)
-        first, second = (F.xxhash64(F.lit(m), *(at(i, k) for k in mask)) for m, mask in enumerate(MASKS))
+        first, second = (F.xxhash64(F.lit(m), *(at(i, k) for k in mask)) for m, mask in enumerate(MASKS[:SPACED]))
         return F.when(p.bitwiseAND(1) == 0, first).otherwise(second)
 
     each = F.when(n > 0, F.transform(F.sequence(F.lit(0), 2 * n - 1), seed))
     return hashed.select(key, F.posexplode(each).alias("_p", "seed")).select(key, F.shiftright("_p", 1).alias(place), "seed")
 
 
+def runs(df: DataFrame, key: str, text: str, place: str, length: int) -> DataFrame:
+    """(key, place, seed): the hashes of all runs of length words."""
+    hashed = df.select(F.col(key), F.transform(words(text), lambda w: F.xxhash64(w)).alias("_h"))
+    n = F.size("_h") - (length - 1)
+    each = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.xxhash64(F.lit(SPAN + length), *(F.get("_h", i + k) for k in range(length)))))
+    return hashed.select(key, F.posexplode(each).alias(place, "seed"))
+
+
 def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """(id, item, overlap, words): the best overlap of each contaminated document with each item.
 
@@ -55,10 +73,18 @@ def overlaps(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: st
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).where("id is not null and text is not null")
     items = items.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("item_text")).where("item is not null and item_text is not null")
-    theirs = settle(seeds(items, "item", "item_text", "j").distinct())
+    theirs = seeds(items, "item", "item_text", "j")
+    size = F.size(words("item_text"))
+    lengths = sorted(r.n for r in items.select(size.alias("n")).where(F.col("n").between(FEWEST, BRIEF)).select(F.least("n", F.lit(RUN)).alias("n")).distinct().collect())
+    for length in lengths:
+        own = items.where(size.between(RUN, BRIEF) if length == RUN else size == length)
+        theirs = theirs.unionByName(runs(own, "item", "item_text", "j", length))
+    theirs = settle(theirs.distinct())
     if theirs.count() <= BROADCAST:
         theirs = F.broadcast(theirs)
     hits = seeds(docs, "id", "text", "i").join(theirs, "seed")
+    for length in lengths:
+        hits = hits.unionByName(runs(docs, "id", "text", "i", length).join(theirs, "seed"))
     lines = settle(hits.groupBy("id", "item", (F.col("i") - F.col("j")).alias("shift")).agg(F.count("*").alias("n")))
     ours = docs.join(lines.select("id").distinct(), "id").select("id", words("text").alias("dw"))
     pairs = lines.join(ours, "id").join(items.select("item", words("item_text").alias("tw")).join(lines.select("item").distinct(), "item", "left_semi"), "item")

@@ -71,3 +71,19 @@ def test_edges(spark):
     assert kept.columns == docs.columns
     assert sorted((r.doc_id for r in kept.collect()), key=str) == [2, 3, 5, None]
     assert D.clean(docs, items.limit(0)).count() == 7 and D.clean(docs.limit(0), items).count() == 0
+
+
+def test_short_items(spark):
+    short = {n: [f"i{n}w{k}" for k in range(n)] for n in range(2, 10)}
+    items = spark.createDataFrame([(n, " ".join(w)) for n, w in short.items()], "item_id long, text string")
+    docs, want = [], set()
+    for n, w in short.items():
+        variants = [(w, n), (["x", *w[1:]], n - 1), ([*w[:-1], "x"], n - 1), (["x", *w[1:-1], "x"], n - 2), (w[1:], n - 1), (w[:1] + ["x"] + w[2:], n - 2)]
+        for v, (passage, overlap) in enumerate(variants):
+            docs += [(100 * n + 10 * v, " ".join(["a b c d", *passage, "e f g h"])), (100 * n + 10 * v + 1, " ".join(passage))]
+            # Whole below a mask's span; from there the operator's bound.
+            if n > 2 and (v == 0 or n >= D.SPAN and overlap >= -(-n * 3 // 4)):
+                want |= {(100 * n + 10 * v + k, n, overlap) for k in (0, 1)}
+    docs.append((1, "What is the capital of France? " + "z " * 20))
+    found = D.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), items.unionByName(spark.createDataFrame([(50, "what is the capital of France")], items.schema))).collect()
+    assert {(r.id, r.item, r.overlap) for r in found} == want | {(1, 50, 6)}
