@@ -302,28 +302,28 @@ def page_fetch_at(spark, sf_dir):
 # --- footnotes
 
 
-def _scoped(spark):
-    return footnotes.with_scope(parse.parse(fixture_books(spark)))
+def _scoped(spark, sf_dir):
+    return footnotes.with_scope(_all_blocks(spark, sf_dir))
 
 
 def footnote_refs(spark, sf_dir):
-    return footnotes.references(_scoped(spark))
+    return footnotes.references(_scoped(spark, sf_dir))
 
 
 def footnote_definitions(spark, sf_dir):
-    return footnotes.index(_scoped(spark))
+    return footnotes.index(_scoped(spark, sf_dir))
 
 
 def footnote_resolve(spark, sf_dir):
-    return footnotes.resolve(_scoped(spark)).select("book_id", "scope", "block_id", "num", "def_block_id")
+    return footnotes.resolve(_scoped(spark, sf_dir)).select("book_id", "scope", "block_id", "num", "def_block_id")
 
 
 def footnote_orphans(spark, sf_dir):
-    return footnotes.orphans(_scoped(spark)).select("book_id", "block_id", "num")
+    return footnotes.orphans(_scoped(spark, sf_dir)).select("book_id", "block_id", "num")
 
 
 def footnote_counts(spark, sf_dir):
-    return footnotes.counts(_scoped(spark))
+    return footnotes.counts(_scoped(spark, sf_dir))
 
 
 # --- report

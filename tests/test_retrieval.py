@@ -147,3 +147,16 @@ def test_stream_ingest(spark, tmp_path):
     running.processAllAvailable()
     running.stop()
     assert spark.sql("select sum(n) from counts").head()[0] == 3
+
+
+def test_footnotes_of_documents(spark, tmp_path):
+    from inkstone import queries
+
+    rows = [(1, "Title\nSee here#3 and there#4.\n#3 A note：what it says.\n", "en", "s", 50)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    own = lambda q: q(spark, str(tmp_path)).where("book_id = '1'").collect()
+    assert sorted(r.num for r in own(queries.footnote_refs)) == [3, 4]
+    assert [r.num for r in own(queries.footnote_definitions)] == [3]
+    assert [r.num for r in own(queries.footnote_orphans)] == [4]
+    assert [(r.resolved, r.orphans) for r in own(queries.footnote_counts)] == [(1, 1)]
+    assert len(own(queries.footnote_resolve)) == 2
