@@ -19,11 +19,22 @@ def fold(doc_id: str, n: int) -> Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % n
 
 
+def free(taken: list[str], name: str) -> str:
+    """A name for a column of one's own, like none of taken; Spark's names know no case."""
+    used = {c.lower() for c in taken}
+    name = f"_{name}"
+    while name in used:
+        name = f"_{name}"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one only where the session names none (tests, one machine)."""
+    """The folder of spark.checkpoint.dir; where the session names none, a temporary one if it is local, else an error."""
     if found := spark.conf.get("spark.checkpoint.dir", None):
         return found
     if (found := spark.sparkContext.getCheckpointDir()) is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkstone-"))
         found = spark.sparkContext.getCheckpointDir()
     return found

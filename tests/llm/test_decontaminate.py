@@ -15,7 +15,7 @@ def test_query_matches_sql(spark):
 
 
 def brute(docs, items):
-    """Pairs whose best run along any alignment, with a seed on it, reaches the bound."""
+    """Pairs whose best run along any alignment, with a seed on it, reaches the bound; for brief items the matched words count too."""
     cut = lambda t: [w for w in re.split(r"[\W_]+", (t or "").lower()) if w]
     out = set()
     for i, text in docs:
@@ -25,12 +25,14 @@ def brute(docs, items):
             for shift in range(-len(b), len(a)):
                 same = [(p + shift) in range(len(a)) and a[p + shift] == b[p] for p in range(len(b))]
                 inside = [p for p in range(len(b)) if p + shift in range(len(a))]
-                if not any(all(p + k < len(b) and same[p + k] for k in mask) and p + D.SPAN <= len(b) and p + shift >= 0 and p + shift + D.SPAN <= len(a) for p in range(len(b)) for mask in D.MASKS):
+                if not any(all(p + k < len(b) and same[p + k] for k in mask) and p + D.SPAN <= len(b) and p + shift >= 0 and p + shift + D.SPAN <= len(a) for p in range(len(b)) for mask in (D.MASKS if len(b) <= D.BRIEF else D.SPACED)):
                     continue
                 run = 0
                 for p in inside:
                     run = max(0, run + (1 if same[p] else -D.PENALTY))
                     best = max(best, run)
+                if len(b) <= D.BRIEF:
+                    best = max(best, sum(same))
             if best and best >= min(D.LEAST, -(-len(b) * 3 // 4)):
                 out.add((i, j, best))
     return out
@@ -39,7 +41,7 @@ def brute(docs, items):
 def test_substitutions(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
-    items = [(k, [word() for _ in range(rng.choice([7, 9, 15, 30]))]) for k in range(12)]
+    items = [(k, [word() for _ in range(rng.choice([7, 8, 9, 11, 15, 30]))]) for k in range(12)]
     docs = []
     for n in range(60):
         w = [word() for _ in range(rng.randrange(5, 60))]
@@ -74,16 +76,48 @@ def test_edges(spark):
 
 
 def test_short_items(spark):
-    short = {n: [f"i{n}w{k}" for k in range(n)] for n in range(2, 10)}
+    """Items of one to six words are found whole; one word replaced anywhere in seven to eleven is tolerated."""
+    short = {n: [f"i{n}w{k}" for k in range(n)] for n in range(1, 12)}
     items = spark.createDataFrame([(n, " ".join(w)) for n, w in short.items()], "item_id long, text string")
     docs, want = [], set()
     for n, w in short.items():
-        variants = [(w, n), (["x", *w[1:]], n - 1), ([*w[:-1], "x"], n - 1), (["x", *w[1:-1], "x"], n - 2), (w[1:], n - 1), (w[:1] + ["x"] + w[2:], n - 2)]
-        for v, (passage, overlap) in enumerate(variants):
-            docs += [(100 * n + 10 * v, " ".join(["a b c d", *passage, "e f g h"])), (100 * n + 10 * v + 1, " ".join(passage))]
+        passages = [(w, n), *(([*w[:k], "x", *w[k + 1 :]], n - 1) for k in range(n)), (["x", *w[1:-1], "x"], n - 2), (w[1:], n - 1)]
+        for v, (passage, matched) in enumerate(passages):
+            docs += [(1000 * n + 10 * v, " ".join(["a b c d", *passage, "e f g h"])), (1000 * n + 10 * v + 1, " ".join(passage))]
             # Whole below a mask's span; from there the operator's bound.
-            if n > 2 and (v == 0 or n >= D.SPAN and overlap >= -(-n * 3 // 4)):
-                want |= {(100 * n + 10 * v + k, n, overlap) for k in (0, 1)}
-    docs.append((1, "What is the capital of France? " + "z " * 20))
-    found = D.overlaps(spark.createDataFrame(docs, "doc_id long, text string"), items.unionByName(spark.createDataFrame([(50, "what is the capital of France")], items.schema))).collect()
-    assert {(r.id, r.item, r.overlap) for r in found} == want | {(1, 50, 6)}
+            if matched == n or n >= D.SPAN and matched >= -(-n * 3 // 4):
+                want |= {(1000 * n + 10 * v + k, n, matched) for k in (0, 1)}
+    docs.append((1, "What is the capital of France? " + "z " * 20 + "what is the capital of France"))
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    items = items.unionByName(spark.createDataFrame([(50, "what is the capital of France")], items.schema))
+    found = {(r.id, r.item, r.overlap) for r in D.overlaps(docs, items).collect()}
+    assert found == want | {(1, 50, 6)}
+    assert {(r.id, r.item, r.overlap) for r in D.overlaps(docs, items, fewest=D.FEWEST).collect()} == {x for x in found if x[1] >= D.FEWEST}
+
+
+def test_short_items_match_sql(spark, tmp_path):
+    """The query and its SQL on a benchmark of one to twelve words, whole and with a word replaced."""
+    rng = random.Random(8)
+    word = lambda: rng.choice("abcdefghijklmnopqrstuvwxyz") + rng.choice("abcdefgh")
+    items = [(k, " ".join(word() for _ in range(1 + k % 12))) for k in range(60)] + [(99, None), (100, ".,")]
+    docs = []
+    for n in range(300):
+        w = [word() for _ in range(rng.randrange(30))]
+        passage = (items[n % 60][1]).split()
+        if n % 3:
+            passage[rng.randrange(len(passage))] = "zz"
+        at = rng.randrange(len(w) + 1)
+        docs.append((n, " ".join(w[:at] + passage + w[at:]) if n % 50 else None))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    con = compare.duckdb.connect()
+    for name in ("documents", "benchmark"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = compare.spark_rows(D.op2_benchmark_decontamination(spark, str(tmp_path)))
+    assert got == compare.sql_rows(con, D.OP2_SQL) and any(True in r for r in got[1])
+
+
+def test_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "one two three four", 5, 6), (2, "x", 7, 8)], "doc_id long, text string, _bad long, _BAD_ long")
+    kept = D.clean(docs.withColumnRenamed("_BAD_", "__bad"), spark.createDataFrame([(1, "one two three four")], "item_id long, text string"))
+    assert kept.columns == ["doc_id", "text", "_bad", "__bad"] and [tuple(r) for r in kept.collect()] == [(2, "x", 7, 8)]
