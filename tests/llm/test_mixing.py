@@ -84,6 +84,30 @@ def test_edges(spark, monkeypatch):
     assert not any(r._kept for r in zero)
 
 
+def test_topics_against_plain_counts(spark):
+    """Topics by the definition, from every word of every document."""
+    texts = {r.doc_id: r for r in spark.read.parquet(f"{SF}/documents.parquet").withColumn("h", F.transform(F.filter(F.split("text", r"\s+"), lambda w: w != ""), lambda w: F.xxhash64(w))).collect()}
+    total = defaultdict(lambda: [0, 0, 0])
+    for r in texts.values():
+        for k, n in enumerate((len(r.h), sum(h & 1 for h in r.h), sum(h >> 1 & 1 for h in r.h))):
+            total[r.lang][k] += n
+    found = {r.doc_id: r for r in mixing.op4_source_mixing(spark, SF).collect()}
+    for i, r in texts.items():
+        n, one, two = total[r.lang]
+        sides = (sum(h & 1 for h in r.h) / len(r.h) > one / n, sum(h >> 1 & 1 for h in r.h) / len(r.h) > two / n)
+        assert found[i].topic == f"t{sides[0] + 2 * sides[1]}", i
+    assert len({r.topic for r in found.values()}) == 4 and all(r.deviation < 1e-5 for r in found.values())
+
+
+def test_budget_and_clashing_columns(spark):
+    rows = [(i, "w " * (1 + i % 5), ["a", "b"][i % 2], "x", 77, "y") for i in range(2000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, _tokens long, _MIX string")
+    kept = mixing.sample(df)
+    assert kept.columns == df.columns and {(r._tokens, r._MIX) for r in kept.collect()} == {(77, "y")}
+    out = mixing.weighted(df, budget=1500).collect()
+    assert sum(r._probability * r._tokens for r in out) == pytest.approx(1500, rel=1e-3) and {r._tokens for r in out} == {1, 2, 3, 4, 5}
+
+
 def test_a_rare_cell_does_not_set_the_size(spark):
     rows = [(i, "w " * 50, ["a", "b"][i % 4 == 0], ["x", "y"][i % 3 == 0]) for i in range(3000)] + [(9000, "w " * 20, "z", "q")]
     df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")

@@ -55,3 +55,18 @@ def test_nulls_and_repeats(spark, tmp_path):
         counts.append(docs.count())
     assert counts == sorted(counts, reverse=True)
     assert P.STAGES[-1][1](spark, docs, str(tmp_path)).count() >= 0
+
+
+def test_clashing_columns(spark):
+    """Columns named like the operators' own come through every stage unchanged."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 200")
+    names = ["_gone", "_bad", "_tokens", "_Mix", "_own", "_cell", "_centre", "id", "score", "kept", "weight", "component", "text_", "seed"]
+    for k, name in enumerate(names):
+        docs = docs.withColumn(name, docs["doc_id"] * 100 + k)
+    columns = docs.columns
+    for _, stage in P.STAGES[:-1]:
+        docs = P.settle(stage(spark, docs, SF))
+        assert docs.columns == columns
+    rows = docs.collect()
+    assert rows and all(r[name] == r.doc_id * 100 + k for r in rows for k, name in enumerate(names))
+    assert P.STAGES[-1][1](spark, docs, SF).count() > 0
