@@ -11,36 +11,61 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.llm import decontaminate, minhash, mixing, packing, quality
-from inkstone.llm.common import settle, table
+from inkstone.llm.common import free, settle, table
 
 
 def quality_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier accepts; it learns from the labels of all its input."""
+    """Documents that the classifier accepts.
+
+    It learns from the labels of its input outside fold 1 of 3, which stays held out.  Null,
+    empty and very long texts are scored whole like any other; repeated rows and null ids
+    are judged row by row; without labels every row stays; an empty table stays empty; all
+    columns come through whatever their names.
+    """
     return quality.accepted(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def dedup_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, the one with the smallest id; 5-word shingles, similarity 0.8.
 
-    Rows with a null id stay; of rows that share an id all stay or none.
+    Rows with a null id and texts without words (null, empty) stay; of rows that share an id
+    all stay or none; very long texts count whole; an empty table stays empty; all columns
+    come through whatever their names.
     """
     found = minhash.near_duplicates(docs, k=5)
-    gone = settle(found.where("not kept and id is not null").select(F.col("id").alias("_gone")).distinct())
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    key = free(docs.columns, "gone")
+    gone = settle(found.where("not kept and id is not null").select(F.col("id").alias(key)).distinct())
+    return docs.join(gone, F.col("doc_id") == F.col(key), "left_anti")
 
 
 def decontamination_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
+    """Documents without a passage of the benchmark, of items of three words or more.
+
+    Rows with a null id or text stay; of rows that share an id all stay or none; every word
+    of a very long text is compared; with an empty benchmark every row stays; an empty table
+    stays empty; all columns come through whatever their names.
+    """
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mixing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A sample of documents whose tokens have the target shares of sources, languages and topics."""
+    """A sample of documents whose tokens have the target shares of sources, languages and topics.
+
+    Null sources and languages are values of their own; texts without words add no tokens
+    and go; repeated rows with one id share a decision if their cells do; every word of a
+    very long text counts; an empty table stays empty; all columns come through whatever
+    their names.
+    """
     return mixing.sample(docs)
 
 
 def packing_stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packed rows of token ids."""
+    """Packed rows of token ids.
+
+    Null texts have no segment, empty ones only their end mark; repeated rows and null ids
+    are packed as they come; very long texts are cut into pieces without loss; an empty
+    table gives an empty result; other columns are not read.
+    """
     return packing.pack(docs)
 
 
