@@ -1,30 +1,52 @@
-"""Variants of a query: as written, and with simplified characters replaced by traditional ones.
+"""Variants of a query: as written, in the standard traditional forms, and in those of Taiwan.
 
-Only the query is converted, on the driver.  The session's ICU library transliterates; a
-small table adds forms that texts use side by side.
+The session's ICU library transliterates simplified characters; a table then chooses among
+characters that have two traditional forms.  A single query is converted on the driver;
+for a column of queries the same conversion becomes a translation table, character by
+character, without the library's few phrases.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from functools import lru_cache
 
-#: Characters with two traditional forms in use.
-SIDE_BY_SIDE = {"為": "爲", "爲": "為", "真": "眞", "眞": "真", "里": "裏", "裡": "裏", "台": "臺", "群": "羣", "峰": "峯", "床": "牀", "吃": "喫"}
+from pyspark.sql import Column, SparkSession
+from pyspark.sql import functions as F
+
+#: Characters with two traditional forms, the standard one first, the one of Taiwan second.
+FORMS = "僞偽 啓啟 喫吃 嫺嫻 嬀媯 峯峰 幺么 擡抬 檐簷 泄洩 爲為 牀床 痹痺 癡痴 皁皂 着著 祕秘 竈灶 糉粽 繮韁 纔才 羣群 脣唇 蔿蒍 衆眾 裏裡 覈核 踊踴 鉢缽 鍼針 鮎鯰 麪麵 齶顎 臺台 眞真".split()
+STANDARD = {b: a for a, b in FORMS}
+TAIWAN = {a: b for a, b in FORMS}
+BLANK = " \t\r\n\u3000\ufeff\u00a0"
 
 
 def query_variants(spark: SparkSession, query: str) -> list[str]:
     """Distinct variants in order, the query first; none for a blank query."""
-    query = query.strip(" \t\r\n　﻿ ")
+    query = query.strip(BLANK)
     if not query:
         return []
-    out = [query]
-    if any("㐀" <= c <= "鿿" for c in query):
-        full = to_traditional(spark, query)
-        other = "".join(SIDE_BY_SIDE.get(c, c) for c in full)
-        out += [full, other]
-    return list(dict.fromkeys(out))
+    full = to_traditional(spark, query)
+    forms = ("".join(table.get(c, c) for c in full) for table in (STANDARD, TAIWAN))
+    return list(dict.fromkeys([query, *forms]))
 
 
 def to_traditional(spark: SparkSession, text: str) -> str:
     icu = spark.sparkContext._jvm.com.ibm.icu.text.Transliterator
     return icu.getInstance("Hans-Hant").transliterate(text)
+
+
+@lru_cache(maxsize=4)
+def _table(spark: SparkSession) -> dict[str, str]:
+    """The traditional character of each simplified one that ICU converts by itself."""
+    own = [chr(c) for c in range(0x3400, 0xA000)]
+    other = to_traditional(spark, "\n".join(own)).split("\n")
+    return {a: b for a, b in zip(own, other) if a != b and len(b) == 1}
+
+
+def variants_of(spark: SparkSession, query: Column) -> Column:
+    """The array of variants of a column of queries; empty for a blank or null one."""
+    full = _table(spark)
+    tables = ({c: form.get(full.get(c, c), full.get(c, c)) for c in {*full, *form}} for form in (STANDARD, TAIWAN))
+    trimmed = F.regexp_replace(query, rf"^[{BLANK}]+|[{BLANK}]+\z", "")
+    other = [F.translate(trimmed, "".join(t), "".join(t.values())) for t in tables]
+    return F.when(F.coalesce(trimmed, F.lit("")) != "", F.array_distinct(F.array(trimmed, *other))).otherwise(F.array().cast("array<string>"))

@@ -9,20 +9,26 @@ from inkstone.functions import text as T
 from inkstone.schemas import EVENT_NAMES
 
 MOST_EVENTS, USER_LIMIT, GUEST_LIMIT = 50, 50, 5
-_ITEM = "struct<event: string, sessionId: string, bookId: string, extra: string>"
 
 
 def expand_batches(batches: DataFrame) -> DataFrame:
     """Events of request bodies (batch_id, body, user_id, user_agent, created_at): validated and normalised.
 
     A body is an array of events or an object with one; batches of 0 or over 50 items are
-    refused whole, unknown events dropped, fields that are no strings become null.
+    refused whole; items that are no objects and unknown events are dropped; fields that
+    are no strings become null.  Types are those of the JSON values themselves.  A body
+    that is no JSON, or repeats a member of one object, is refused.
     """
-    body = F.when(F.trim("body").startswith("["), F.col("body")).otherwise(F.get_json_object("body", "$.events"))
-    items = F.from_json(body, "array<string>")
-    rows = batches.withColumn("_items", items).where(F.size("_items").between(1, MOST_EVENTS)).select("*", F.explode("_items").alias("_e")).drop("_items")
-    text = lambda name: F.when(_kind(name) == "string", F.get_json_object("_e", f"$.{name}"))
-    rows = rows.where(F.trim("_e").startswith("{"))
+    many = lambda path: F.try_variant_get("_body", path, "array<variant>")
+    texts = lambda source: F.from_json(source, "array<string>")
+    # The items as values, for their types, and as texts, which keep the order of members.
+    bare = many("$").isNotNull()
+    rows = batches.withColumn("_body", F.try_parse_json("body"))
+    rows = rows.withColumns({"_items": F.coalesce(many("$"), many("$.events")), "_texts": F.when(bare, texts("body")).otherwise(texts(F.get_json_object("body", "$.events")))})
+    rows = rows.where(F.size("_items").between(1, MOST_EVENTS)).select("*", F.posexplode("_items").alias("_i", "_e"))
+    rows = rows.where(_type(F.col("_e"), "$").startswith("OBJECT"))
+    text = lambda name: F.when(_type(F.col("_e"), f"$.{name}") == "STRING", F.try_variant_get("_e", f"$.{name}", "string"))
+    extra = F.get_json_object(F.get("_texts", F.col("_i")), "$.extra")
     kept = rows.select(
         "batch_id",
         text("event").alias("event"),
@@ -30,16 +36,16 @@ def expand_batches(batches: DataFrame) -> DataFrame:
         text("sessionId").alias("session_id"),
         text("bookId").alias("book_id"),
         F.substring("user_agent", 1, 120).alias("platform"),
-        F.get_json_object("_e", "$.extra").alias("extra_json"),
+        # What a browser takes for false is not stored.
+        F.when(~extra.isin("", "0", "false", "null"), extra).alias("extra_json"),
         "created_at",
     )
     return kept.where(F.col("event").isin(*EVENT_NAMES))
 
 
-def _kind(name: str) -> Column:
-    """The JSON type of a member of _e: only whether it is a string matters."""
-    pattern = rf'"{name}"\s*:\s*"'
-    return F.when(F.col("_e").rlike(pattern), "string").otherwise("other")
+def _type(value: Column, path: str) -> Column:
+    """The JSON type of what stands at a path; empty where nothing does."""
+    return F.coalesce(F.schema_of_variant(F.try_variant_get(value, path, "variant")), F.lit(""))
 
 
 def batch_status(batches: DataFrame) -> DataFrame:
@@ -77,7 +83,7 @@ def progress_of(progress: DataFrame, user_id: str) -> DataFrame:
 
 
 def running_duration(visits: DataFrame) -> DataFrame:
-    """visits (user_id, book_id, at, duration_ms) with total_ms so far and scroll, the share of the book."""
+    """visits (user_id, book_id, at, visit_id, duration_ms) with total_ms, the time spent on the book so far."""
     order = Window.partitionBy("user_id", "book_id").orderBy("at", "visit_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return visits.withColumn("total_ms", F.sum("duration_ms").over(order))
 

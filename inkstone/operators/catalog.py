@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
+from inkstone.sources.stage import settle
 
 #: Order of the divisions, dynasties that open an author's name, tag patterns.
 DIVISIONS = ("洞真部", "洞玄部", "洞神部", "太平部", "太清部", "太玄部", "正一部", "续道藏", "其他")
@@ -73,12 +74,13 @@ def with_position(rows: DataFrame, *order: Column) -> DataFrame:
     table of partition sizes, plus the place inside the partition.
     """
     keys = [f"_k{i}" for i in range(len(order))]
-    spread = rows.withColumns(dict(zip(keys, order))).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()).persist()
+    # Written, so that places stay what they are when an executor is lost.
+    spread = settle(rows.withColumns(dict(zip(keys, order))).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_p", F.spark_partition_id()).withColumn("_m", F.monotonically_increasing_id()).drop(*keys))
     sizes = spread.groupBy("_p").agg(F.count("*").alias("_n"))
     offset = F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = spread.join(F.broadcast(sizes.select("_p", offset.alias("_o"))), "_p")
     inside = F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))
-    return placed.withColumn("ord", F.col("_o") + inside).drop("_p", "_m", "_o", *keys)
+    return placed.withColumn("ord", F.col("_o") + inside).drop("_p", "_m", "_o")
 
 
 def rollup(entries: DataFrame) -> DataFrame:
@@ -88,8 +90,10 @@ def rollup(entries: DataFrame) -> DataFrame:
     return rows.orderBy(F.array_position(F.array(*map(F.lit, DIVISIONS)), F.col("name")), "name")
 
 
-def summary(entries: DataFrame, version: int = 2) -> DataFrame:
-    return entries.agg(F.lit(version).alias("version"), F.count("*").alias("total_entries"), F.count_distinct("category").alias("categories"))
+def summary(entries: DataFrame, version: int = 2, built: str | None = None) -> DataFrame:
+    """(version, total_entries, categories), with build_time where one is given."""
+    rows = entries.agg(F.lit(version).alias("version"), F.count("*").alias("total_entries"), F.count_distinct("category").alias("categories"))
+    return rows if built is None else rows.withColumn("build_time", F.lit(built))
 
 
 def tags(title: Column, subcategory: Column, collection: Column, category: Column) -> Column:
@@ -142,6 +146,11 @@ def page(rows: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
     return rows.orderBy(*order).offset(max(0, number - 1) * size).limit(size)
 
 
+def results(rows: DataFrame, number: int, size: int, *order: Column) -> DataFrame:
+    """One page of rows with total, the number of all of them."""
+    return page(rows, number, size, *order).withColumn("total", F.lit(rows.count()).cast("long"))
+
+
 def matches(variants: list[str]) -> Column:
     """Whether title, author or preview holds any variant, case aside."""
     terms = [v.lower() for v in variants]

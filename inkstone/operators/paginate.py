@@ -2,62 +2,75 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstone.operators.parse import in_contents
+
 #: Characters of a page from which a heading starts the next, and at which it ends anyway.
 TARGET, MOST = 1400, 2200
 
 
-def page_starts(blocks: Column) -> Column:
-    """The first positions of pages, from an ordered array of (length, head): a fold, since each cut depends on the last."""
-    state = "struct<start: int, chars: bigint, i: int, cuts: array<int>>"
-
-    def step(s: Column, b: Column) -> Column:
-        chars = s["chars"] + b["length"]
-        later = s["i"] > s["start"]
-        before = later & (chars >= TARGET) & b["head"]
-        after = later & (chars >= MOST)
-        nxt = s["i"] + 1
-        return F.struct(
-            F.when(before, s["i"]).when(after, nxt).otherwise(s["start"]).alias("start"),
-            F.when(before, b["length"]).when(after, F.lit(0).cast("bigint")).otherwise(chars).alias("chars"),
-            nxt.alias("i"),
-            F.when(before, F.array_append(s["cuts"], s["i"])).when(after, F.array_append(s["cuts"], nxt)).otherwise(s["cuts"]).alias("cuts"),
-        )
+def _page_starts(batches):
+    """(book_id, block_seq, page_index) of each page's first block, from rows (book_id, block_seq, length, head) in order.
 
-    zero = F.struct(F.lit(0).alias("start"), F.lit(0).cast("bigint").alias("chars"), F.lit(0).alias("i"), F.array(F.lit(0)).alias("cuts")).cast(state)
-    return F.aggregate(blocks, zero, step, lambda s: F.filter(s["cuts"], lambda c: (c < s["i"]) | (c == 0)))
+    Each cut depends on the last, so a book is one pass; what is carried from batch to batch
+    is a few numbers, so a book of any size needs no more memory than a batch.
+    """
+    book, start, chars, page = object(), False, 0, 0
+    for batch in batches:
+        out = ([], [], [])
+        for own, seq, length, head in zip(*(c.to_pylist() for c in batch.columns)):
+            if own != book:
+                book, start, chars, page = own, True, 0, -1
+            chars += length
+            cut = not start and chars >= TARGET and head
+            if cut:
+                chars = length
+            if start or cut:
+                page += 1
+                for column, value in zip(out, (own, seq, page)):
+                    column.append(value)
+                start = False
+            elif chars >= MOST:
+                start, chars = True, 0
+        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["book_id", "block_seq", "page_index"])
 
 
 def assign_pages(blocks: DataFrame) -> DataFrame:
     """blocks with page_index (0-based)."""
     head = F.col("type").isin("heading", "subheading")
-    sized = F.struct(F.col("block_seq"), F.length("content").cast("bigint").alias("length"), head.alias("head"))
-    cuts = blocks.groupBy("book_id").agg(F.array_sort(F.collect_list(sized)).alias("all")).select("book_id", page_starts(F.col("all")).alias("cuts"))
-    starts = cuts.select("book_id", F.posexplode("cuts").alias("page_index", "block_seq"))
+    sized = blocks.select("book_id", "block_seq", F.length("content").alias("length"), head.alias("head"))
+    starts = sized.repartition("book_id").sortWithinPartitions("book_id", "block_seq").mapInArrow(_page_starts, "book_id string, block_seq int, page_index int")
     rows = blocks.join(starts, ["book_id", "block_seq"], "left")
     order = Window.partitionBy("book_id").orderBy("block_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     return rows.withColumn("page_index", F.last("page_index", ignorenulls=True).over(order)).select(*blocks.columns, "page_index")
 
 
 def pages(books: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(book_id, page_index, start_block, end_block, block_ids, char_count); a book without blocks has one empty page."""
+    """(book_id, page_index, start_block, end_block, block_ids, char_count); a book without blocks has one empty page.
+
+    Where blocks tell their volume, so does a page, that of its first block.
+    """
     paged = assign_pages(blocks)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("block_seq", "block_id"))), lambda x: x["block_id"])
-    found = paged.groupBy("book_id", "page_index").agg(F.min("block_seq").alias("start_block"), F.max("block_seq").alias("end_block"), ids.alias("block_ids"), F.sum(F.length("content")).alias("char_count"))
+    volume = [F.min_by("volume_block_id", "block_seq").alias("volume_block_id")] if "volume_block_id" in blocks.columns else []
+    found = paged.groupBy("book_id", "page_index").agg(F.min("block_seq").alias("start_block"), F.max("block_seq").alias("end_block"), ids.alias("block_ids"), F.sum(F.length("content")).alias("char_count"), *volume)
     zero = lambda name, kind="int": F.coalesce(name, F.lit(0)).cast(kind).alias(name)
     rows = books.select("book_id").distinct().join(found, "book_id", "left")
-    return rows.select("book_id", zero("page_index"), zero("start_block"), zero("end_block"), F.coalesce("block_ids", F.array().cast("array<string>")).alias("block_ids"), zero("char_count", "bigint"))
+    return rows.select("book_id", zero("page_index"), zero("start_block"), zero("end_block"), F.coalesce("block_ids", F.array().cast("array<string>")).alias("block_ids"), zero("char_count", "bigint"), *(["volume_block_id"] if volume else []))
+
 
+def with_volume(blocks: DataFrame) -> DataFrame:
+    """blocks with the volume they stand in: the last contents item of level 2 so far, else the first of level 1.
 
-def with_volume(blocks: DataFrame, toc: DataFrame) -> DataFrame:
-    """blocks with the volume they stand in: the last contents item of level 2 so far, else the first of level 1."""
-    item = toc.where("level <= 2").select("book_id", "block_seq", F.col("title").alias("_t"), F.col("level").alias("_l"))
+    What is a contents item shows in the block itself, so nothing is joined.
+    """
     order = Window.partitionBy("book_id").orderBy("block_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = blocks.join(item, ["book_id", "block_seq"], "left")
-    carry = lambda value: F.coalesce(F.last(F.when(F.col("_l") == 2, value), ignorenulls=True).over(order), F.first(F.when(F.col("_l") == 1, value), ignorenulls=True).over(order))
-    return rows.withColumns({"volume_block_id": carry(F.col("block_id")), "volume_title": carry(F.col("_t"))}).drop("_t", "_l")
+    at = lambda level, value: F.when(in_contents() & (F.coalesce("level", F.lit(3)) == level), value)
+    carry = lambda value: F.coalesce(F.last(at(2, value), ignorenulls=True).over(order), F.first(at(1, value), ignorenulls=True).over(order))
+    return blocks.withColumns({"volume_block_id": carry(F.col("block_id")), "volume_title": carry(F.col("content"))})
 
 
 def enrich_toc(toc: DataFrame, paged: DataFrame) -> DataFrame:
@@ -94,16 +107,15 @@ def page_from_scroll(progress: Column, total: Column) -> Column:
     return F.when(total <= 1, 0).otherwise(F.least(total - 1, F.greatest(F.lit(0), F.floor(progress * total)))).cast("int")
 
 
-def fetch_page(paged: DataFrame, page_rows: DataFrame, volumes: DataFrame, requests: DataFrame) -> DataFrame:
+def fetch_page(page_rows: DataFrame, requests: DataFrame) -> DataFrame:
     """Answers to requests (request_id, book_id, page_num, volume): status, neighbours and the page's range.
 
     page_num is 1-based: below 1 is status 400, an unknown book or page 404, a volume that
-    the page does not stand in 409.
+    the page does not stand in 409.  page_rows tell their volume.
     """
     totals = page_rows.groupBy("book_id").agg(F.count("*").alias("total_pages"))
-    at = page_rows.select("book_id", (F.col("page_index") + 1).alias("page_num"), "start_block", "end_block", "char_count")
-    where = volumes.select("book_id", F.col("block_seq").alias("start_block"), "volume_block_id")
-    rows = requests.join(totals, "book_id", "left").join(at, ["book_id", "page_num"], "left").join(where, ["book_id", "start_block"], "left")
+    at = page_rows.select("book_id", (F.col("page_index") + 1).alias("page_num"), "start_block", "end_block", "char_count", "volume_block_id")
+    rows = requests.join(totals, "book_id", "left").join(at, ["book_id", "page_num"], "left")
     status = (
         F.when(F.coalesce(F.col("page_num") < 1, F.lit(True)), 400)
         .when(F.col("end_block").isNull(), 404)

@@ -102,10 +102,14 @@ def parse(books: DataFrame) -> DataFrame:
     return parse_lines(source_lines(books))
 
 
+def in_contents() -> Column:
+    """Whether a block is an item of the contents: a heading down to level 3."""
+    return F.col("type").isin("heading", "subheading") & (F.col("confidence") >= 0.6) & (F.coalesce("level", F.lit(3)) <= 3)
+
+
 def table_of_contents(blocks: DataFrame) -> DataFrame:
-    """(book_id, block_seq, block_id, title, level) of headings down to level 3."""
-    kept = blocks.where(F.col("type").isin("heading", "subheading") & (F.col("confidence") >= 0.6) & (F.coalesce("level", F.lit(3)) <= 3))
-    return kept.select("book_id", "block_seq", "block_id", F.col("content").alias("title"), F.coalesce("level", F.lit(3)).alias("level"))
+    """(book_id, block_seq, block_id, title, level) of the contents."""
+    return blocks.where(in_contents()).select("book_id", "block_seq", "block_id", F.col("content").alias("title"), F.coalesce("level", F.lit(3)).alias("level"))
 
 
 def statistics(books: DataFrame, blocks: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
+from inkstone.sources.stage import write_text
 from inkstone.schemas import LOW_CONFIDENCE, PARSER_VERSION
 
 
@@ -35,6 +36,11 @@ def totals(blocks: DataFrame) -> DataFrame:
     return rows.withColumn("share", T.percent(F.col("low_confidence"), F.col("total_blocks")))
 
 
+def write(blocks: DataFrame, entries: DataFrame, built: str, path: str) -> None:
+    """The report as a file."""
+    write_text(blocks.sparkSession, path, markdown(blocks, entries, built))
+
+
 def markdown(blocks: DataFrame, entries: DataFrame, built: str) -> str:
     """The report as text; only its short tables are collected."""
     total = totals(blocks).head()

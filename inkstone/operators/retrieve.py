@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
-from inkstone.functions.variants import query_variants
-from inkstone.operators import catalog, search
+from inkstone.functions.variants import variants_of
+from inkstone.sources.stage import settle
 
 #: Phrases that ask, longer ones before those they hold, and what separates terms.
 ASKING = (
@@ -20,6 +20,8 @@ ASKING = (
 )
 BREAKS = r"[，。？！、；：\s「」『』（）()？?!.,]+"
 TITLES, CONCEPTS, PER_CONCEPT, ENOUGH = 3, 3, 2, 5
+#: Search terms that are broadcast at once.
+BLOCK = 2000
 
 
 def titles(question: Column) -> Column:
@@ -34,29 +36,64 @@ def concepts(question: Column, most: int = CONCEPTS) -> Column:
     return F.slice(F.array_distinct(F.filter(parts, lambda p: p.rlike(rf"^{T.CJK}{{2,8}}\z"))), 1, most)
 
 
-def references(spark: SparkSession, docs: DataFrame, question: str, reading: dict | None = None) -> list[dict]:
-    """Citations for one question, in order: named titles, then concepts, then what is being read.
+def references_of(docs: DataFrame, questions: DataFrame) -> DataFrame:
+    """Citations for a table of questions (question_id, q, book_id, book_title, block_id: what is being read, or null).
 
-    Every step is a search with a small limit, so at most a dozen rows reach the driver.
+    (question_id, place, book_id, book_title, block_id, quote, source) in order: the named
+    titles, each by the first entry that matches; then the best passages for each concept,
+    no further concept once ENOUGH books are cited; then what is being read.  A book is
+    cited once.  Questions meet the documents as blocks of at most BLOCK search terms,
+    which are broadcast.
     """
-    asked = spark.createDataFrame([(question,)], "q string").select(titles(F.col("q")).alias("t"), concepts(F.col("q")).alias("c")).head()
-    out: list[dict] = []
-    cited: set[str] = set()
-    for title in asked["t"][:TITLES]:
-        book = catalog.page(catalog.search(docs, query_variants(spark, title)), 1, 1, F.col("ord")).head()
-        if book is None or book["id"] in cited:
-            continue
-        cited.add(book["id"])
-        top = search.search(docs, query_variants(spark, title if len(title) >= 2 else book["title"]), 1, 1).head()
-        quote = top["snippet"] if top is not None and top["id"] == book["id"] else book["preview"][:150]
-        out.append({"book_id": book["id"], "book_title": book["title"], "quote": quote[:100], "source": "title"})
-    for concept in asked["c"]:
-        for hit in search.search(docs, query_variants(spark, concept), 1, PER_CONCEPT).collect():
-            if hit["id"] not in cited:
-                cited.add(hit["id"])
-                out.append({"book_id": hit["id"], "book_title": hit["title"], "quote": hit["snippet"][:100], "source": concept})
-        if len(cited) >= ENOUGH:
-            break
-    if reading and reading.get("book_id") and reading["book_id"] not in cited:
-        out.append({"book_id": reading["book_id"], "book_title": reading.get("book_title") or "", "block_id": reading.get("block_id"), "source": "reading"})
+    spark = docs.sparkSession
+    asked = settle(questions.select("question_id", titles(F.col("q")).alias("t"), concepts(F.col("q")).alias("c"), "book_id", "book_title", "block_id"))
+    named = asked.select("question_id", F.posexplode(F.slice("t", 1, TITLES)).alias("place", "term"))
+    named = settle(named.withColumn("variants", variants_of(spark, F.col("term"))))
+    known = settle(_met(docs, named, "named").groupBy("question_id", "place", "term").agg(F.min_by(F.struct("id", "title", "preview"), "ord").alias("book")))
+    # A title of one character is looked up in the texts by the book's own title.
+    by_title = known.select("question_id", F.lit(0).alias("step"), "place", F.when(F.length("term") >= 2, F.col("term")).otherwise(F.col("book.title")).alias("term"))
+    by_concept = asked.select("question_id", F.posexplode("c").alias("place", "term")).select("question_id", (F.col("place") + 1).alias("step"), F.lit(0).alias("place"), "term")
+    terms = settle(by_title.unionByName(by_concept).withColumn("variants", variants_of(spark, F.col("term"))))
+    rank = F.row_number().over(Window.partitionBy("question_id", "step", "place").orderBy(F.desc("title_hit"), F.desc("match_count"), "ord"))
+    best = _met(docs, terms, "text").withColumn("rank", rank).where(F.col("rank") <= PER_CONCEPT)
+    best = settle(best.select("question_id", "step", "place", "rank", "id", "title", "snippet", "term"))
+    top = best.where("step = 0 and rank = 1").select("question_id", "place", F.col("id").alias("_top"), "snippet")
+    quote = F.when(F.col("_top") == F.col("book.id"), F.col("snippet")).otherwise(F.substring("book.preview", 1, 150))
+    first = known.join(top, ["question_id", "place"], "left").select("question_id", F.lit(0).alias("step"), "place", F.col("book.id").alias("id"), F.col("book.title").alias("title"), quote.alias("quote"), F.lit("title").alias("source"))
+    then = best.where("step > 0").select("question_id", "step", F.col("rank").alias("place"), "id", "title", F.col("snippet").alias("quote"), F.col("term").alias("source"))
+    every = first.unionByName(then).groupBy("question_id", "id").agg(F.min(F.struct("step", "place", "title", "quote", "source")).alias("x")).select("question_id", "id", "x.*")
+    # A concept is looked up only while too few books are cited by the steps before it.
+    before = Window.partitionBy("question_id").orderBy("step").rangeBetween(Window.unboundedPreceding, -1)
+    kept = settle(every.withColumn("_n", F.count("id").over(before)).where(F.col("_n") < ENOUGH))
+    cited = kept.select("question_id", "step", "place", F.col("id").alias("book_id"), F.col("title").alias("book_title"), F.lit(None).cast("string").alias("block_id"), F.substring("quote", 1, 100).alias("quote"), "source")
+    own = asked.where(F.coalesce("book_id", F.lit("")) != "").join(kept.select("question_id", F.col("id").alias("book_id")), ["question_id", "book_id"], "left_anti")
+    read = own.select("question_id", F.lit(9).alias("step"), F.lit(0).alias("place"), "book_id", F.coalesce("book_title", F.lit("")).alias("book_title"), "block_id", F.lit(None).cast("string").alias("quote"), F.lit("reading").alias("source"))
+    order = Window.partitionBy("question_id").orderBy("step", "place")
+    return cited.unionByName(read).withColumn("place", F.row_number().over(order)).drop("step")
+
+
+def _met(docs: DataFrame, terms: DataFrame, where: str) -> DataFrame:
+    """terms with every document that matches one: by its text (with snippet, match_count and title_hit) or by its title, author and preview."""
+    blocks = max(1, -(-terms.count() // BLOCK))
+    out = None
+    for k in range(blocks):
+        own = F.broadcast(terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k))
+        if where == "named":
+            holds = lambda c: F.exists("variants", lambda v: F.coalesce(F.contains(F.lower(c), F.lower(v)), F.lit(False)))
+            rows = docs.select("id", "ord", "title", "author", "preview").join(own, holds("title") | holds("author") | holds("preview"))
+        else:
+            rows = docs.select("id", "ord", "title", "content").join(own, F.exists("variants", lambda v: F.contains("content", v)))
+            found = F.transform("variants", lambda v, i: F.struct(F.instr(F.col("content"), v).alias("pos"), i.alias("i"), v.alias("term")))
+            rows = rows.withColumn("_f", F.array_min(F.filter(found, lambda x: x["pos"] > 0)))
+            matched, pos = F.col("_f.term"), F.col("_f.pos") - 1
+            snippet = T.window_of(F.col("content"), pos, F.length(matched), 40, 40, True)
+            rows = rows.withColumns({"match_count": T.occurrences(F.col("content"), matched), "snippet": snippet, "title_hit": F.exists("variants", lambda v: F.coalesce(F.contains("title", v), F.lit(False)))}).drop("_f", "content")
+        out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def references(spark: SparkSession, docs: DataFrame, question: str, reading: dict | None = None) -> list[dict]:
+    """Citations for one question, in order; a handful of rows reaches the driver."""
+    own = reading or {}
+    asked = spark.createDataFrame([(0, question, own.get("book_id"), own.get("book_title"), own.get("block_id"))], "question_id long, q string, book_id string, book_title string, block_id string")
+    return [{k: r[k] for k in ("book_id", "book_title", "block_id", "quote", "source")} for r in references_of(docs, asked).orderBy("place").collect()]

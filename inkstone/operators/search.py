@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
+from inkstone.functions.variants import query_variants
+from inkstone.operators import catalog
 
 
 def hits(docs: DataFrame, variants: list[str]) -> DataFrame:
@@ -72,13 +74,16 @@ def _quoted(term: str) -> str:
     return r"\Q" + term.replace(r"\E", r"\E\\E\Q") + r"\E"
 
 
-def dispatch(docs: DataFrame, variants: list[str], mode: str = "full", page: int = 1, size: int = 20) -> DataFrame:
-    """The search page: full text, or titles, authors and previews."""
-    if mode == "full":
-        return search(docs, variants, page, size)
-    from inkstone.operators import catalog
+def find(docs: DataFrame, query: str, page: int = 1, size: int = 20) -> DataFrame:
+    """Full-text search for a query as typed: its variants are searched for together; nothing for a blank one."""
+    return search(docs, query_variants(docs.sparkSession, query), page, size)
+
 
-    return catalog.page(catalog.search(docs, variants), page, size, F.col("ord"))
+def dispatch(docs: DataFrame, query: str, mode: str = "full", page: int = 1, size: int = 20) -> DataFrame:
+    """The search page for a query as typed: full text, or titles, authors and previews."""
+    if mode == "full":
+        return find(docs, query, page, size)
+    return catalog.page(catalog.search(docs, query_variants(docs.sparkSession, query)), page, size, F.col("ord"))
 
 
 def whole_text(blocks: DataFrame) -> DataFrame:
@@ -87,9 +92,11 @@ def whole_text(blocks: DataFrame) -> DataFrame:
 
 
 def visible_text(blocks: DataFrame, most: int = 6000) -> DataFrame:
-    """(book_id, text): what a reader sees of a book, cut to `most` characters."""
+    """(book_id, text): what a reader sees of a book, cut to `most` characters; blocks beyond them are not joined."""
     shown = blocks.where(F.col("type").isin("paragraph", "heading", "subheading", "annotation"))
-    return _joined(shown).withColumn("text", F.substring("text", 1, most))
+    before = Window.partitionBy("book_id").orderBy("block_seq").rowsBetween(Window.unboundedPreceding, -1)
+    near = shown.withColumn("_at", F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0))).where(F.col("_at") < most)
+    return _joined(near).withColumn("text", F.substring("text", 1, most))
 
 
 def chapter(blocks: DataFrame, toc: DataFrame, book_id: str, most: int = 200) -> tuple[DataFrame, DataFrame]:

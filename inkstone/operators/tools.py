@@ -38,14 +38,13 @@ class Registry:
 
 def standard(spark, docs, books) -> Registry:
     """The tools over a catalog with content and compiled books: search, entries, chapters, neighbours."""
-    from inkstone.functions.variants import query_variants
     from inkstone.operators import catalog, retrieve, search
     from pyspark.sql import functions as F
 
     registry = Registry()
     found = (
-        Tool("search_catalog", lambda query, page=1: catalog.page(catalog.search(docs, query_variants(spark, query)), page, 20, F.col("ord")), ("query",)),
-        Tool("search_text", lambda query, page=1: search.search(docs, query_variants(spark, query), page), ("query",)),
+        Tool("search_catalog", lambda query, page=1: search.dispatch(docs, query, "meta", page), ("query",)),
+        Tool("search_text", lambda query, page=1: search.find(docs, query, page), ("query",)),
         Tool("get_entry", lambda entry_id: catalog.by_id(docs, entry_id), ("entry_id",)),
         Tool("get_chapter", lambda book_id: search.chapter(books.blocks_raw, books.toc, book_id), ("book_id",)),
         Tool("related_books", lambda entry_id: catalog.related(docs).where(F.col("id") == entry_id).orderBy("rank"), ("entry_id",)),

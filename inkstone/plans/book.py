@@ -1,7 +1,8 @@
 """From raw books to what a reader is served, in one plan.
 
-All per-book windows share one exchange; overrides and illustrations are small tables that
-Catalyst broadcasts when their size allows.
+Books are parsed once: the raw blocks, and what overrides and illustrations make of them,
+are written to the shared folder, and every output starts from there.  Overrides and
+illustrations are small tables that Catalyst broadcasts when their size allows.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 
 from inkstone.operators import enrich, paginate, parse
+from inkstone.sources.stage import settle
 
 
 @dataclass
@@ -31,11 +33,14 @@ def compile_books(books: DataFrame, overrides: DataFrame | None = None, illustra
     The contents come from the corrected blocks, before illustrations; blocks_raw has no
     corrections, as the report and the review queue need it.
     """
-    raw = parse.parse(books)
+    raw = settle(parse.parse(books))
     fixed = raw if overrides is None else enrich.apply_overrides(raw, overrides)
     shown = fixed if illustrations is None else enrich.inject_illustrations(fixed, illustrations)
     heads = parse.table_of_contents(fixed)
+    if shown is not raw:
+        shown = settle(shown)
     # Positions move when illustrations are injected; ids do not.
     toc = heads if illustrations is None else heads.drop("block_seq").join(shown.select("book_id", "block_id", "block_seq"), ["book_id", "block_id"]).select(*heads.columns)
     paged = paginate.assign_pages(shown)
-    return Books(raw, shown, toc, paged, paginate.pages(books, shown), paginate.with_volume(shown, toc))
+    volumes = paginate.with_volume(shown)
+    return Books(raw, shown, toc, paged, paginate.pages(books, volumes), volumes)

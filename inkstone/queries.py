@@ -6,12 +6,14 @@ data, conversations for chats; rules for Chinese text run over the fixtures belo
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
-from inkstone.operators import behaviour, catalog, enrich, footnotes, paginate, parse, report, retrieve, search
+from inkstone.operators import behaviour, catalog, enrich, footnotes, paginate, parse, report, retrieve, search, tools
 from inkstone.sources import tables
+from inkstone.sources.stage import fresh_path, settle, write_text
+from inkstone.streaming import events as stream
 
 BASE = "https://example.org"
 
@@ -34,7 +36,18 @@ BODIES = [
     ("b4", "[" + ",".join('{"event":"share"}' for _ in range(51)) + "]"),
     ("b5", '[{"event":"unknown"},3]'),
     ("b6", "not json"),
+    # The session's type is that of the member itself, not of a like-named one inside extra; white space may come first; a text is no event.
+    ("b7", '[{"event":"share","sessionId":7,"extra":{"sessionId":"abc"}},{"event":"search","bookId":null,"extra":{"b":1,"a":[2]}}]'),
+    ("b8", '\r\n\t [ {"event" : "page_view" , "sessionId" : "s8"} , "{\\"event\\":\\"share\\"}" , null , [] ] '),
+    ("b9", '{"events":{"event":"share"}}'),
+    ("b10", '{"event":"share"}'),
+    ("b11", '{"events":[{"event":"music_play","sessionId":"\u4e00","extra":0},{"event":["share"]}]}'),
+    ("b12", "[" + ",".join('{"event":"share","bookId":"x%d"}' % i for i in range(50)) + "]"),
+    ("b13", None),
 ]
+#: (question_id, q, book_id, book_title, block_id): terms that no conversion changes, so that SQL can look for them as they are.
+ASKED = [(0, "《三洞珠囊》的天地玄宗是什么？", "f2", "x", "b1"), (1, "什么是天地玄宗？", None, None, None), (2, "《Tion》和《三洞》与天地玄宗、金光、投雲陽山", "f9", None, None), (3, "hello", "f1", "y", None), (4, "《囊》", "", None, None), (5, "正文，天地玄宗，金光", None, None, None)]
+TOOL_CALLS = [("entry", "f1", ""), ("entry", "", ""), ("nope", "f1", ""), ("hidden", "f1", ""), ("hidden", "f1", "review"), ("entry", "zz", "")]
 NOW_MS = 1_780_000_000_000
 
 
@@ -68,8 +81,25 @@ def _blocks(spark, sf_dir):
     return parse.parse(books(spark, sf_dir))
 
 
+def _all_books(spark, sf_dir):
+    return books(spark, sf_dir).unionByName(fixture_books(spark))
+
+
 def _all_blocks(spark, sf_dir):
-    return parse.parse(books(spark, sf_dir).unionByName(fixture_books(spark)))
+    return parse.parse(_all_books(spark, sf_dir))
+
+
+def _written_blocks(spark, sf_dir):
+    """The blocks for queries that need them more than once: parsed once, written, read from there."""
+    return settle(_all_blocks(spark, sf_dir))
+
+
+def corpus(spark, sf_dir):
+    """The entries, and after them the fixture books."""
+    own = fixture_books(spark)
+    place = F.substring("book_id", 2, 9).cast("long") + 1_000_000_000
+    added = own.select(place.alias("ord"), F.col("book_id").alias("id"), "title", F.lit("太清部").alias("category"), F.lit("").alias("subcategory"), F.lit("正统道藏").alias("collection"), F.lit(None).cast("string").alias("author"), F.size(T.lines("source")).alias("line_count"), T.preview("source").alias("preview"), F.col("source").alias("content"))
+    return entries(spark, sf_dir).unionByName(added)
 
 
 def _events(spark, sf_dir):
@@ -214,17 +244,17 @@ def parse_toc(spark, sf_dir):
 
 
 def parse_stats(spark, sf_dir):
-    every = books(spark, sf_dir).unionByName(fixture_books(spark))
+    every = _all_books(spark, sf_dir)
     return parse.statistics(every, parse.parse(every))
 
 
 def overrides_applied(spark, sf_dir):
-    blocks = _all_blocks(spark, sf_dir)
+    blocks = _written_blocks(spark, sf_dir)
     return enrich.apply_overrides(blocks, _overrides(blocks)).select("book_id", "block_id", "type", "level", "confidence", "parser")
 
 
 def review_queue(spark, sf_dir):
-    blocks = _all_blocks(spark, sf_dir)
+    blocks = _written_blocks(spark, sf_dir)
     return enrich.review_queue(blocks, _overrides(blocks))
 
 
@@ -233,7 +263,7 @@ def reviewed_books(spark, sf_dir):
 
 
 def illustration_injection(spark, sf_dir):
-    blocks = _all_blocks(spark, sf_dir)
+    blocks = _written_blocks(spark, sf_dir)
     return enrich.inject_illustrations(blocks, _illustrations(blocks)).select("book_id", "block_seq", "block_id", "type", "content", "confidence", "parser")
 
 
@@ -241,18 +271,16 @@ def illustration_injection(spark, sf_dir):
 
 
 def page_of_block(spark, sf_dir):
-    return paginate.assign_pages(_all_blocks(spark, sf_dir)).select("book_id", "block_id", "page_index")
+    return paginate.assign_pages(_written_blocks(spark, sf_dir)).select("book_id", "block_id", "page_index")
 
 
 def paginate_books(spark, sf_dir):
-    every = books(spark, sf_dir).unionByName(fixture_books(spark))
-    rows = paginate.pages(every, parse.parse(every))
+    rows = paginate.pages(_all_books(spark, sf_dir), _written_blocks(spark, sf_dir))
     return rows.select("book_id", "page_index", "start_block", "end_block", F.size("block_ids").alias("n_blocks"), "char_count")
 
 
 def volume_carry(spark, sf_dir):
-    blocks = _all_blocks(spark, sf_dir)
-    return paginate.with_volume(blocks, parse.table_of_contents(blocks)).select("book_id", "block_id", "volume_block_id", "volume_title")
+    return paginate.with_volume(_all_blocks(spark, sf_dir)).select("book_id", "block_id", "volume_block_id", "volume_title")
 
 
 def toc_parent(spark, sf_dir):
@@ -260,21 +288,26 @@ def toc_parent(spark, sf_dir):
 
 
 def toc_pages(spark, sf_dir):
-    blocks = _all_blocks(spark, sf_dir)
+    blocks = _written_blocks(spark, sf_dir)
     return paginate.enrich_toc(parse.table_of_contents(blocks), paginate.assign_pages(blocks)).select("book_id", "block_id", "level", "page_index", "page_id")
 
 
 def active_toc(spark, sf_dir):
-    every = books(spark, sf_dir).unionByName(fixture_books(spark))
-    blocks = parse.parse(every)
-    return paginate.active_item(paginate.pages(every, blocks), parse.table_of_contents(blocks))
+    blocks = _written_blocks(spark, sf_dir)
+    return paginate.active_item(paginate.pages(_all_books(spark, sf_dir), blocks), parse.table_of_contents(blocks))
+
+
+def _asked_pages(every, asks):
+    """The pages, with their volumes, of the books that are asked for: only those are parsed."""
+    wanted = settle(every.join(asks.select("book_id").distinct(), "book_id", "left_semi"))
+    blocks = settle(paginate.with_volume(parse.parse(wanted)))
+    return settle(paginate.pages(wanted, blocks))
 
 
 def page_fetch(spark, sf_dir):
     every = books(spark, sf_dir)
-    blocks = parse.parse(every)
     asks = every.select(F.concat(F.lit("r"), "book_id").alias("request_id"), "book_id", (F.length("book_id") * 2 - 3).alias("page_num"), F.when(F.col("book_id").endswith("5"), F.lit("x")).alias("volume"))
-    return paginate.fetch_page(blocks, paginate.pages(every, blocks), paginate.with_volume(blocks, parse.table_of_contents(blocks)), asks)
+    return paginate.fetch_page(_asked_pages(every, asks), asks)
 
 
 def scroll_pages(spark, sf_dir):
@@ -288,22 +321,21 @@ def toc_ancestors(spark, sf_dir):
 
 
 def toc_answers(spark, sf_dir):
-    every = books(spark, sf_dir).unionByName(fixture_books(spark))
-    blocks = parse.parse(every)
-    return paginate.toc_answer(parse.table_of_contents(blocks), paginate.pages(every, blocks))
+    blocks = _written_blocks(spark, sf_dir)
+    return paginate.toc_answer(parse.table_of_contents(blocks), paginate.pages(_all_books(spark, sf_dir), blocks))
 
 
 def page_fetch_at(spark, sf_dir):
     every = books(spark, sf_dir)
     asks = every.select(F.col("book_id").alias("request_id"), "book_id", (F.length("book_id") - 2).alias("page_index"))
-    return paginate.fetch_page_at(paginate.pages(every, parse.parse(every)), asks)
+    return paginate.fetch_page_at(_asked_pages(every, asks), asks)
 
 
 # --- footnotes
 
 
 def _scoped(spark, sf_dir):
-    return footnotes.with_scope(_all_blocks(spark, sf_dir))
+    return settle(footnotes.with_scope(_all_blocks(spark, sf_dir)).select("book_id", "scope", "block_seq", "block_id", "type", "content"))
 
 
 def footnote_refs(spark, sf_dir):
@@ -348,9 +380,45 @@ def quality_totals(spark, sf_dir):
 # --- behaviour
 
 
+def _bodies(spark):
+    return spark.createDataFrame([(i, b, "u1", "agent " * 40, 1) for i, b in BODIES], "batch_id string, body string, user_id string, user_agent string, created_at long")
+
+
 def event_batches(spark, sf_dir):
-    rows = spark.createDataFrame([(i, b, "u1", "agent " * 40, 1) for i, b in BODIES], "batch_id string, body string, user_id string, user_agent string, created_at long")
-    return behaviour.expand_batches(rows).select("batch_id", "event", "session_id", "book_id", F.length("platform").alias("platform_chars"))
+    return behaviour.expand_batches(_bodies(spark)).select("batch_id", "event", "session_id", "book_id", "extra_json", F.length("platform").alias("platform_chars"))
+
+
+def _requests(spark, sf_dir):
+    """Each user's events of a minute as the body of a request."""
+    rows = _events(spark, sf_dir)
+    item = F.struct("event", F.concat(F.lit("s"), "user_id").alias("sessionId"), F.col("event_id").alias("bookId"), F.struct(F.col("event_id").alias("ts")).alias("extra"))
+    minute = F.date_trunc("minute", "ts")
+    made = rows.groupBy("user_id", minute.alias("m")).agg(F.to_json(F.struct(F.array_sort(F.collect_list(item)).alias("events"))).alias("body"), F.min("created_at").alias("created_at"))
+    return made.select(F.concat_ws(":", "user_id", F.unix_millis("m").cast("string")).alias("batch_id"), "body", "user_id", F.lit("agent").alias("user_agent"), "created_at")
+
+
+def event_batch_status(spark, sf_dir):
+    return behaviour.batch_status(_bodies(spark).unionByName(_requests(spark, sf_dir)))
+
+
+def event_append(spark, sf_dir):
+    path = fresh_path(spark, "events")
+    behaviour.append_events(_requests(spark, sf_dir), path)
+    behaviour.append_events(_bodies(spark), path)
+    return behaviour.client_time(spark.read.parquet(path)).select("batch_id", "event", "session_id", "book_id", "user_id", "client_ts")
+
+
+def event_stream(spark, sf_dir):
+    """The same bodies as a stream, sent twice, as a client does that got no answer; repeats go by session, event and client time."""
+    rows, source = _requests(spark, sf_dir), fresh_path(spark, "bodies")
+    rows.write.parquet(source)
+    rows.write.mode("append").parquet(source)
+    out, again = fresh_path(spark, "ingested"), fresh_path(spark, "single")
+    stream.ingest(spark.readStream.schema(rows.schema).parquet(source), out, fresh_path(spark, "state")).awaitTermination()
+    seen = spark.read.parquet(out)
+    single = stream.deduplicated(spark.readStream.schema(seen.schema).parquet(out))
+    single.writeStream.format("parquet").option("path", again).option("checkpointLocation", fresh_path(spark, "state")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(again).groupBy("event").agg(F.count("*").alias("n")).join(seen.groupBy("event").agg(F.count("*").alias("received")), "event")
 
 
 def events_valid(spark, sf_dir):
@@ -411,8 +479,15 @@ def recent_items(spark, sf_dir):
     return behaviour.recent(rows, "user_id", "created_at", 3).select("user_id", "item_id", "rank")
 
 
+def _long_chats(spark, sf_dir):
+    """Conversations, and for every third one more that holds its turns three times over."""
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", F.col("turn").cast("long").alias("turn"), "role", "text")
+    again = rows.where("conv_id % 3 = 0").withColumn("k", F.explode(F.array(*map(F.lit, range(3))))).select((F.col("conv_id") + 1_000_000_000).alias("conv_id"), (F.col("turn") + 100 * F.col("k")).alias("turn"), "role", "text")
+    return rows.unionByName(again)
+
+
 def chat_last10(spark, sf_dir):
-    return behaviour.last_messages(spark.read.parquet(f"{sf_dir}/conversations.parquet"), 3).select("conv_id", "turn", "role", "text")
+    return behaviour.last_messages(_long_chats(spark, sf_dir)).select("conv_id", "turn", "role", "text")
 
 
 def ring_neighbours(spark, sf_dir):
@@ -459,6 +534,189 @@ def corpus_scan(spark, sf_dir):
     return tables.corpus(own.drop("content"), own.where("category <> 'en'")).select("id", "title", F.length("content").alias("chars"))
 
 
+# --- files
+
+
+def catalog_build(spark, sf_dir):
+    """The catalog of a folder of files; its order is that of the titles' own collation."""
+    folder = fresh_path(spark, "texts")
+    for i, name in enumerate(FILES):
+        write_text(spark, f"{folder}/{name}.txt", "甲\r\n乙\n" + "丙" * i)
+    write_text(spark, f"{folder}/skip.md", "x")
+    return catalog.build(tables.scan_texts(spark, folder)).drop("ord")
+
+
+def catalog_positions(spark, sf_dir):
+    """Dense places in the order of titles, over names that every collation orders alike."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.col("p_partkey").alias("id"), F.lower(F.regexp_replace("p_name", "[^A-Za-z ]", "")).alias("title"))
+    return catalog.with_position(part, F.collate("title", "zh"), F.col("id")).select("id", "ord")
+
+
+def title_order(spark, sf_dir):
+    """Titles in the order of the catalog (by sound) and in that of the title sort (by strokes)."""
+    rows = spark.createDataFrame([(t, 0) for t in ("一", "丁", "安", "中", "八", "乙", "Zeta", "alpha")], "title string, ord int")
+    place = lambda *order: F.row_number().over(Window.orderBy(*order))
+    return rows.select("title", place(F.collate("title", "zh")).alias("by_sound"), place(*catalog.order_of("title")).alias("by_strokes"))
+
+
+def catalog_order(spark, sf_dir):
+    """The rollup's rows in the order in which they come: unknown names first, then the fixed list."""
+    n = len(catalog.DIVISIONS)
+    kind = F.get(F.array(*map(F.lit, catalog.DIVISIONS)), F.pmod("ord", F.lit(n + 2)).cast("int"))
+    rows = catalog.rollup(entries(spark, sf_dir).withColumn("category", F.coalesce(kind, F.concat(F.lit("x"), F.pmod("ord", F.lit(n + 2)).cast("string")))))
+    return spark.createDataFrame([(i, r["name"], r["count"]) for i, r in enumerate(rows.collect())], "place int, name string, count long")
+
+
+def catalog_results(spark, sf_dir):
+    return catalog.results(catalog.in_category(entries(spark, sf_dir), "en"), 2, 30, F.col("ord")).select("id", "total")
+
+
+def catalog_default(spark, sf_dir):
+    """The entries of the category asked for; none is asked for, so of the first of the rollup."""
+    own = entries(spark, sf_dir)
+    return catalog.in_category(own, catalog.default_category(own, None)).select("id").unionByName(catalog.by_id(own, "7").select("id"))
+
+
+def catalog_files(spark, sf_dir):
+    """Catalog and index written and read again."""
+    path = fresh_path(spark, "catalog")
+    tables.write_catalog(entries(spark, sf_dir).drop("content"), path, "2026-01-01T00:00:00Z")
+    index = spark.read.json(f"{path}/index").select("version", "total_entries", "build_time")
+    total = index.join(spark.read.json(f"{path}/categories").agg(F.count("*").alias("names"), F.sum("count").alias("counted")), F.lit(True))
+    return spark.read.json(f"{path}/entries").agg(F.count("*").alias("entries"), F.sum("line_count").alias("lines"), F.max("ord").alias("last")).join(total, F.lit(True))
+
+
+def catalog_file(spark, sf_dir):
+    """A catalog file with its entries in one array."""
+    path = fresh_path(spark, "index.json")
+    few = spark.read.parquet(f"{sf_dir}/nation.parquet").orderBy("n_nationkey")
+    made = few.select(F.struct(F.col("n_name").alias("id"), F.concat("n_name", F.lit(" 經")).alias("title"), F.lit(3).alias("lineCount"), F.col("n_nationkey").alias("size")).alias("e"), "n_nationkey")
+    text = made.agg(F.to_json(F.struct(F.lit(2).alias("version"), F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "e"))), lambda x: x["e"]).alias("entries")))).head()[0]
+    write_text(spark, path, text)
+    return tables.read_catalog(spark, path).select("id", "title", "line_count", "size", "ord")
+
+
+def content_store(spark, sf_dir):
+    """Contents written by id; one is looked up in its own bucket."""
+    path = fresh_path(spark, "content")
+    tables.write_documents(entries(spark, sf_dir), path)
+    every = spark.read.parquet(path).select("id", F.length("content").alias("chars"))
+    return every.unionByName(tables.read_document(spark, path, "7").select(F.concat(F.lit("one "), "id").alias("id"), F.length("content").alias("chars")))
+
+
+def overrides_file(spark, sf_dir):
+    """Corrections written, changed, written back and read again; a book that loses its last one goes from the file."""
+    path = fresh_path(spark, "overrides.json")
+    own = _overrides(_written_blocks(spark, sf_dir))
+    tables.write_overrides(own, path)
+    n = F.col("book_id").try_cast("long")
+    changes = own.where("type = 'subheading'").select("book_id", "key", F.lit("verse").alias("type"), F.lit(2).alias("level"), F.lit(2).cast("long").alias("reviewed_at"), (F.pmod(n, F.lit(2)) == 0).alias("remove"))
+    bad = changes.limit(0).unionByName(spark.createDataFrame([("a", "1:x", "nope", 1, 3, False), ("a", "1:x", "quote", 1, 2, False), ("a", "", "quote", 1, 2, False), ("b", "1:x", "quote", None, 1, False), ("b", "1:x", "quote", None, 2, True)], "book_id string, key string, type string, level int, reviewed_at long, remove boolean"))
+    tables.write_overrides(enrich.save_overrides(tables.read_side_file(spark, path, "overrides"), changes.unionByName(bad)), path)
+    return tables.read_side_file(spark, path, "overrides")
+
+
+def report_lines(spark, sf_dir):
+    """The report as it stands in its file, line by line."""
+    path = fresh_path(spark, "report.md")
+    blocks = settle(_all_blocks(spark, sf_dir))
+    report.write(blocks, corpus(spark, sf_dir), "2026-01-01", path)
+    return spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("line", "text"))
+
+
+# --- look-ups
+
+
+def _users(spark, sf_dir):
+    c = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return c.select(F.col("c_custkey").cast("string").alias("id"), F.concat(F.replace("c_name", F.lit("#"), F.lit(".")), F.lit("@Example.org")).alias("email"), F.col("c_name").alias("name"), F.lit(1).cast("long").alias("created_at"))
+
+
+def user_lookups(spark, sf_dir):
+    users = _users(spark, sf_dir)
+    return behaviour.user_by_email(users, "  customer.000000007@EXAMPLE.org ").select("id", "email", F.lit("email").alias("by")).unionByName(behaviour.user_by_id(users, "9").select("id", "email", F.lit("id").alias("by")))
+
+
+def registration(spark, sf_dir):
+    """Customers of odd keys are known; all register, with addresses and passwords of every kind."""
+    users = _users(spark, sf_dir)
+    k = F.col("id").cast("long")
+    mail = F.when(k % 5 == 0, F.concat(F.lit(" "), F.upper("email"))).when(k % 7 == 0, F.replace("email", F.lit("@"), F.lit(" "))).when(k % 11 > 0, F.col("email"))
+    asks = users.select("id", mail.alias("email"), (k % 9).cast("int").alias("password_length"))
+    return behaviour.valid_registration(asks, users.where(k % 2 == 1)).select("id", "status")
+
+
+def progress_lookup(spark, sf_dir):
+    return behaviour.progress_in(progress_latest(spark, sf_dir), "7", "page_view")
+
+
+def scroll_share(spark, sf_dir):
+    n = F.col("event_id")
+    return _events(spark, sf_dir).select("event_id", F.round(behaviour.scroll_progress(n % 7, n % 9), 9).alias("share"))
+
+
+def job_lookups(spark, sf_dir):
+    n = F.col("o_orderkey")
+    jobs = spark.read.parquet(f"{sf_dir}/orders.parquet").select(n.cast("string").alias("id"), F.col("o_custkey").cast("string").alias("book_id"), F.concat(F.lit("b"), (n % 3).cast("string")).alias("block_id"), F.when(n % 2 == 0, "scene").otherwise("map").alias("type"))
+    return behaviour.job_by_id(jobs, "7").withColumn("by", F.lit("id")).unionByName(behaviour.job_of_block(jobs, "7", "b1").withColumn("by", F.lit("block")))
+
+
+# --- retrieval
+
+
+def question_references(spark, sf_dir):
+    asked = spark.createDataFrame(ASKED, "question_id long, q string, book_id string, book_title string, block_id string")
+    return retrieve.references_of(settle(corpus(spark, sf_dir)), asked)
+
+
+def query_as_typed(spark, sf_dir):
+    """A simplified query finds traditional texts; by mode full text or metadata."""
+    own = corpus(spark, sf_dir)
+    full = search.find(own, " 灵宝领教 ").select("id", "matched_term", "match_count", F.lit("full").alias("mode"))
+    other = [search.dispatch(own, "三洞", mode).select("id", F.lit(None).cast("string").alias("matched_term"), F.lit(None).cast("int").alias("match_count"), F.lit(mode + " mode").alias("mode")) for mode in ("full", "meta")]
+    return full.unionByName(other[0]).unionByName(other[1])
+
+
+def chapter(spark, sf_dir):
+    blocks = _written_blocks(spark, sf_dir)
+    toc, first = search.chapter(blocks, parse.table_of_contents(blocks), "7", 5)
+    return toc.select("block_id", F.lit("toc").alias("part")).unionByName(first.select("block_id", F.lit("block").alias("part")))
+
+
+def tool_calls(spark, sf_dir):
+    """What becomes of calls: found, empty, or refused for the reason given."""
+    own, registry = corpus(spark, sf_dir), tools.Registry()
+    registry.add(tools.Tool("entry", lambda entry_id: catalog.by_id(own, entry_id), ("entry_id",)))
+    registry.add(tools.Tool("hidden", lambda entry_id: catalog.by_id(own, entry_id), ("entry_id",), "review"))
+    out = []
+    for i, (name, entry_id, permission) in enumerate(TOOL_CALLS):
+        try:
+            found = registry.call(name, {"entry_id": entry_id}, frozenset([permission]))
+            out.append((i, "found" if found.head() else "empty"))
+        except tools.ToolError as error:
+            out.append((i, str(error)))
+    return spark.createDataFrame(out, "call int, outcome string")
+
+
+def footnote_bodies(spark, sf_dir):
+    rows = _all_blocks(spark, sf_dir).select("book_id", "block_id", footnotes.definition(F.col("content")).alias("d")).where("d is not null")
+    return rows.select("book_id", "block_id", F.array_join(F.transform("d.nums", lambda n: n.cast("string")), ",").alias("nums"), "d.body")
+
+
+def footnote_segments(spark, sf_dir):
+    rows = _all_blocks(spark, sf_dir).where(F.col("content").rlike(footnotes.MARK) & ~footnotes.is_definition(F.col("content")))
+    return rows.select("book_id", "block_id", F.posexplode(footnotes.segments(F.col("content"))).alias("place", "s")).select("book_id", "block_id", "place", "s.kind", "s.value", "s.num")
+
+
+def footnote_display(spark, sf_dir):
+    return footnotes.display_type(_all_blocks(spark, sf_dir)).groupBy("type", "display").agg(F.count("*").alias("n"))
+
+
+def url_parts(spark, sf_dir):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    return part.select("p_partkey", T.url_component("p_name").alias("url"))
+
+
 def queries() -> dict:
     found = (
         catalog_rollup, catalog_summary, catalog_filter_page, catalog_metadata_search, catalog_facets, tag_counts, tag_rules,
@@ -471,6 +729,10 @@ def queries() -> dict:
         quota_counts, quota_keys, progress_latest, reading_duration_running, resume_links, job_patch_state, recent_items,
         chat_last10, ring_neighbours, toc_ancestors, toc_answers, page_fetch_at, footnote_counts, progress_of_user, quota_used,
         job_reuse, unique_insert, duplicate_keys, catalog_sorted, content_lookup, corpus_scan,
+        event_batch_status, event_append, event_stream, catalog_build, catalog_positions, title_order, catalog_order,
+        catalog_results, catalog_default, catalog_files, catalog_file, content_store, overrides_file, report_lines,
+        user_lookups, registration, progress_lookup, scroll_share, job_lookups, question_references, query_as_typed,
+        chapter, tool_calls, footnote_bodies, footnote_segments, footnote_display, url_parts,
     )
     return {f.__name__: f for f in found}
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone import schemas
+from inkstone.operators import catalog
+from inkstone.sources.stage import write_text
 
 
 def scan_texts(spark: SparkSession, folder: str) -> DataFrame:
@@ -50,13 +52,37 @@ def corpus(entries: DataFrame, contents: DataFrame) -> DataFrame:
     return entries.join(contents.select("id", "content"), "id")
 
 
-def write_documents(contents: DataFrame, path: str) -> None:
-    """(id, content) as one Parquet table."""
-    contents.select("id", "content").write.mode("overwrite").parquet(path)
+def write_documents(contents: DataFrame, path: str, buckets: int = 64) -> None:
+    """(id, content) as one Parquet table, dealt by a hash of the id, so that one id is looked up in one folder."""
+    contents.select("id", "content", _bucket(F.col("id"), buckets).alias("bucket")).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(path)
 
 
-def write_catalog(entries: DataFrame, path: str) -> None:
-    entries.write.mode("overwrite").parquet(path)
+def read_document(spark: SparkSession, path: str, entry_id: str, buckets: int = 64) -> DataFrame:
+    """The (id, content) of one id; the other buckets are not read."""
+    rows = spark.read.parquet(path)
+    return rows.where((F.col("bucket") == _bucket(F.lit(entry_id), buckets)) & (F.col("id") == entry_id)).select("id", "content")
+
+
+def _bucket(entry_id: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(entry_id), F.lit(buckets)).cast("int")
+
+
+def write_catalog(entries: DataFrame, path: str, built: str, version: int = 2) -> None:
+    """The catalog: path/entries as JSON lines with their position, path/categories, and path/index, one row with version, build time and total."""
+    entries.write.mode("overwrite").json(f"{path}/entries")
+    catalog.rollup(entries).coalesce(1).write.mode("overwrite").json(f"{path}/categories")
+    catalog.summary(entries, version, built).coalesce(1).write.mode("overwrite").json(f"{path}/index")
+
+
+def write_overrides(overrides: DataFrame, path: str) -> None:
+    """Overrides as the JSON map that read_side_file reads, written whole; books without any are left out.
+
+    It is a file of human decisions, small enough for one row.
+    """
+    one = F.struct("type", "level", F.col("reviewed_at").alias("reviewedAt"))
+    books = overrides.groupBy("book_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("key"), one.alias("value"))))).alias("own"))
+    found = books.agg(F.to_json(F.map_from_entries(F.collect_list(F.struct("book_id", "own")))).alias("text")).head()
+    write_text(overrides.sparkSession, path, found["text"] or "{}")
 
 
 def sitemap(entries: DataFrame, base: str) -> DataFrame:

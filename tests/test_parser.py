@@ -138,3 +138,20 @@ def test_overrides(spark, blocks):
     assert parse.table_of_contents(fixed).where("book_id = 'f4'").count() == 1
     changes = spark.createDataFrame([("f4", "2:短句甲", None, None, 2, True), ("f1", "k", "verse", None, 3, False), ("f1", "j", "image", None, 3, False)], schema + ", remove boolean")
     assert sorted((r.book_id, r.key) for r in enrich.save_overrides(one, changes).collect()) == [("f1", "k"), ("f4", "999:x")]
+
+
+def test_pages_of_one_book_with_half_of_all_lines(spark):
+    """A book that arrives in many batches is cut like any other; the state is carried from batch to batch."""
+    rng = random.Random(1)
+    books = {f"b{k}": [(rng.choice([1, 40, 300, 900, 2500]), rng.random() < 0.3) for _ in range(n)] for k, n in enumerate([6000, 1, 2, 3000, 2999, 1])}
+    rows = [(b, i, "heading" if head else "paragraph", "x" * length) for b, sizes in books.items() for i, (length, head) in enumerate(sizes)]
+    rng.shuffle(rows)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        found = paginate.assign_pages(spark.createDataFrame(rows, "book_id string, block_seq int, type string, content string")).select("book_id", "block_seq", "page_index").collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    pages = {}
+    for b, i, page in found:
+        pages.setdefault(b, {}).setdefault(page, []).append(i)
+    assert {b: [min(own[p]) for p in sorted(own)] for b, own in pages.items()} == {b: [first for first, _ in pages_model(sizes)] for b, sizes in books.items()}
