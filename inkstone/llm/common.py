@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from inkstone.sources.stage import settle, shared_dir  # noqa: F401  what a stage writes, for all operators
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the input tables; only Spark's readers open the path."""
@@ -28,33 +27,6 @@ def free(taken: list[str], name: str) -> str:
     return name
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where the session names none, a temporary one if it is local, else an error."""
-    if found := spark.conf.get("spark.checkpoint.dir", None):
-        return found
-    if (found := spark.sparkContext.getCheckpointDir()) is None:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="inkstone-"))
-        found = spark.sparkContext.getCheckpointDir()
-    return found
-
-
-def settle(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again.
-
-    The lineage ends there, so neither a lost executor nor a second use makes Spark
-    compute df again.  The files go when the application ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/settled-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """Connected components of an undirected graph: (id, component), component the smallest id reachable.
 
