@@ -157,11 +157,12 @@ def train(docs: DataFrame, labels: DataFrame, test_fold: tuple[int, int] | None
     def run(batches):
         for batch in batches:
             x = statistics(batch.column(0))
-            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), batch.column(1)], ["x", "y"])
+            yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in x], pa.binary()), batch.column(1), batch.column(2)], ["x", "y", "id"])
 
     wanted = sampled(labelled(labels, "quality", doc_id, test_fold), most)
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text")).join(F.broadcast(wanted), "id")
-    found = rows.select("text", "y").mapInArrow(run, "x binary, y int").toArrow()
+    # One row for an id, however many documents share it: the sample is bounded in rows as in ids.
+    found = rows.select("text", "y", "id").mapInArrow(run, "x binary, y int, id long").groupBy("id").agg(F.min("x").alias("x"), F.first("y").alias("y")).orderBy("id").toArrow()
     x = np.frombuffer(b"".join(found["x"].to_pylist())).reshape(-1, WIDTH)
     return fit(x, found["y"].to_numpy().astype(float))
 
@@ -190,8 +191,9 @@ def op6_quality_classifier(spark, sf_dir: str) -> DataFrame:
     """Query: the quality of every document.
 
     Learned from labelled rows outside fold 1 of 3.  Null, empty and blank texts are
-    scored by their (zero) statistics.  Repeated rows and null ids are returned as they
-    come; without labels every score is 0.5.  Other columns are not read.
+    scored by their (zero) statistics, very long ones whole.  Repeated rows and null ids are
+    returned as they come; without labels every score is 0.5.  Other columns are not read;
+    an empty table gives an empty result.
     """
     docs = table(spark, sf_dir, "documents")
     out = scores(docs, train(docs, table(spark, sf_dir, "labels")))
