@@ -12,6 +12,7 @@ case.  The model is fitted on the driver from PER_LANGUAGE documents of each lan
 expectation, chosen by a hash of the id.  Of a longer text a slice of LONGEST characters is
 taken, at a place that the hash gives, and where a language's sample would exceed SAMPLE
 bytes all its slices shrink alike; no text and no language is left out for its length.
+The sample that reaches the driver has SAMPLE bytes for each language.
 Scoring reads whole texts of all rows, a few hundred KB at a time.
 """
 
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkstone.llm.common import fold, table
+from inkstone.llm.common import fold, settle, table
 from inkstone.llm.wordhash import LOWER, texts
 
 ORDER = 4
@@ -177,17 +178,15 @@ def train(docs: DataFrame, test_fold: tuple[int, int] | None = (4, 2), doc_id: s
         rows = rows.where(fold(doc_id, test_fold[0]) != test_fold[1])
     rows = rows.select(F.col(doc_id).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     size = F.octet_length("text") * F.least(F.lit(1.0), LONGEST / F.length("text"))
-    counts = {r["lang"]: (r["n"], r["bytes"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")).collect()}
-    if not counts:
+    # By language, the share of its documents and the part of a slice that are taken; a table like any other.
+    counts = settle(rows.groupBy("lang").agg(F.count("*").alias("n"), F.sum(size).alias("bytes")))
+    if counts.isEmpty():
         return None
-    rate, part = F.lit(0), F.lit(1.0)
-    for name, (n, total) in counts.items():
-        share = min(1.0, PER_LANGUAGE / n)
-        rate = F.when(F.col("lang") == name, int((1 << 30) * share)).otherwise(rate)
-        part = F.when(F.col("lang") == name, min(1.0, SAMPLE / (total * share))).otherwise(part)
+    share = F.least(F.lit(1.0), PER_LANGUAGE / F.col("n"))
+    part = F.least(F.lit(1.0), SAMPLE / (F.col("bytes") * share))
     # A language of few documents may lose all of them to no chance: its rate is 1.
-    found = rows.where(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 30)) < rate)
-    length = F.ceil(F.least(F.length("text"), F.lit(LONGEST)) * part).cast("int")
+    found = rows.join(counts.select("lang", (share * (1 << 30)).cast("long").alias("rate"), part.alias("part")), "lang").where(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 30)) < F.col("rate"))
+    length = F.ceil(F.least(F.length("text"), F.lit(LONGEST)) * F.col("part")).cast("int")
     start = F.pmod(F.xxhash64("id", F.lit(9)), F.length("text") - length + 1).cast("int") + 1
     found = found.select("lang", F.substring("text", start, length).alias("text")).orderBy("lang").toArrow()
     names = found["lang"].to_pylist()
@@ -225,7 +224,9 @@ def identify(docs: DataFrame, model: Model | None, doc_id: str = "doc_id", text:
 def op8_language_id(spark, sf_dir: str) -> DataFrame:
     """Query: the language of every document, learned outside fold 2 of 4.
 
-    Repeated rows and null ids are returned as they come; other columns are not read.
+    Null, empty and letterless texts are `und`; very long ones are scored whole.  Repeated
+    rows and null ids are returned as they come; other columns are not read; an empty table
+    gives an empty result.
     """
     docs = table(spark, sf_dir, "documents")
     out = identify(docs, train(docs))
