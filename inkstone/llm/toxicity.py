@@ -6,9 +6,10 @@ neighbours rather than documents, so copies of one text lend none to their words
 The sample has at most TOXIC and CLEAN documents, chosen by a hash of the id.
 
 A word of a text is run as a Levenshtein automaton (states: position and errors so far)
-down the lexicon trie.  One error is allowed in words of FUZZY letters or more, never in
-the first letter.  Most words never meet the trie: a table of the three bytes with which
-a word can begin at all, made from the same automaton, turns them away by the million.
+down the lexicon trie.  One error is allowed in words of FUZZY letters or more, anywhere in
+them: a letter replaced, missing or too many, or two neighbours swapped.  Most words never
+meet the trie: tables of the bytes with which a word can begin at all, made from the same
+errors, turn them away by the million.
 Misspelt forms that the clean sample itself contains are exceptions.  Digits and signs end
 a word; words that only they join also meet the trie as one, signs as letters, at the same
 bound on errors, so that a letter replaced by a sign is found.
@@ -39,6 +40,7 @@ BRANCHES = 3  # letters that follow a stem
 ODDS = 12.0  # times likelier in toxic documents
 TALLY = 200_000  # terms counted in memory before they go to the exchange
 FUZZY = 5
+SWAP = 2
 STEM = (3, 7)
 WINDOW = 8
 EXACT, MISSPELT, QUOTED, CLUSTER = 0.6, 0.28, 0.4, 1.3
@@ -103,49 +105,71 @@ class Trie:
                 if ways and (best is None or (min(ways), -depth) < best[0]):
                     best = ((min(ways), -depth), end[0])
             for c, child in node.items():
-                if c and (nxt := self._step(word, n, states, c, depth)):
+                if c and (nxt := self._step(word, n, states, c)):
                     todo.append((child, depth + 1, nxt))
         return best and (best[1], best[0][0])
 
     @staticmethod
-    def _step(word: str, n: int, states: tuple, c: str, depth: int) -> tuple:
+    def _step(word: str, n: int, states: tuple, c: str) -> tuple:
+        """The states after letter c of a term; SWAP: the errors of a state that waits for the first of two swapped letters."""
         out: dict[int, int] = {}
+        swaps = []
         for i, e in states:
+            if e == SWAP:
+                if word[i] == c:
+                    out[i + 2] = min(1, out.get(i + 2, 9))
+                continue
             if i < n and word[i] == c:
                 out[i + 1] = min(e, out.get(i + 1, 9))
-            if e == 0 and depth:
+            if e == 0:
                 for j in (i, i + 1):  # c is missing in word, or another letter stands for it
                     if j <= n:
                         out[j] = min(1, out.get(j, 9))
-                if i + 1 < n and word[i + 1] == c:  # word has a letter too many
+                if i + 1 < n and word[i + 1] == c:  # word has a letter too many, or two swapped ones
                     out[i + 2] = min(1, out.get(i + 2, 9))
-        return tuple(out.items())
+                    if word[i] != c:
+                        swaps.append((i, SWAP))
+        return (*out.items(), *swaps)
 
 
-def gate(terms: dict[str, tuple[bool, float, bool]]) -> np.ndarray:
-    """By a word's first three bytes (24 bits): whether any term can match it."""
-    out = np.zeros((256, 256, 256), bool)
+def gates(terms: dict[str, tuple[bool, float, bool]]) -> tuple[np.ndarray, np.ndarray]:
+    """By a word's first three bytes, and by its second to fourth (24 bits each): whether any term can match it by either."""
+    out = np.zeros((2, 256, 256, 256), bool)
     for term, (stem, _, loose) in terms.items():
-        p = term.encode() + b"\0\0\0"
+        letters = list(term[:5])
         if not loose or len(term) < FUZZY + stem:
-            out[p[0], p[1], p[2]] = True
-            continue
-        size = len(term[0].encode())  # the first letter stands as it is
-        if size > 1:
-            out[p[0], p[1], :] = True
+            p = term.encode() + b"\0\0\0"
+            out[0, p[0], p[1], p[2]] = True
             continue
-        out[p[0], :, p[2]] = out[p[0], p[1], :] = True  # another letter, or one too many after the second
-        out[p[0], p[2], p[3]] = out[p[0], :, p[1]] = True  # one missing, or one too many
-        out[p[0], 0xC3:0xC6, 0x80:0xC0] = True  # a letter of two bytes in either way
-        if p[1] >= 0x80:
-            out[p[0], :, :] = True
-    return out.reshape(-1)
+        ways = [letters]
+        for k in range(3):  # later errors leave the first three bytes as they are
+            ways += [letters[:k] + [None] + letters[k + 1 :], letters[:k] + [None] + letters[k:], letters[:k] + letters[k + 1 :]]
+            ways.append(letters[:k] + [letters[k + 1], letters[k]] + letters[k + 2 :])
+        for way in ways:
+            for spans in _bytes(way):
+                # A word that begins with any one byte is looked up by the three that follow.
+                late = spans[0] == _ANY[0][0]
+                out[(int(late), *(slice(*x) for x in spans[late : late + 3]))] = True
+    return out[0].reshape(-1), out[1].reshape(-1)
+
+
+#: Ranges of the bytes of a letter of one to four bytes.
+_ANY = tuple([lead, *[(0x80, 0xC0)] * n] for n, lead in enumerate([(0, 0x80), (0xC2, 0xE0), (0xE0, 0xF0), (0xF0, 0xF8)]))
+
+
+def _bytes(letters: list[str | None]) -> list[list[tuple[int, int]]]:
+    """The byte ranges, four at least, of a beginning in which None is any letter."""
+    out: list[list[tuple[int, int]]] = [[]]
+    for c in letters:
+        own = _ANY if c is None else [[(x, x + 1) for x in c.encode()]]
+        out = [way + part for way in out for part in (own if len(way) < 4 else [[]])]
+    return [way + [(0, 256)] * (4 - len(way)) for way in out]
 
 
 class Lexicon:
     def __init__(self, terms: dict[str, tuple[bool, float, bool]], exceptions: frozenset[str] = frozenset(), curve: tuple[float, ...] | None = None):
         self.terms, self.exceptions, self.curve = terms, exceptions, curve
-        self.trie, self.gate, self.cache = Trie(terms), np.packbits(gate(terms)), {}
+        self.trie, self.gates, self.cache = Trie(terms), tuple(map(np.packbits, gates(terms))), {}
         self.longest = max((len(t.encode()) for t in terms), default=0)
 
     def __getstate__(self):
@@ -184,8 +208,9 @@ class Lexicon:
     def _found(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[tuple[int, str, int, int]]:
         long = np.flatnonzero(ends - starts >= 3)
         at = starts[long]
-        three = (buf[at].astype(np.int32) << 16) | (buf[at + 1].astype(np.int32) << 8) | buf[at + 2]
-        long = long[(self.gate[three >> 3] >> (7 - (three & 7)).astype(np.uint8)) & 1 == 1]
+        first, second = ((buf[at + k].astype(np.int32) << 16) | (buf[at + k + 1].astype(np.int32) << 8) | buf[np.minimum(at + k + 2, len(buf) - 1)] for k in (0, 1))
+        may = lambda gate, three: (gate[three >> 3] >> (7 - (three & 7)).astype(np.uint8)) & 1 == 1
+        long = long[may(self.gates[0], first) | may(self.gates[1], second)]
         if not len(long):
             return []
         _, first, which = np.unique(hash_words(buf, starts[long], ends[long]), return_index=True, return_inverse=True)
@@ -322,7 +347,7 @@ def train(docs: DataFrame, labels: DataFrame, test_fold: tuple[int, int] | None
     wanted = sampled(known.where("y = 1"), TOXIC).unionByName(sampled(known.where("y = 0"), CLEAN))
     all_of = {r.y: r.n for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     rows = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    sample = settle(rows.join(F.broadcast(wanted), "id").select("text", "y"))
+    sample = settle(rows.join(F.broadcast(wanted), "id").select("text", "y", "id"))
 
     def contexts(batches):
         for batch in batches:
@@ -386,10 +411,13 @@ def train(docs: DataFrame, labels: DataFrame, test_fold: tuple[int, int] | None
     def gathered(batches):
         for batch in batches:
             labels_of = batch.column(1).to_pylist()
-            rows = [(*x, labels_of[row]) for row, x, _ in documents(batch.column(0), lexicon)]
-            yield pa.RecordBatch.from_arrays([pa.array([float(r[k]) for r in rows], pa.float64()) for k in range(4)], list("abcy"))
+            ids = batch.column(2).to_pylist()
+            rows = [(*x, labels_of[row], ids[row]) for row, x, _ in documents(batch.column(0), lexicon)]
+            yield pa.RecordBatch.from_arrays([*(pa.array([float(r[k]) for r in rows], pa.float64()) for k in range(4)), pa.array([r[4] for r in rows], pa.int64())], [*"abcy", "id"])
 
-    seen = sample.mapInArrow(gathered, "a double, b double, c double, y double").toArrow()
+    # One row for an id, however many documents share it.
+    each = sample.mapInArrow(gathered, "a double, b double, c double, y double, id long").groupBy("id").agg(F.min(F.struct("a", "b", "c", "y")).alias("x"))
+    seen = each.select("x.*").toArrow()
     x, y = np.array([seen[c].to_numpy() for c in "abc"]).T, seen["y"].to_numpy()
     weight = np.where(y == 1, all_of.get(1, 0) / toxic, all_of.get(0, 0) / max(1, clean))
     return Lexicon(terms, lexicon.exceptions, fit_curve(x, y, weight))
@@ -424,8 +452,9 @@ def choose(rates: dict[tuple[str, bool], tuple[float, float, bool]]) -> dict[str
 def op10_toxicity(spark, sf_dir: str) -> DataFrame:
     """Query: the toxicity of every document, learned outside fold 2 of 4.
 
-    Null and empty texts score 0.  Repeated rows and null ids are returned as they come;
-    other columns are not read; without toxic labels every score is 0.
+    Null and empty texts score 0; very long ones are scanned whole.  Repeated rows and null
+    ids are returned as they come; other columns are not read; without toxic labels every
+    score is 0; an empty table gives an empty result.
     """
     docs = table(spark, sf_dir, "documents")
     out = scores(docs, train(docs, table(spark, sf_dir, "labels")))
