@@ -7,8 +7,9 @@ holds it; a segment tree over the amounts of room finds it in log(row length) st
 
 A task packs its pieces in windows of WINDOW tokens, so memory does not follow the size of
 a partition, nothing is shuffled, and a lost task repeats the same rows.  Only the last
-rows of a window stay partly empty.  The vocabulary file is read once by Spark's reader,
-checked to be under VOCABULARY bytes and sent along with the tasks.
+rows of a window stay partly empty; a smaller window, which is a parameter, leaves more of
+them.  Rows depend on how the input is split, their tokens don't.  The vocabulary file is
+read once on the driver, checked to be under VOCABULARY bytes and sent along with the tasks.
 """
 
 from __future__ import annotations
@@ -89,10 +90,17 @@ def encoding(vocabulary: bytes):
 
 
 def vocabulary(spark: SparkSession, path: str = TOKENIZER) -> bytes:
-    found = spark.read.format("binaryFile").load(path if "://" in path else f"file://{path}").select("length", "content").head()
-    if found.length > VOCABULARY:
-        raise ValueError(f"{path} has {found.length} bytes; {VOCABULARY} are allowed")
-    return bytes(found.content)
+    """The bytes of a vocabulary file: a path of the driver's machine, or a URL that Spark reads; executors need no file."""
+    if "://" in path:
+        found = spark.read.format("binaryFile").load(path).select("length", "content").head()
+        size, content = found.length, found.content
+    else:
+        with open(path, "rb") as file:
+            content = file.read(VOCABULARY + 1)
+        size = len(content)
+    if size > VOCABULARY:
+        raise ValueError(f"{path} has {size} bytes; {VOCABULARY} are allowed")
+    return bytes(content)
 
 
 def pack(docs: DataFrame, length: int = LENGTH, tokenizer: str = TOKENIZER, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
