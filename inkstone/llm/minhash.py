@@ -6,8 +6,8 @@ with probability 1 - s.  Documents are compared when they differ in at most REAC
 positions: the positions are split into chunks of WIDTH, two signatures within REACH
 then agree in some chunk but for one position (pigeonhole), and a key for each chunk
 and each position left out enumerates that error.  So every pair within REACH meets
-under some key.  At s = 0.8 a pair lies beyond REACH with probability 1.2e-4, at 0.85
-with 2e-6; unrelated documents meet under a key with probability 2**-48.
+under some key.  At s = 0.8 a pair lies beyond REACH with probability 1.44e-4, at 0.85
+with 3.5e-6 (binomial tails); unrelated documents meet under a key with probability 2**-48.
 
 Links come from the exact shingle sets of the documents that signatures bring
 together (64-bit shingle hashes).  Documents with equal sets are one vertex all along,
