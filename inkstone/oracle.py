@@ -374,4 +374,12 @@ s AS (SELECT book_id, block_id, list_filter(flatten(list_transform(range(1, len(
 SELECT book_id, block_id, place, x.kind AS kind, x.value AS value, CASE WHEN x.kind = 'ref' THEN substr(x.value, 2)::BIGINT END AS num FROM (SELECT book_id, block_id, unnest(range(len(s)))::INT AS place, unnest(s) AS x FROM s)""",
     "footnote_display": f"WITH {ALL} SELECT type, CASE WHEN regexp_matches(content, '{DEFINITION}') THEN 'footnote' ELSE type END AS display, count(*) AS n FROM blocks GROUP BY ALL",
     "url_parts": "SELECT p_partkey, url_encode(p_name) AS url FROM part",
+    "store_progress": f"WITH {_EV} SELECT user_id, event AS book_id, extra_json AS data_json, created_at AS updated_at FROM ev QUALIFY row_number() OVER (PARTITION BY user_id, event ORDER BY created_at DESC, extra_json DESC) = 1",
+    "store_quota": f"WITH {_EV} SELECT user_id AS quota_key, strftime(ts, '%Y-%m-%d') AS day, count(*) AS count FROM ev GROUP BY ALL",
+    "store_users": f"WITH {_USERS}, n AS (SELECT u.*, c_name AS name FROM u JOIN customer ON c_custkey = k) SELECT id, email, name, 1::BIGINT AS created_at FROM n WHERE k < 20 UNION ALL SELECT id, ' ' || upper(email), name, 1 FROM n WHERE k >= 20 AND k < 30",
+    "store_jobs": f"""WITH {_EV}, j AS (SELECT user_id AS id, 'k' || user_id AS block_id, min(created_at) AS made FROM ev GROUP BY user_id),
+p AS (SELECT user_id AS job_id, created_at AS seen, event_id AS patch_id, CASE WHEN event_id % 2 = 0 THEN event END AS status, CASE WHEN event_id % 7 = 0 THEN 'failed' END AS error, CASE WHEN event_id % 3 = 0 THEN '/i/' || event_id END AS image_url FROM ev),
+s AS (SELECT job_id AS id, arg_max(status, {{'a': seen, 'p': patch_id}}) FILTER (status IS NOT NULL) AS status, arg_max(error, {{'a': seen, 'p': patch_id}}) FILTER (error IS NOT NULL) AS error, arg_max(image_url, {{'a': seen, 'p': patch_id}}) FILTER (image_url IS NOT NULL) AS image_url, max(seen) AS updated_at FROM p GROUP BY job_id)
+SELECT id, block_id, coalesce(status, 'pending') AS status, error, image_url, made AS created_at, updated_at FROM j JOIN s USING (id)""",
+    "store_events": f"WITH {_SENT}, {_BODIES} SELECT event, count(*) AS n FROM (SELECT event FROM r WHERE good UNION ALL SELECT event FROM own) GROUP BY event",
 }

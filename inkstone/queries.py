@@ -13,6 +13,7 @@ from inkstone.functions import text as T
 from inkstone.operators import behaviour, catalog, enrich, footnotes, paginate, parse, report, retrieve, search, tools
 from inkstone.sources import tables
 from inkstone.sources.stage import fresh_path, settle, write_text
+from inkstone.sources.store import Store
 from inkstone.streaming import events as stream
 
 BASE = "https://example.org"
@@ -661,6 +662,57 @@ def job_lookups(spark, sf_dir):
     return behaviour.job_by_id(jobs, "7").withColumn("by", F.lit("id")).unionByName(behaviour.job_of_block(jobs, "7", "b1").withColumn("by", F.lit("block")))
 
 
+# --- the store: what it holds after two rounds of changes
+
+
+def _rounds(rows, n):
+    return rows.where(n % 2 == 0), rows.where(n % 2 == 1)
+
+
+def store_progress(spark, sf_dir):
+    store = Store(spark, fresh_path(spark, "store"))
+    rows = _events(spark, sf_dir).select("event_id", "user_id", F.col("event").alias("book_id"), F.col("extra_json").alias("data_json"), F.col("created_at").alias("updated_at"))
+    for own in _rounds(rows, F.col("event_id")):
+        store.save_progress(own)
+    return store.read("reading_progress")
+
+
+def store_quota(spark, sf_dir):
+    store = Store(spark, fresh_path(spark, "store"))
+    rows = _events(spark, sf_dir).select("event_id", F.col("user_id").alias("key"), F.col("ts").alias("at"))
+    for own in (*_rounds(rows, F.col("event_id")), rows.limit(0)):
+        store.use_quota(own)
+    return store.read("ai_quota")
+
+
+def store_users(spark, sf_dir):
+    store = Store(spark, fresh_path(spark, "store"))
+    users = _users(spark, sf_dir)
+    for own in (users.where("id < 20"), users.withColumn("email", F.concat(F.lit(" "), F.upper("email"))).where("id < 30")):
+        store.insert_users(own)
+    return store.read("users")
+
+
+def store_jobs(spark, sf_dir):
+    store = Store(spark, fresh_path(spark, "store"))
+    text = lambda x: F.lit(x).cast("string")
+    jobs = _events(spark, sf_dir).groupBy("user_id").agg(F.min("created_at").alias("created_at"))
+    jobs = jobs.select(F.col("user_id").alias("id"), text("b").alias("book_id"), F.concat(F.lit("k"), "user_id").alias("block_id"), text("scene").alias("type"), text("pending").alias("status"), text(None).alias("error"), text("p").alias("prompt"), text(None).alias("image_url"), "created_at", F.col("created_at").alias("updated_at"))
+    store.insert_jobs(jobs)
+    store.insert_jobs(jobs.withColumn("id", F.concat(F.lit("again "), "id")))
+    n = F.col("event_id")
+    patches = _events(spark, sf_dir).select(n, F.col("user_id").alias("job_id"), F.col("created_at").alias("at"), n.alias("patch_id"), F.when(n % 2 == 0, F.col("event")).alias("status"), F.when(n % 7 == 0, F.lit("failed")).alias("error"), F.when(n % 3 == 0, F.concat(F.lit("/i/"), n.cast("string"))).alias("image_url"))
+    store.patch_jobs(patches)
+    return store.read("illustration_jobs").select("id", "block_id", "status", "error", "image_url", "created_at", "updated_at")
+
+
+def store_events(spark, sf_dir):
+    store = Store(spark, fresh_path(spark, "store"))
+    for own in (_requests(spark, sf_dir), _bodies(spark)):
+        store.insert_events(own)
+    return store.read("analytics_events").groupBy("event").agg(F.count("*").alias("n"))
+
+
 # --- retrieval
 
 
@@ -733,6 +785,7 @@ def queries() -> dict:
         catalog_results, catalog_default, catalog_files, catalog_file, content_store, overrides_file, report_lines,
         user_lookups, registration, progress_lookup, scroll_share, job_lookups, question_references, query_as_typed,
         chapter, tool_calls, footnote_bodies, footnote_segments, footnote_display, url_parts,
+        store_progress, store_quota, store_users, store_jobs, store_events,
     )
     return {f.__name__: f for f in found}
 

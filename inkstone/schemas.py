@@ -7,6 +7,7 @@ BLOCK = "book_id string, block_seq int, block_id string, type string, content st
 OVERRIDE = "book_id string, key string, type string, level int, reviewed_at long"
 ILLUSTRATION = "book_id string, key string, image string, caption string, position string, ai_generated boolean"
 PROGRESS = "user_id string, book_id string, data_json string, updated_at long"
+QUOTA = "quota_key string, day string, count long"
 USER = "id string, email string, name string, created_at long"
 EVENT = "event string, user_id string, session_id string, book_id string, platform string, extra_json string, created_at long"
 JOB = "id string, book_id string, block_id string, type string, status string, error string, prompt string, image_url string, created_at long, updated_at long"

@@ -50,3 +50,21 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     out = files.create(at, True)
     out.write(bytearray(text.encode()))
     out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    """The text of one small file, None where there is none."""
+    at, files = _at(spark, path)
+    if not files.exists(at):
+        return None
+    source = files.open(at)
+    try:
+        return bytes(source.readAllBytes()).decode()
+    finally:
+        source.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A file or folder, with all it holds, if it is there."""
+    at, files = _at(spark, path)
+    files.delete(at, True)
