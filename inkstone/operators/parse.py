@@ -1,8 +1,8 @@
 """Structural parsing: lines become typed blocks with a confidence, blocks a table of contents.
 
 Every rule looks at one line, except the title (the first line with text) and runs of
-verse, which two windows over a book's lines find.  The regular expressions are evaluated
-before the exchange, and all windows share its partitioning by book.
+verse, which two windows over a book's lines find.  The one exchange moves whole texts, by
+book; rules and all windows share its partitioning.
 """
 
 from __future__ import annotations
@@ -31,8 +31,12 @@ STRONG_END = r"[品篇章訣诀符圖图讚赞頌颂咒呪誥诰]\z"
 
 
 def source_lines(books: DataFrame) -> DataFrame:
-    """(book_id, title, idx, text, indented) of every line, text trimmed; a null source counts as empty."""
-    rows = books.select("book_id", "title", F.posexplode(T.lines(F.coalesce("source", F.lit("")))).alias("idx", "line"))
+    """(book_id, title, idx, text, indented) of every line, text trimmed; a null source counts as empty.
+
+    Books are dealt by their id while they are one text each: what is sent is smaller than
+    lines with their rules, and all windows over a book find it in place.
+    """
+    rows = books.repartition("book_id").select("book_id", "title", F.posexplode(T.lines(F.coalesce("source", F.lit("")))).alias("idx", "line"))
     return rows.select("book_id", "title", "idx", T.trim("line").alias("text"), F.col("line").rlike(rf"^{T.SPACE}*\x{{3000}}").alias("indented"))
 
 
