@@ -95,7 +95,8 @@ def visible_text(blocks: DataFrame, most: int = 6000) -> DataFrame:
     """(book_id, text): what a reader sees of a book, cut to `most` characters; blocks beyond them are not joined."""
     shown = blocks.where(F.col("type").isin("paragraph", "heading", "subheading", "annotation"))
     before = Window.partitionBy("book_id").orderBy("block_seq").rowsBetween(Window.unboundedPreceding, -1)
-    near = shown.withColumn("_at", F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0))).where(F.col("_at") < most)
+    # A block that begins right behind the cut still has its line end before it.
+    near = shown.withColumn("_at", F.coalesce(F.sum(F.length("content") + 1).over(before), F.lit(0))).where(F.col("_at") <= most)
     return _joined(near).withColumn("text", F.substring("text", 1, most))
 
 
