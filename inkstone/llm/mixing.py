@@ -58,7 +58,7 @@ def features(text: str) -> Column:
 
 def topic_of(features: Column, centre: Column) -> Column:
     """t0 to t3: on which side of its language's shares a text lies; t0 without words."""
-    side = lambda bit: F.when(features[bit] / features["tokens"] > centre[bit], 1).otherwise(0)
+    side = lambda bit: F.when(F.try_divide(features[bit], features["tokens"]) > centre[bit], 1).otherwise(0)
     return F.when(features["tokens"] > 0, F.concat(F.lit("t"), (side("one") + 2 * side("two")).cast("string"))).otherwise("t0")
 
 
@@ -163,7 +163,7 @@ def decided(docs: DataFrame, targets, doc_id: str, text: str, dims: dict[str, Co
     topic = F.col(own)["topic"] if dims else topic_of(F.col(own)["f"], F.col(centre))
     if not dims:
         seen = settle(rows.select(F.col(own).alias("own")))
-        rate = lambda bit: (F.sum(f"own.f.{bit}") / F.sum("own.f.tokens")).alias(bit)
+        rate = lambda bit: F.try_divide(F.sum(f"own.f.{bit}"), F.sum("own.f.tokens")).alias(bit)
         centres = seen.groupBy(F.col("own.lang").alias("lang")).agg(F.struct(rate("one"), rate("two")).alias("centre"))
         centres = bounded(centres.select(F.struct("lang", "centre.one", "centre.two").alias(centre)))
         met = lambda df, at: df.join(centres, at["lang"] == F.col(centre)["lang"], "left")

@@ -131,3 +131,10 @@ def test_a_rare_cell_does_not_set_the_size(spark):
     assert sum(r._kept for r in out) > 600
     half = mixing.weighted(df, share=0.5).collect()
     assert sum(r._probability * r._tokens for r in half) == pytest.approx(0.5 * total, rel=1e-4)
+
+
+def test_languages_without_words_and_very_long_texts(spark):
+    """A language whose texts hold no word has no shares; every word of a long text counts."""
+    rows = [(1, " ", "s", "xx"), (2, None, "s", "yy"), (3, "a b " * 300_000, "s", "en"), (4, "a c", "t", "en")]
+    out = {r.doc_id: r for r in mixing.weighted(spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")).collect()}
+    assert [out[k]._tokens for k in (1, 2, 3, 4)] == [0, 0, 600_000, 2] and not out[1]._kept and not out[2]._kept
