@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from inkstone.llm.common import components, settle, table
 from inkstone.llm.linking import Forest
@@ -44,13 +45,19 @@ def _codes(vectors: np.ndarray, bits: int, tables: int) -> np.ndarray:
     return (signs * (1 << np.arange(bits, dtype=np.uint32))).sum(-1, dtype=np.uint32)
 
 
+def _small(bits: int):
+    """The type of a code: what is sent to a task is no larger than it must be."""
+    return np.uint16 if bits <= 16 else np.uint32
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     vectors = vectors / np.abs(vectors).max(1, keepdims=True)
     return vectors / np.sqrt((vectors * vectors).sum(1, keepdims=True))
 
 
-def _hashed(bits: int, tables: int):
-    """(id, label, dim, unit vector, codes, table codes) of the classes."""
+def _hashed(bits: int, tables: int, kind):
+    """(id, label, dim, vector as stored, codes, table codes) of the classes."""
+    small = _small(bits)
 
     def run(batches):
         for whole in batches:
@@ -66,8 +73,8 @@ def _hashed(bits: int, tables: int):
                     codes = _codes(unit, bits, tables)
                     where = (np.arange(tables, dtype=np.int64) << 32) | codes
                     yield pa.RecordBatch.from_arrays(
-                        [part.column("id"), part.column("label"), pa.array(np.full(len(rows), dim, np.int64)), part.column("copies"), pa.array([x.tobytes() for x in unit], pa.binary()), pa.array([x.tobytes() for x in codes], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, where.size + 1, tables, dtype=np.int32)), pa.array(where.reshape(-1)))],
-                        ["id", "label", "dim", "copies", "unit", "codes", "places"],
+                        [part.column("id"), part.column("label"), pa.array(np.full(len(rows), dim, np.int64)), part.column("copies"), pa.array([x.tobytes() for x in flat.astype(kind).reshape(len(rows), dim)], pa.binary()), pa.array([x.tobytes() for x in codes.astype(small)], pa.binary()), pa.ListArray.from_arrays(pa.array(np.arange(0, where.size + 1, tables, dtype=np.int32)), pa.array(where.reshape(-1)))],
+                        ["id", "label", "dim", "copies", "raw", "codes", "places"],
                     )
 
     return run
@@ -82,14 +89,15 @@ def _fixed(column: pa.ChunkedArray, kind) -> np.ndarray:
     return np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]].view(kind).reshape(len(column), -1)
 
 
-def _counted(cosine: float, tables: int):
+def _counted(cosine: float, tables: int, bits: int, kind):
     """Per bucket and pair of blocks: (a, null, links of a) and spanning edges (a, b, null)."""
+    code = _small(bits)
 
     def bucket(rows: pa.Table):
         ids, copies = rows["id"].to_numpy(), rows["copies"].to_numpy()
-        place, left, right = rows["place"][0].as_py() >> 32, rows["_i"][0].as_py(), rows["_j"][0].as_py()
-        unit = np.frombuffer(b"".join(rows["unit"].to_pylist())).reshape(len(ids), -1)
-        codes = np.frombuffer(b"".join(rows["codes"].to_pylist()), np.uint32).reshape(len(ids), tables)
+        place, left, right = rows["bucket"][0].as_py() & 1023, rows["_i"][0].as_py(), rows["_j"][0].as_py()
+        unit = _unit(_fixed(rows["raw"], kind).astype(np.float64))
+        codes = _fixed(rows["codes"], code)
         own = rows["_block"].to_numpy()
         a = np.flatnonzero(own == left)
         b = a if left == right else np.flatnonzero(own == right)
@@ -118,8 +126,8 @@ def _counted(cosine: float, tables: int):
 
     def small(rows: pa.Table, cuts: np.ndarray):
         """All buckets of a few rows at once: one pass for each distance between two rows of a bucket."""
-        ids, copies, place = rows["id"].to_numpy(), rows["copies"].to_numpy(), rows["place"].to_numpy() >> 32
-        unit, codes = _fixed(rows["unit"], np.float64), _fixed(rows["codes"], np.uint32)
+        ids, copies, place = rows["id"].to_numpy(), rows["copies"].to_numpy(), rows["bucket"].to_numpy() & 1023
+        unit, codes = _unit(_fixed(rows["raw"], kind).astype(np.float64)), _fixed(rows["codes"], code)
         which = np.repeat(np.arange(len(cuts) - 1), np.diff(cuts))
         links, edges = np.zeros(len(ids), np.int64), [np.empty((0, 2), np.int64)]
         for step in range(1, int(np.diff(cuts).max(initial=0))):
@@ -141,7 +149,7 @@ def _counted(cosine: float, tables: int):
             ["a", "b", "links"],
         )
 
-    keys = ["label", "place", "dim", "_i", "_j"]
+    keys = ["bucket", "dim", "_i", "_j"]
 
     def whole(rows: pa.Table, cuts: np.ndarray):
         """Buckets between cuts, all of them complete."""
@@ -189,21 +197,26 @@ def near_vectors(vectors: DataFrame, cosine: float = 0.93, vec_id: str = "vec_id
     null component and kept = false.  Other columns are not read; an empty table gives
     an empty result.
     """
-    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<double>").alias("vector"), F.col(label).alias("label"))
+    # Single precision is sent as such; cosines are of the same doubles either way.
+    single = isinstance(getattr(vectors.schema[embedding].dataType, "elementType", None), FloatType)
+    kind = np.float32 if single else np.float64
+    rows = vectors.select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).cast("array<float>" if single else "array<double>").alias("vector"), F.col(label).alias("label"))
     # Labels of any type group as they are; a long stands for them in the tasks.
     sound = F.col("vector").isNotNull() & F.col("label").isNotNull() & F.col("id").isNotNull() & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0)
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False))).withColumn("label", F.xxhash64("label")).withColumn("h1", F.xxhash64("vector")).withColumn("h2", F.xxhash64(F.lit(1), "vector"))
     classes = settle(rows.where("sound").groupBy("label", "h1", "h2", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")))
     bits, tables = plan(classes.count(), cosine)
-    hashed = settle(classes.select("id", "label", "copies", "vector").mapInArrow(_hashed(bits, tables), "id long, label long, dim long, copies long, unit binary, codes binary, places array<long>"))
-    places = hashed.select("label", "dim", F.explode("places").alias("place"), "id")
-    sizes = places.groupBy("label", "dim", "place").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("long")).drop("_n")
-    dealt = places.join(sizes, ["label", "dim", "place"]).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
+    hashed = settle(classes.select("id", "label", "copies", "vector").mapInArrow(_hashed(bits, tables, kind), "id long, label long, dim long, copies long, raw binary, codes binary, places array<long>"))
+    # A bucket is known by one number; the low bits keep its table.
+    bucket = lambda place: ((F.xxhash64("label", place).bitwiseAND(F.lit(-1 << 10))) + F.shiftright(place, 32)).alias("bucket")
+    places = hashed.select(F.explode("places").alias("place"), "id", "label", "dim").select(bucket(F.col("place")), "dim", "id")
+    sizes = places.groupBy("bucket", "dim").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("_blocks", F.ceil(F.col("_n") / BLOCK).cast("long")).drop("_n")
+    dealt = places.join(sizes, ["bucket", "dim"]).withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")))
     dealt = dealt.withColumn("_x", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_blocks") - 1)))
     dealt = dealt.withColumn("_i", F.least("_x", "_block")).withColumn("_j", F.greatest("_x", "_block")).drop("_x", "_blocks")
-    dealt = dealt.join(hashed.select("id", "copies", "unit", "codes"), "id")
-    keys = ["label", "place", "dim", "_i", "_j"]
-    found = settle(dealt.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(_counted(cosine, tables), "a long, b long, links long"))
+    dealt = dealt.join(hashed.select("id", "copies", "raw", "codes"), "id")
+    keys = ["bucket", "dim", "_i", "_j"]
+    found = settle(dealt.repartition(*keys).sortWithinPartitions(*keys, "id").mapInArrow(_counted(cosine, tables, bits, kind), "a long, b long, links long"))
     links = found.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
     label_of = components(found.where("b is not null").select(F.col("a").alias("src"), F.col("b").alias("dst")))
     known = classes.select("label", "h1", "h2", "copies", F.col("id").alias("rep")).join(links, "rep", "left").join(label_of.withColumnRenamed("id", "rep"), "rep", "left")

@@ -37,6 +37,8 @@ def test_against_brute_force(spark, monkeypatch):
     df = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<float>, label int, id int, copies int").repartition(4)
     out = embeddings.near_vectors(df).collect()
     assert {r.id: (r.n_links, r.component) for r in out} == brute(rows)
+    wide = embeddings.near_vectors(df.withColumn("embedding", df["embedding"].cast("array<double>")), cosine=0.99).collect()
+    assert {r.id: (r.n_links, r.component) for r in wide} == brute(rows, 0.99)
     assert all(r.kept == (r.id == r.component) for r in out)
 
 
