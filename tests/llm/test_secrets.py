@@ -52,3 +52,12 @@ def test_checksums(spark):
     df = spark.createDataFrame([(1, f"use {good} now"), (2, bad), (3, f"npm_{body}{secrets.checksum(body)}")], "doc_id long, text string")
     assert [r.spans for r in secrets.scan(df).orderBy("id").collect()] == ["forge:4:44", "", "registry:0:40"]
     assert [r.text for r in secrets.redact(df).orderBy("doc_id").collect()] == ["use [forge] now", bad, "[registry]"]
+
+
+def test_redact_edges(spark):
+    """Nulls stay null, overlapping spans go as one, an empty table stays empty; other columns come through."""
+    df = spark.createDataFrame([(1, None, "a"), (2, "", "b"), (3, "token=" + "0" * 30, "c"), (4, "word " * 100_000 + "AKIA" + "B" * 20, "d")], "doc_id long, text string, spans string")
+    rows = secrets.redact(df).orderBy("doc_id").collect()
+    assert [r.text for r in rows[:3]] == [None, "", "[assign]"] and rows[3].text == "word " * 100_000 + "[access]" and [r.spans for r in rows] == list("abcd")
+    empty = secrets.redact(df.limit(0))
+    assert empty.columns == df.columns and empty.collect() == []
