@@ -18,7 +18,8 @@ A hit is a chance that the document is abuse; quotation marks around it lower th
 other hits within WINDOW words raise it.  A document's score joins the chances of all its
 hits; where clean documents of the sample have hits too (a stem may also be the start of
 harmless words), a logistic curve over the joined chances, the number of hits and their
-density, fitted on the sample, takes its place.  Whole texts are scanned, some MB at a time.
+density, fitted on the sample, takes its place: where at least ten documents of each class
+have hits, since fewer tell nothing of three slopes.  Whole texts are scanned, some MB at a time.
 """
 
 from __future__ import annotations
