@@ -16,8 +16,13 @@ def hits(docs: DataFrame, variants: list[str]) -> DataFrame:
     The variant that occurs first counts, the earlier one of equals.  Terms are literals,
     and case matters.
     """
+    return _shown(_located(docs, variants))
+
+
+def _located(docs: DataFrame, variants: list[str]) -> DataFrame:
+    """hits with their content, without snippets: what ranking needs."""
     if not variants:
-        return docs.limit(0).select(*(c for c in docs.columns if c != "content"), F.lit("").alias("matched_term"), F.lit(0).alias("pos"), F.lit(0).alias("match_count"), F.lit("").alias("snippet"), F.lit(False).alias("title_hit"))
+        return docs.limit(0).select("*", F.lit("").alias("matched_term"), F.lit(0).alias("pos"), F.lit(0).alias("match_count"), F.lit(False).alias("title_hit"))
     text = F.col("content")
     any_term = F.lit(False)
     for v in variants:
@@ -29,17 +34,14 @@ def hits(docs: DataFrame, variants: list[str]) -> DataFrame:
     in_title = F.lit(False)
     for v in variants:
         in_title = in_title | F.coalesce(F.contains("title", F.lit(v)), F.lit(False))
-    rows = rows.withColumns(
-        {
-            "matched_term": term,
-            "pos": pos,
-            # Counting starts at the first hit; nothing stands before it.
-            "match_count": T.occurrences(text, term),
-            "snippet": T.window_of(text, pos, F.length(term), 40, 40, True),
-            "title_hit": in_title,
-        }
-    )
-    return rows.drop("_f", "content")
+    # Counting starts at the first hit; nothing stands before it.
+    rows = rows.withColumns({"matched_term": term, "pos": pos, "match_count": T.occurrences(text, term), "title_hit": in_title})
+    return rows.drop("_f")
+
+
+def _shown(located: DataFrame) -> DataFrame:
+    snippet = T.window_of(F.col("content"), F.col("pos"), F.length("matched_term"), 40, 40, True)
+    return located.withColumn("snippet", snippet).drop("content")
 
 
 def ranked(found: DataFrame) -> tuple[Column, ...]:
@@ -48,12 +50,13 @@ def ranked(found: DataFrame) -> tuple[Column, ...]:
 
 
 def search(docs: DataFrame, variants: list[str], page: int = 1, size: int = 20) -> DataFrame:
-    found = hits(docs, variants)
-    return found.orderBy(*ranked(found)).offset(max(0, page - 1) * size).limit(size)
+    """One page of ranked hits; snippets are made for these alone."""
+    found = _located(docs, variants)
+    return _shown(found.orderBy(*ranked(found)).offset(max(0, page - 1) * size).limit(size))
 
 
 def total(docs: DataFrame, variants: list[str]) -> DataFrame:
-    return hits(docs, variants).agg(F.count("*").alias("total"))
+    return _located(docs, variants).agg(F.count("*").alias("total"))
 
 
 def in_book(blocks: DataFrame, book_id: str, query: str, most: int = 50) -> DataFrame:
