@@ -194,3 +194,9 @@ def test_sources_refuse_no_kind_of_body(spark):
     rows = spark.createDataFrame([(str(i), b, None, None, 1) for i, b in enumerate(bodies)], "batch_id string, body string, user_id string, user_agent string, created_at long")
     assert behaviour.expand_batches(rows).collect() == []
     assert {r.status for r in behaviour.batch_status(rows).collect()} == {400}
+
+
+def test_default_category(docs):
+    """What is asked for counts, even an empty name; else the first of the fixed order."""
+    assert [catalog.default_category(docs, c) for c in ("", "x", None)] == ["", "x", "洞真部"]
+    assert catalog.default_category(docs.limit(0), None) is None
