@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from inkstone.llm import decontaminate, embeddings, html, language, minhash, mixing, packing, quality, secrets, toxicity
+from inkstone.llm import audit, decontaminate, embeddings, html, language, minhash, mixing, packing, quality, secrets, sessions, tokencounts, toxicity
 
 
 def queries() -> dict:
@@ -17,6 +17,9 @@ def queries() -> dict:
         language.op8_language_id,
         packing.op9_token_packing,
         toxicity.op10_toxicity,
+        tokencounts.op11_token_counts,
+        sessions.op12_session_merging,
+        audit.op13_filter_audit,
     )
     return {f.__name__: f for f in found}
 
@@ -27,4 +30,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_benchmark_decontamination": decontaminate.OP2_SQL,
         "op5_secret_scan": secrets.OP5_SQL,
         "op7_embedding_near_dedup": embeddings.OP7_SQL,
+        "op12_session_merging": sessions.OP12_SQL,
+        "op13_filter_audit": audit.OP13_SQL,
     }
