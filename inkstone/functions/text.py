@@ -54,6 +54,23 @@ def occurrences(text: Column, term: Column, most: int = 100) -> Column:
     return F.when(F.length(term) > 0, F.least(F.lit(most), found.cast("int"))).otherwise(0)
 
 
+def characters(text: Column) -> Column:
+    """The code points of a text, as an array."""
+    return F.regexp_extract_all(text, F.lit("(?s)."), 0)
+
+
+def grams(text: Column, size: int, least: int | None = None) -> Column:
+    """The grams that begin at each place of a text, in order, and shorter ones down to `least` characters there too.
+
+    At the end of the text they are cut; an empty or null text has none.
+    """
+    at = lambda c, i: F.coalesce(F.get(c, i), F.lit(""))
+    one = lambda c, n: F.transform(c, lambda x, i: F.concat(x, *(at(c, i + k) for k in range(1, n))))
+    every = lambda c: F.concat(*(one(c, n) for n in range(size if least is None else least, size + 1)))
+    # Bound by a lambda, the characters are found once and not for each place.
+    return F.get(F.transform(F.array(characters(F.coalesce(text, F.lit("")))), every), F.lit(0))
+
+
 def stable_id(name: Column | str) -> Column:
     """16 hex digits of a name."""
     return F.substring(F.sha2(col(name), 256), 1, 16)

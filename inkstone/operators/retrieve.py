@@ -20,8 +20,6 @@ ASKING = (
 )
 BREAKS = r"[，。？！、；：\s「」『』（）()？?!.,]+"
 TITLES, CONCEPTS, PER_CONCEPT, ENOUGH = 3, 3, 2, 5
-#: Search terms that are broadcast at once.
-BLOCK = 2000
 
 
 def titles(question: Column) -> Column:
@@ -42,8 +40,7 @@ def references_of(docs: DataFrame, questions: DataFrame) -> DataFrame:
     (question_id, place, book_id, book_title, block_id, quote, source) in order: the named
     titles, each by the first entry that matches; then the best passages for each concept,
     no further concept once ENOUGH books are cited; then what is being read.  A book is
-    cited once.  Questions meet the documents as blocks of at most BLOCK search terms,
-    which are broadcast.
+    cited once.  Terms meet the documents by their rarest grams, in equi-joins.
     """
     spark = docs.sparkSession
     asked = settle(questions.select("question_id", titles(F.col("q")).alias("t"), concepts(F.col("q")).alias("c"), "book_id", "book_title", "block_id"))
@@ -74,22 +71,43 @@ def references_of(docs: DataFrame, questions: DataFrame) -> DataFrame:
 
 def _met(docs: DataFrame, terms: DataFrame, where: str) -> DataFrame:
     """terms with every document that matches one: by its text (with snippet, match_count and title_hit) or by its title, author and preview."""
-    blocks = max(1, -(-terms.count() // BLOCK))
-    out = None
-    for k in range(blocks):
-        own = F.broadcast(terms.where(F.pmod(F.xxhash64("term"), F.lit(blocks)) == k))
-        if where == "named":
-            holds = lambda c: F.exists("variants", lambda v: F.coalesce(F.contains(F.lower(c), F.lower(v)), F.lit(False)))
-            rows = docs.select("id", "ord", "title", "author", "preview").join(own, holds("title") | holds("author") | holds("preview"))
-        else:
-            rows = docs.select("id", "ord", "title", "content").join(own, F.exists("variants", lambda v: F.contains("content", v)))
-            found = F.transform("variants", lambda v, i: F.struct(F.instr(F.col("content"), v).alias("pos"), i.alias("i"), v.alias("term")))
-            rows = rows.withColumn("_f", F.array_min(F.filter(found, lambda x: x["pos"] > 0)))
-            matched, pos = F.col("_f.term"), F.col("_f.pos") - 1
-            snippet = T.window_of(F.col("content"), pos, F.length(matched), 40, 40, True)
-            rows = rows.withColumns({"match_count": T.occurrences(F.col("content"), matched), "snippet": snippet, "title_hit": F.exists("variants", lambda v: F.coalesce(F.contains("title", v), F.lit(False)))}).drop("_f", "content")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    named = where == "named"
+    low = F.lower if named else (lambda c: F.col(c) if isinstance(c, str) else c)
+    text = F.lower(F.concat_ws("\n", "title", "author", "preview")) if named else F.col("content")
+    pairs = holding(docs.select("id", text.alias("text")), terms.select("term", F.explode("variants").alias("variant")).distinct().select("term", low(F.col("variant")).alias("variant")))
+    found = pairs.select("term", "id").distinct().join(terms, "term")
+    if named:
+        # What was found by the joined fields is checked in each of them.
+        holds = lambda c: F.exists("variants", lambda v: F.coalesce(F.contains(F.lower(c), F.lower(v)), F.lit(False)))
+        return found.join(docs.select("id", "ord", "title", "author", "preview"), "id").where(holds("title") | holds("author") | holds("preview"))
+    rows = found.join(docs.select("id", "ord", "title", "content"), "id")
+    met = F.transform("variants", lambda v, i: F.struct(F.instr(F.col("content"), v).alias("pos"), i.alias("i"), v.alias("term")))
+    rows = rows.withColumn("_f", F.array_min(F.filter(met, lambda x: x["pos"] > 0))).where("_f is not null")
+    matched, pos = F.col("_f.term"), F.col("_f.pos") - 1
+    snippet = T.window_of(F.col("content"), pos, F.length(matched), 40, 40, True)
+    return rows.withColumns({"match_count": T.occurrences(F.col("content"), matched), "snippet": snippet, "title_hit": F.exists("variants", lambda v: F.coalesce(F.contains("title", v), F.lit(False)))}).drop("_f", "content")
+
+
+def holding(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, id) of all texts (id, text) that can hold a variant of terms (term, variant): those with its rarest gram.
+
+    Grams are pairs of characters, or single ones for a variant of one.  Texts are read
+    once, whatever the number of terms, for the grams that occur in any variant; their
+    counts tell each variant's rarest gram, and an equi-join by it gives the candidates,
+    no text that holds a variant missing.  A variant with a gram that no text has is held
+    by none.  Nulls and empty variants match nothing.
+    """
+    pieces = terms.where("variant <> ''").select("term", "variant", F.explode(F.array_distinct(F.filter(T.grams(F.col("variant"), 2), lambda g: (F.length(g) == 2) | (F.length("variant") == 1)))).alias("gram"))
+    pieces = settle(pieces)
+    # A text's pairs, and its characters where a variant is one character.
+    single = pieces.where(F.length("gram") == 1).limit(1).count() > 0
+    own = T.grams(F.col("text"), 2, 1 if single else 2)
+    wanted = pieces.select("gram").distinct()
+    had = settle(texts.select("id", F.explode(F.array_distinct(own)).alias("gram")).join(wanted, "gram", "left_semi"))
+    counts = had.groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = pieces.join(counts, "gram", "left").groupBy("term", "variant").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
+    keys = rarest.where("r.n > 0").select("term", F.col("r.gram").alias("gram")).distinct()
+    return had.join(keys, "gram").select("term", "id")
 
 
 def references(spark: SparkSession, docs: DataFrame, question: str, reading: dict | None = None) -> list[dict]:

@@ -16,7 +16,7 @@ def hits(docs: DataFrame, variants: list[str]) -> DataFrame:
     The variant that occurs first counts, the earlier one of equals.  Terms are literals,
     and case matters.
     """
-    return _shown(_located(docs, variants))
+    return shown(_located(docs, variants))
 
 
 def _located(docs: DataFrame, variants: list[str]) -> DataFrame:
@@ -39,7 +39,8 @@ def _located(docs: DataFrame, variants: list[str]) -> DataFrame:
     return rows.drop("_f")
 
 
-def _shown(located: DataFrame) -> DataFrame:
+def shown(located: DataFrame) -> DataFrame:
+    """located rows with their snippets, without their content."""
     snippet = T.window_of(F.col("content"), F.col("pos"), F.length("matched_term"), 40, 40, True)
     return located.withColumn("snippet", snippet).drop("content")
 
@@ -52,7 +53,7 @@ def ranked(found: DataFrame) -> tuple[Column, ...]:
 def search(docs: DataFrame, variants: list[str], page: int = 1, size: int = 20) -> DataFrame:
     """One page of ranked hits; snippets are made for these alone."""
     found = _located(docs, variants)
-    return _shown(found.orderBy(*ranked(found)).offset(max(0, page - 1) * size).limit(size))
+    return shown(found.orderBy(*ranked(found)).offset(max(0, page - 1) * size).limit(size))
 
 
 def total(docs: DataFrame, variants: list[str]) -> DataFrame:

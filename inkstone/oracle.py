@@ -204,6 +204,9 @@ own AS (SELECT batch_id, json_extract_string(e, '$.event') AS event, CASE WHEN j
 _SENT = f"""{_EV}, r AS (SELECT user_id || ':' || epoch_ms(date_trunc('minute', ts)) AS batch_id, *, count(*) OVER (PARTITION BY user_id, date_trunc('minute', ts)) <= 50 AND event IN ({_KNOWN}) AS good FROM ev)"""
 _USERS = "u AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS id, replace(c_name, '#', '.') || '@Example.org' AS email FROM customer)"
 _QUESTIONS = _values(list(enumerate(Q.QUESTIONS)), "id, q")
+# What the searched terms in simplified characters are in the two traditional standards; other terms are the same in all.
+FORMS = {"里面": ["里面", "裏面", "裡面"], "面条": ["面条", "麪條", "麵條"], "灵宝领教": ["灵宝领教", "靈寶領教"], "制造": ["制造", "製造"], "匣中杂记": ["匣中杂记", "匣中雜記"]}
+_FORMS = f"coalesce(map_extract(MAP {{{', '.join(_str(k) + ': [' + ', '.join(map(_str, v)) + ']' for k, v in FORMS.items())}}}, term)[1], [term])"
 _LOW = "confidence < 0.7"
 _SHARE = lambda a, b: f"CASE WHEN {b} > 0 THEN printf('%.2f%%', {a} / {b} * 100) ELSE '-' END"
 
@@ -226,6 +229,10 @@ SQL = {
     "fulltext_search": f"WITH {_hits(['eron', 'thth'])} SELECT id, title, matched_term, match_count, snippet, title_hit FROM hits ORDER BY title_hit DESC, match_count DESC, ord LIMIT 20",
     "fulltext_hits": f"WITH {_hits(['ción', 'ung'])} SELECT id, matched_term, pos, match_count, snippet, title_hit FROM hits",
     "fulltext_total": f"WITH {_hits(['ción', 'ung'])} SELECT count(*) AS total FROM hits",
+    "indexed_hits": f"WITH {_hits(['ción', 'ung', '天地玄宗'], 'c')} SELECT id, matched_term, pos, match_count, snippet, title_hit FROM hits",
+    "indexed_short": f"WITH {_hits(['囊', 'ß', 'qu'], 'c')} SELECT id, matched_term, pos, match_count, snippet, title_hit FROM hits",
+    "indexed_page": f"WITH {_hits(['eron', 'thth'], 'c')} SELECT id, title, matched_term, match_count, snippet, title_hit FROM hits ORDER BY title_hit DESC, match_count DESC, ord LIMIT 20",
+    "indexed_metadata": f"WITH {C} SELECT id, title, author FROM c WHERE " + " OR ".join(f"coalesce(contains(lower({k}), '{t}'), false)" for t in ("erst", "src1", "三洞") for k in ("title", "author", "preview")),
     "in_book_search": f"WITH {DOC} SELECT block_id, {_snippet('content', '(instr(content, ' + chr(39) + 'on' + chr(39) + ') - 1)', '2', 12, 20, False)} AS snippet FROM blocks WHERE book_id = '7' AND contains(content, 'on') ORDER BY block_seq LIMIT 50",
     "highlight_pieces": f"WITH {E} SELECT id, len(string_split(title, 'on'))::INT AS pieces, array_to_string(string_split(title, 'on'), '[on]') AS marked FROM e",
     "visible_text": f"WITH {DOC} SELECT book_id, substr(string_agg(content, chr(10) ORDER BY block_seq), 1, 6000) AS text FROM blocks WHERE type IN ('paragraph', 'heading', 'subheading', 'annotation') GROUP BY book_id",
@@ -354,10 +361,12 @@ SELECT unnest(range(len(string_split(x, '
     "job_lookups": "WITH j AS (SELECT o_orderkey::VARCHAR AS id, o_custkey::VARCHAR AS book_id, 'b' || o_orderkey % 3 AS block_id, CASE WHEN o_orderkey % 2 = 0 THEN 'scene' ELSE 'map' END AS type FROM orders) SELECT *, 'id' AS by FROM j WHERE id = '7' UNION ALL SELECT *, 'block' FROM j WHERE book_id = '7' AND block_id = 'b1' AND type = 'scene'",
     "question_references": rf"""WITH {C}, asked AS (SELECT question_id::BIGINT AS question_id, q, book_id, book_title, block_id, {_PARTS} AS p, regexp_extract_all(q, '《([^》]{{1,20}})》', 1)[1:3] AS t FROM {_values(Q.ASKED, "question_id, q, book_id, book_title, block_id")}),
 named AS (SELECT question_id, unnest(t) AS term, unnest(range(len(t))) AS place FROM asked),
-known AS (SELECT question_id, place, term, arg_min({{'id': id, 'title': title, 'preview': preview}}, ord) AS book FROM named JOIN c ON contains(lower(title), lower(term)) OR coalesce(contains(lower(author), lower(term)), false) OR contains(lower(preview), lower(term)) GROUP BY ALL),
+known AS (SELECT question_id, place, term, arg_min({{'id': id, 'title': title, 'preview': preview}}, ord) AS book FROM (SELECT *, unnest({_FORMS}) AS v FROM named) JOIN c ON contains(lower(title), lower(v)) OR coalesce(contains(lower(author), lower(v)), false) OR contains(lower(preview), lower(v)) GROUP BY ALL),
 terms AS (SELECT question_id, 0 AS step, place, CASE WHEN length(term) >= 2 THEN term ELSE book.title END AS term FROM known UNION ALL SELECT question_id, unnest(range(1, len(x) + 1)), 0, unnest(x) FROM (SELECT question_id, {_concepts()} AS x FROM asked)),
-found AS (SELECT question_id, step, place, id, title, term, row_number() OVER (PARTITION BY question_id, step, place ORDER BY contains(title, term) DESC, least(100, (length(content) - length(replace(content, term, ''))) // length(term)) DESC, ord) AS rank,
-  {_snippet("content", "(instr(content, term) - 1)", "length(term)", 40, 40, True)} AS snippet FROM terms JOIN c ON contains(content, term)),
+spelt AS (SELECT *, unnest(f) AS v, unnest(range(len(f))) AS i FROM (SELECT *, {_FORMS} AS f FROM terms)),
+met AS (SELECT question_id, step, place, term, id, min({{'pos': instr(content, v), 'i': i, 'v': v}}) AS m FROM spelt JOIN c ON contains(content, v) GROUP BY ALL),
+found AS (SELECT question_id, step, place, id, title, term, row_number() OVER (PARTITION BY question_id, step, place ORDER BY (SELECT bool_or(contains(c.title, s.v)) FROM spelt s WHERE s.term = met.term) DESC, least(100, (length(content) - length(replace(content, m.v, ''))) // length(m.v)) DESC, ord) AS rank,
+  {_snippet("content", "(m.pos - 1)", "length(m.v)", 40, 40, True)} AS snippet FROM met JOIN c USING (id)),
 every AS (SELECT k.question_id, 0 AS step, k.place, book.id AS id, book.title AS title, CASE WHEN f.id = book.id THEN snippet ELSE substr(book.preview, 1, 150) END AS quote, 'title' AS source FROM known k LEFT JOIN found f ON f.question_id = k.question_id AND f.step = 0 AND f.place = k.place AND rank = 1
   UNION ALL SELECT question_id, step, rank, id, title, snippet, term FROM found WHERE step > 0 AND rank <= 2),
 once AS (SELECT * FROM every QUALIFY row_number() OVER (PARTITION BY question_id, id ORDER BY step, place) = 1),

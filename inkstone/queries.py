@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from inkstone.functions import text as T
 from inkstone.operators import behaviour, catalog, enrich, footnotes, paginate, parse, report, retrieve, search, tools
 from inkstone.sources import tables
+from inkstone.sources.grams import GramIndex
 from inkstone.sources.stage import fresh_path, settle, write_text
 from inkstone.sources.store import Store
 from inkstone.streaming import events as stream
@@ -27,6 +28,7 @@ BOOKS = [
     ("f5", "", [""]),
     ("f6", "題", ["題", "三洞珠囊卷之一", "天地玄宗", "萬炁本根", "", "天地玄宗", "", "甲乙丙丁", "三洞珠囊卷之一", "戊己庚辛", "　縮排正文。"]),
     ("f7", "三洞珠囊", ["﻿三洞珠囊\r", "三洞珠囊卷上\r", "請按東井讖#133，清潔吉日#134沐浴，見＃7。\r", "#133東井識：敦煌本作『東井記』。\r", "#6#23于：教煌本作『乎』。\r", "　　再見#6與#23。\r", "三洞珠囊卷下\r", "此處#6無注，#1有注。\r", "＃1 環珮鏘鏘：敦煌本作「玉質蠶蠻」。\r", "#1後注從此。"]),
+    ("f8", "匣中雜記", ["匣中雜記", "　　匣裡面有麵條，製造於后土廟前。", "　　其裏面無它。"]),
 ]
 FILES = ["正統道藏洞真部本文類-元始無量度人上品妙經-宋陳椿榮", "正统道藏太平部-三洞珠囊", "續续道藏-太上中道妙法蓮華經", "續道藏-弘道錄-明邵經邦", "续道藏-老子翼-明焦竑", "正統道藏太清部-黃帝陰符經集解-金刘处玄", "雜記", "正統道藏洞玄部威儀類-太上黃籙齋儀-前蜀杜光庭"]
 QUESTIONS = ["什么是清静无为？", "《道德經》的核心思想是什么？", "内丹与外丹有什么区别？", "内丹 外丹 符箓 斋醮 存思 坐忘", "请问如何理解坐忘论和存思", "", "hello"]
@@ -46,8 +48,8 @@ BODIES = [
     ("b12", "[" + ",".join('{"event":"share","bookId":"x%d"}' % i for i in range(50)) + "]"),
     ("b13", None),
 ]
-#: (question_id, q, book_id, book_title, block_id): terms that no conversion changes, so that SQL can look for them as they are.
-ASKED = [(0, "《三洞珠囊》的天地玄宗是什么？", "f2", "x", "b1"), (1, "什么是天地玄宗？", None, None, None), (2, "《Tion》和《三洞》与天地玄宗、金光、投雲陽山", "f9", None, None), (3, "hello", "f1", "y", None), (4, "《囊》", "", None, None), (5, "正文，天地玄宗，金光", None, None, None)]
+#: (question_id, q, book_id, book_title, block_id).
+ASKED = [(0, "《三洞珠囊》的天地玄宗是什么？", "f2", "x", "b1"), (1, "什么是天地玄宗？", None, None, None), (2, "《Tion》和《三洞》与天地玄宗、金光、投雲陽山", "f9", None, None), (3, "hello", "f1", "y", None), (4, "《囊》", "", None, None), (5, "正文，天地玄宗，金光", None, None, None), (6, "里面和面条是什么？", "f8", "x", None), (7, "《灵宝领教》与制造、后土", None, None, None), (8, "《匣中杂记》", None, None, None)]
 TOOL_CALLS = [("entry", "f1", ""), ("entry", "", ""), ("nope", "f1", ""), ("hidden", "f1", ""), ("hidden", "f1", "review"), ("entry", "zz", "")]
 NOW_MS = 1_780_000_000_000
 
@@ -95,12 +97,15 @@ def _written_blocks(spark, sf_dir):
     return settle(_all_blocks(spark, sf_dir))
 
 
-def corpus(spark, sf_dir):
-    """The entries, and after them the fixture books."""
+def _fixture_entries(spark):
     own = fixture_books(spark)
     place = F.substring("book_id", 2, 9).cast("long") + 1_000_000_000
-    added = own.select(place.alias("ord"), F.col("book_id").alias("id"), "title", F.lit("太清部").alias("category"), F.lit("").alias("subcategory"), F.lit("正统道藏").alias("collection"), F.lit(None).cast("string").alias("author"), F.size(T.lines("source")).alias("line_count"), T.preview("source").alias("preview"), F.col("source").alias("content"))
-    return entries(spark, sf_dir).unionByName(added)
+    return own.select(place.alias("ord"), F.col("book_id").alias("id"), "title", F.lit("太清部").alias("category"), F.lit("").alias("subcategory"), F.lit("正统道藏").alias("collection"), F.lit(None).cast("string").alias("author"), F.size(T.lines("source")).alias("line_count"), T.preview("source").alias("preview"), F.col("source").alias("content"))
+
+
+def corpus(spark, sf_dir):
+    """The entries, and after them the fixture books."""
+    return entries(spark, sf_dir).unionByName(_fixture_entries(spark))
 
 
 def _events(spark, sf_dir):
@@ -207,6 +212,31 @@ def fulltext_total(spark, sf_dir):
     return search.total(entries(spark, sf_dir), ["ción", "ung"])
 
 
+def _indexed(spark, sf_dir):
+    """The corpus as an index of two segments, the fixture books added behind the entries."""
+    index = GramIndex(spark, fresh_path(spark, "grams"))
+    index.add(entries(spark, sf_dir), "entries")
+    index.add(_fixture_entries(spark), "fixtures")
+    return index
+
+
+def indexed_hits(spark, sf_dir):
+    return _indexed(spark, sf_dir).hits(["ción", "ung", "天地玄宗"]).select("id", "matched_term", "pos", "match_count", "snippet", "title_hit")
+
+
+def indexed_short(spark, sf_dir):
+    """Terms of one and two characters, which are shorter than a gram."""
+    return _indexed(spark, sf_dir).hits(["囊", "ß", "qu"]).select("id", "matched_term", "pos", "match_count", "snippet", "title_hit")
+
+
+def indexed_page(spark, sf_dir):
+    return _indexed(spark, sf_dir).search(["eron", "thth"], 1, 20).select("id", "title", "matched_term", "match_count", "snippet", "title_hit")
+
+
+def indexed_metadata(spark, sf_dir):
+    return _indexed(spark, sf_dir).metadata(["Erst", "src1", "三洞"]).select("id", "title", "author")
+
+
 def in_book_search(spark, sf_dir):
     return search.in_book(_blocks(spark, sf_dir), "7", "on").select("block_id", "snippet")
 
@@ -786,6 +816,7 @@ def queries() -> dict:
         user_lookups, registration, progress_lookup, scroll_share, job_lookups, question_references, query_as_typed,
         chapter, tool_calls, footnote_bodies, footnote_segments, footnote_display, url_parts,
         store_progress, store_quota, store_users, store_jobs, store_events,
+        indexed_hits, indexed_short, indexed_page, indexed_metadata,
     )
     return {f.__name__: f for f in found}
 

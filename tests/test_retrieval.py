@@ -2,13 +2,14 @@
 
 import json
 import pathlib
+import random
 import subprocess
 import sys
 
 import pytest
 
 from inkstone import queries as Q
-from inkstone.functions.variants import query_variants, variants_of
+from inkstone.functions.variants import query_variants, rules, traditional, variants_of
 from inkstone.operators import behaviour, catalog, footnotes, report, retrieve, search, tools
 from inkstone.plans.book import compile_books
 from inkstone.sources import tables
@@ -166,20 +167,55 @@ def test_footnotes_of_documents(spark, tmp_path):
 
 
 def test_variants_of_a_column(spark):
-    """The translation table gives what the single conversion gives, but for phrases."""
-    asked = ["道德经", "无为", "道德經", "  ", "", "灵宝领教济度金书", "里 裏 裡", "abc", None, "　真人﻿"]
+    asked = ["里面", "面条", "制造", "头发", "皇后", "理发师", "一周", "周一", "百余", "三只", "丰姿", "丰 收", "海里", "干干净净","道德经", "无为", "道德經", "  ", "", "灵宝领教济度金书", "里 裏 裡", "abc", None, "　真人﻿"]
     rows = spark.createDataFrame([(i, q) for i, q in enumerate(asked)], "i int, q string")
     found = {r.i: r.v for r in rows.select("i", variants_of(spark, F.col("q")).alias("v")).collect()}
     assert [found[i] for i in range(len(asked))] == [query_variants(spark, q or "") for q in asked]
+    assert found[0] == ["里面", "裏面", "裡面"] and found[5] == ["理发师", "理髮師"]
 
 
-def test_many_questions_in_blocks(spark, docs, monkeypatch):
+def test_conversion_is_that_of_the_library(spark):
+    """Every phrase, every character, and phrases side by side."""
+    found = rules(spark)
+    phrases = [r[1] for own in found.values() for r in own]
+    rng = random.Random(1)
+    mixed = ["".join(rng.choice(phrases + list("一三千周里余，a")) for _ in range(6)) for _ in range(3000)]
+    texts = [*phrases, *mixed, "".join(chr(c) + "，" for c in range(0x3400, 0xA000))]
+    library = spark.sparkContext._jvm.com.ibm.icu.text.Transliterator.getInstance("Hans-Hant").transliterate("\n".join(texts)).split("\n")
+    assert [traditional(found, t) for t in texts] == library
+
+
+def test_references_find_what_a_search_finds(spark):
+    """A term with several traditional forms is met in each of them."""
+    schema = "id string, ord long, title string, author string, preview string, content string"
+    texts = ["裡面", "裏面", "里面", "麪條", "麵條", "理髮師", "皇后", "製造", "x"]
+    docs = spark.createDataFrame([(str(i), i, "t", None, "p", f"前{t}後") for i, t in enumerate(texts)], schema)
+    terms = ["里面", "面条", "理发师", "皇后", "制造"]
+    asked = spark.createDataFrame([(i, t, None, None, None) for i, t in enumerate(terms)], "question_id long, q string, book_id string, book_title string, block_id string")
+    cited = {(r.question_id, r.book_id) for r in retrieve.references_of(docs, asked).collect()}
+    assert cited == {(i, r.id) for i, t in enumerate(terms) for r in search.find(docs, t, 1, 2).collect()}
+
+
+def test_many_questions(spark, docs):
     asked = [(1, "《道德經》和清静无为、内丹有什么关系？", "z", "Z", None), (2, "内丹", "c", "C", "b1"), (3, "", None, None, None)]
     rows = spark.createDataFrame(asked, "question_id long, q string, book_id string, book_title string, block_id string")
     found = sorted((r.question_id, r.place, r.book_id, r.source) for r in retrieve.references_of(docs, rows).collect())
     assert found == [(1, 1, "a", "title"), (1, 2, "b", "清静无为"), (1, 3, "c", "内丹"), (1, 4, "z", "reading"), (2, 1, "c", "内丹")]
-    monkeypatch.setattr(retrieve, "BLOCK", 1)
-    assert sorted((r.question_id, r.place, r.book_id, r.source) for r in retrieve.references_of(docs, rows).collect()) == found
+    plan = retrieve.references_of(docs, rows)._jdf.queryExecution().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_terms_meet_texts_by_their_rarest_gram(spark):
+    rng = random.Random(2)
+    text = lambda n: "".join(rng.choice("abc天 ") for _ in range(rng.randrange(n)))
+    texts = [(str(i), rng.choice([None, "", text(30), text(30)])) for i in range(80)]
+    terms = [(t, v) for t in {text(5) for _ in range(60)} for v in {t, text(4)}] + [("n", None)]
+    pairs = retrieve.holding(spark.createDataFrame(texts, "id string, text string"), spark.createDataFrame(terms, "term string, variant string"))
+    found = {tuple(r) for r in pairs.collect()}
+    must = {(t, i) for t, v in terms if v for i, x in texts if x and v in x}
+    assert must <= found
+    few = retrieve.holding(spark.createDataFrame([("1", "abab"), ("2", "abxy")], "id string, text string"), spark.createDataFrame([("t", "abxy")], "term string, variant string"))
+    assert [r.id for r in few.collect()] == ["2"]
 
 
 def test_entry_without_an_optional_library():
