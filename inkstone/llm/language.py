@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkstone.llm.common import fold, settle, table
@@ -185,9 +185,13 @@ def train(docs: DataFrame, test_fold: tuple[int, int] | None = (4, 2), doc_id: s
     share = F.least(F.lit(1.0), PER_LANGUAGE / F.col("n"))
     part = F.least(F.lit(1.0), SAMPLE / (F.col("bytes") * share))
     # A language of few documents may lose all of them to no chance: its rate is 1.
-    found = rows.join(counts.select("lang", (share * (1 << 30)).cast("long").alias("rate"), part.alias("part")), "lang").where(F.pmod(F.xxhash64("id", F.lit(8)), F.lit(1 << 30)) < F.col("rate"))
+    found = rows.join(counts.select("lang", (share * (1 << 30)).cast("long").alias("rate"), part.alias("part")), "lang")
+    # Drawn by id and text, so an id that many rows share stands for none of them; equal rows count once, and what is drawn has a bound.
+    found = found.withColumn("draw", F.xxhash64("id", "text", F.lit(8))).where(F.pmod("draw", F.lit(1 << 30)) < F.col("rate"))
+    found = found.groupBy("lang", "id", "draw").agg(F.first("text").alias("text"), F.first("part").alias("part"))
+    found = found.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("draw"))).where(F.col("place") <= 2 * PER_LANGUAGE)
     length = F.ceil(F.least(F.length("text"), F.lit(LONGEST)) * F.col("part")).cast("int")
-    start = F.pmod(F.xxhash64("id", F.lit(9)), F.length("text") - length + 1).cast("int") + 1
+    start = F.pmod(F.xxhash64("draw", F.lit(9)), F.length("text") - length + 1).cast("int") + 1
     found = found.select("lang", F.substring("text", start, length).alias("text")).orderBy("lang").toArrow()
     names = found["lang"].to_pylist()
     samples = {}

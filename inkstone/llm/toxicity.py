@@ -44,7 +44,7 @@ FUZZY = 5
 SWAP = 2
 STEM = (3, 7)
 WINDOW = 8
-EXACT, MISSPELT, QUOTED, CLUSTER = 0.6, 0.28, 0.4, 1.3
+EXACT, MISSPELT, QUOTED, CLUSTER = 0.6, 0.5, 0.4, 1.3  # one misspelt term alone can decide
 
 #: Bytes between words, as word_spans takes them: all of ASCII but letters.
 _BETWEEN = np.ones(256, bool)
@@ -283,7 +283,10 @@ def score_of(found: tuple[float, float, float], curve: tuple[float, ...] | None)
 
 
 def documents(column, lexicon: Lexicon):
-    """(row, evidence, hits) of the documents with hits, in an Arrow string column."""
+    """(row, evidence, floor, hits) of the documents with hits, in an Arrow string column.
+
+    floor: the chance by those hits alone whose terms no clean document of the sample has.
+    """
     for row, buf, raw, cuts, starts, ends, at in pieces(column):
         found = lexicon.hits(buf, starts, ends, cuts)
         docs_of = np.searchsorted(at, [h[0] for h in found], "right") - 1
@@ -294,7 +297,8 @@ def documents(column, lexicon: Lexicon):
             spans = np.array([h[0] for h in hs])
             quoted = _quoted(raw[cuts[d] : cuts[d + 1]], starts[spans] - cuts[d], np.array([h[3] for h in hs]) - cuts[d]).tolist()
             chances = [(i, (MISSPELT if e else EXACT) * lexicon.terms[t][1], q) for (i, t, e, _), q in zip(hs, quoted)]
-            yield row + d, evidence(chances, int(at[d + 1] - at[d])), [(int(i - at[d]), t, e) for i, t, e, _ in hs]
+            sure = evidence([c for c, h in zip(chances, hs) if lexicon.terms[h[1]][2]], 1)
+            yield row + d, evidence(chances, int(at[d + 1] - at[d])), score_of(sure, None), [(int(i - at[d]), t, e) for i, t, e, _ in hs]
 
 
 def scores(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -303,8 +307,9 @@ def scores(docs: DataFrame, lexicon: Lexicon, doc_id: str = "doc_id", text: str
     def run(batches):
         for batch in batches:
             score, listed = np.zeros(batch.num_rows), [""] * batch.num_rows
-            for row, found, hits in documents(batch.column(1), lexicon):
-                score[row] = score_of(found, lexicon.curve)
+            for row, found, floor, hits in documents(batch.column(1), lexicon):
+                # A curve fitted on documents with many hits says little of one; a certain hit decides alone.
+                score[row] = max(floor, score_of(found, lexicon.curve))
                 listed[row] = ",".join(f"{i}:{t}:{e}" for i, t, e in hits)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score), pa.array(listed, pa.string())], ["id", "score", "hits"])
 
@@ -413,7 +418,7 @@ def train(docs: DataFrame, labels: DataFrame, test_fold: tuple[int, int] | None
         for batch in batches:
             labels_of = batch.column(1).to_pylist()
             ids = batch.column(2).to_pylist()
-            rows = [(*x, labels_of[row], ids[row]) for row, x, _ in documents(batch.column(0), lexicon)]
+            rows = [(*x, labels_of[row], ids[row]) for row, x, *_ in documents(batch.column(0), lexicon)]
             yield pa.RecordBatch.from_arrays([*(pa.array([float(r[k]) for r in rows], pa.float64()) for k in range(4)), pa.array([r[4] for r in rows], pa.int64())], [*"abcy", "id"])
 
     # One row for an id, however many documents share it.

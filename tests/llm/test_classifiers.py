@@ -219,7 +219,7 @@ def test_quotation_lowers_a_score(spark):
     rows = ["You are an idiot and scum", 'He wrote "idiot" there', "He said “what an idiot” once", "You idiott", "nothing here", None, "", "IDIOT!", "loweiheit", "lowei", "idiots idiotic " * 50_000]
     df = spark.createDataFrame([(i, t, "h") for i, t in enumerate(rows)], "doc_id long, text string, hits string")
     s = {r.id: r.score for r in toxicity.scores(df, lexicon).collect()}
-    assert s[0] > s[7] >= 0.3 > s[1] > 0 and s[2] == pytest.approx(s[1]) and 0 < s[3] < 0.3 and s[4] == s[5] == s[6] == s[9] == 0 and s[8] > 0.3
+    assert s[0] > s[7] > s[3] >= 0.3 > s[1] > 0 and s[2] == pytest.approx(s[1]) and s[4] == s[5] == s[6] == s[9] == 0 and s[8] > 0.3
     assert toxicity.scores(df.limit(0), lexicon).collect() == []
 
 
@@ -284,3 +284,24 @@ def test_very_long_texts(spark):
     assert [r.lang_pred for r in language.identify(df, model).orderBy("id").collect()] == ["en", "xx"]
     assert [r.score for r in quality.scores(df, quality.fit(np.zeros((0, quality.WIDTH)), np.zeros(0))).collect()] == [0.5, 0.5]
     assert np.isfinite(quality.statistics(pa.array([r.text for r in df.collect()]))).all()
+
+
+def test_one_misspelt_term_decides(spark):
+    """With and without a curve, however little the curve makes of a single hit; a quoted one does not."""
+    filler = " ".join(f"wort{i}" for i in range(400))
+    texts = [f"{filler} du {w} {filler}" for w in ("worthles", "w0rthless", "wotrhless", "wortthless", "warthless")] + [f'{filler} he said "worthles" {filler}', filler]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for curve in (None, (-20.0, 0.1, 0.1, 0.1)):
+        found = {r.id: r.score for r in toxicity.scores(df, toxicity.Lexicon({"worthless": (False, 0.99, True)}, frozenset(), curve)).collect()}
+        assert [found[i] >= 0.3 for i in range(len(texts))] == [True] * 5 + [False] * 2
+
+
+@pytest.mark.parametrize("ids", [[7], [1, 3], [5, 11]])
+def test_languages_of_rows_that_share_an_id(spark, ids):
+    """No language is lost, and what is drawn keeps its bound, whatever ids the rows share."""
+    english, french = "the weather is fine and the ship leaves harbour number {}", "le temps est beau et le navire quitte le port numéro {}"
+    rows = [(ids[0], english.format(i), "en") for i in range(900)] + [(ids[-1], french.format(i), "fr") for i in range(3000)] + [(ids[0], english.format(0), "en")] * 500
+    model = language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), None)
+    assert model.langs == ["en", "fr"]
+    got = language.identify(spark.createDataFrame([(1, "the ship is fine"), (2, "le navire est beau")], "doc_id long, text string"), model)
+    assert {r.id: r.lang_pred for r in got.collect()} == {1: "en", 2: "fr"}
