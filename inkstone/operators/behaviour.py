@@ -2,50 +2,58 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from inkstone.functions import json_text
 from inkstone.functions import text as T
-from inkstone.schemas import EVENT_NAMES
+from inkstone.schemas import EVENT_NAMES, STORED_EVENT
 
 MOST_EVENTS, USER_LIMIT, GUEST_LIMIT = 50, 50, 5
 
 
+def _events(bodies: pd.Series) -> pd.Series:
+    """The valid events of each body, none of a body that is refused."""
+
+    def one(body):
+        try:
+            value = json_text.read(body) if body is not None else None
+        except ValueError:
+            return []
+        items = value.get("events") if isinstance(value, dict) else value
+        if not isinstance(items, list) or not 1 <= len(items) <= MOST_EVENTS:
+            return []
+        named = lambda e, k: json_text.text(e[k]) if isinstance(e.get(k), str) else None
+        known = [(i, e) for i, e in enumerate(items) if isinstance(e, dict) and isinstance(e.get("event"), str) and e["event"] in EVENT_NAMES]
+        # What a browser takes for false is not stored; an empty list or object is true.
+        kept = lambda x: json_text.write(x) if x or isinstance(x, list | dict) else None
+        return [{"place": i, "event": e["event"], "session_id": named(e, "sessionId"), "book_id": named(e, "bookId"), "extra_json": kept(e.get("extra"))} for i, e in known]
+
+    return bodies.map(one)
+
+
 def expand_batches(batches: DataFrame) -> DataFrame:
     """Events of request bodies (batch_id, body, user_id, user_agent, created_at): validated and normalised.
 
-    A body is an array of events or an object with one; batches of 0 or over 50 items are
-    refused whole; items that are no objects and unknown events are dropped; fields that
-    are no strings become null.  Types are those of the JSON values themselves.  A body
-    that is no JSON, or repeats a member of one object, is refused.
+    A body is an array of events or an object with one; batches of 0 or over 50 items, and
+    bodies that are no JSON, are refused whole; items that are no objects and unknown events
+    are dropped; fields that are no strings become null.  id names an event by its batch
+    and its place there.
     """
-    many = lambda path: F.try_variant_get("_body", path, "array<variant>")
-    texts = lambda source: F.from_json(source, "array<string>")
-    # The items as values, for their types, and as texts, which keep the order of members.
-    bare = many("$").isNotNull()
-    rows = batches.withColumn("_body", F.try_parse_json("body"))
-    rows = rows.withColumns({"_items": F.coalesce(many("$"), many("$.events")), "_texts": F.when(bare, texts("body")).otherwise(texts(F.get_json_object("body", "$.events")))})
-    rows = rows.where(F.size("_items").between(1, MOST_EVENTS)).select("*", F.posexplode("_items").alias("_i", "_e"))
-    rows = rows.where(_type(F.col("_e"), "$").startswith("OBJECT"))
-    text = lambda name: F.when(_type(F.col("_e"), f"$.{name}") == "STRING", F.try_variant_get("_e", f"$.{name}", "string"))
-    extra = F.get_json_object(F.get("_texts", F.col("_i")), "$.extra")
-    kept = rows.select(
+    found = F.pandas_udf(_events, "array<struct<place: int, event: string, session_id: string, book_id: string, extra_json: string>>")
+    rows = batches.select("batch_id", "user_id", "user_agent", "created_at", F.explode(found("body")).alias("e"))
+    return rows.select(
+        F.concat_ws(":", "batch_id", F.col("e.place").cast("string")).alias("id"),
         "batch_id",
-        text("event").alias("event"),
+        "e.event",
         "user_id",
-        text("sessionId").alias("session_id"),
-        text("bookId").alias("book_id"),
+        "e.session_id",
+        "e.book_id",
         F.substring("user_agent", 1, 120).alias("platform"),
-        # What a browser takes for false is not stored.
-        F.when(~extra.isin("", "0", "false", "null"), extra).alias("extra_json"),
+        "e.extra_json",
         "created_at",
     )
-    return kept.where(F.col("event").isin(*EVENT_NAMES))
-
-
-def _type(value: Column, path: str) -> Column:
-    """The JSON type of what stands at a path; empty where nothing does."""
-    return F.coalesce(F.schema_of_variant(F.try_variant_get(value, path, "variant")), F.lit(""))
 
 
 def batch_status(batches: DataFrame) -> DataFrame:
@@ -147,14 +155,19 @@ def insert_unique(table: DataFrame, rows: DataFrame, key: list[str], order: str)
     return table.unionByName(first.join(table.select(*key), key, "left_anti").select(*table.columns))
 
 
+def address(email: Column) -> Column:
+    """An address as it is stored and looked up."""
+    return F.lower(T.trim(email))
+
+
 def user_by_email(users: DataFrame, email: str) -> DataFrame:
-    return users.where(F.lower("email") == email.strip().lower())
+    return users.where(F.lower("email") == address(F.lit(email)))
 
 
 def valid_registration(rows: DataFrame, users: DataFrame) -> DataFrame:
     """rows (email, password_length) with status 200, 400 for a bad address or short password, 409 for a known one."""
-    known = users.select(F.lower("email").alias("_k")).distinct()
-    mail = F.lower(F.trim("email"))
+    known = users.select(address(F.col("email")).alias("_k")).distinct()
+    mail = address(F.col("email"))
     out = rows.join(known, mail == F.col("_k"), "left")
     bad = ~F.coalesce(F.trim("email").rlike(r"^[^\s@]+@[^\s@]+\.[^\s@]+\z"), F.lit(False)) | (F.coalesce("password_length", F.lit(0)) < 6)
     return out.withColumn("status", F.when(bad, 400).when(F.col("_k").isNotNull(), 409).otherwise(200)).drop("_k")
@@ -206,6 +219,12 @@ def duplicates(table: DataFrame, key: list[str]) -> DataFrame:
     return table.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def append_events(batches: DataFrame, path: str) -> None:
-    """Append the valid events of request bodies to a table."""
-    expand_batches(batches).write.mode("append").parquet(path)
+def append_events(batches: DataFrame, path: str, ingest: str) -> None:
+    """Append the valid events of request bodies to a table; the same `ingest` again replaces what it wrote, so a retry doubles nothing."""
+    rows = expand_batches(batches).withColumn("ingest", F.lit(ingest))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ingest").parquet(path)
+
+
+def stored_events(spark: SparkSession, path: str) -> DataFrame:
+    """The events of all ingests, each once."""
+    return spark.read.schema(f"{STORED_EVENT}, ingest string").parquet(path).drop("ingest")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
+from inkstone.operators import spans
 from inkstone.operators.parse import VOLUME_TAIL
 
 #: Marks, and the longer prefix that a volume's name may have here.
@@ -42,8 +43,8 @@ def segments(content: Column) -> Column:
 def with_scope(blocks: DataFrame) -> DataFrame:
     """blocks with scope: the number of volume headings so far."""
     opens = (F.col("type") == "heading") & (F.col("level") == 2) & F.col("content").rlike(SCOPE)
-    order = Window.partitionBy("book_id").orderBy("block_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return blocks.withColumn("scope", F.sum(F.when(opens, 1).otherwise(0)).over(order).cast("int"))
+    rows = spans.sum_before(blocks, "book_id", "block_seq", "scope", F.when(opens, 1).otherwise(0), here=True)
+    return rows.withColumn("scope", F.col("scope").cast("int"))
 
 
 def index(scoped: DataFrame) -> DataFrame:

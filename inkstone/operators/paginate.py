@@ -2,50 +2,94 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from inkstone.operators import spans
 from inkstone.operators.parse import in_contents
+from inkstone.sources.stage import settle
 
 #: Characters of a page from which a heading starts the next, and at which it ends anyway.
 TARGET, MOST = 1400, 2200
+#: Characters of a book that one task cuts.
+REACH = 60_000
 
 
-def _page_starts(batches):
-    """(book_id, block_seq, page_index) of each page's first block, from rows (book_id, block_seq, length, head) in order.
+def _next_starts(blocks: DataFrame, reach: int) -> DataFrame:
+    """(book_id, part, block_seq, next): where the page that a block starts ends, the next page's first block.
 
-    Each cut depends on the last, so a book is one pass; what is carried from batch to batch
-    is a few numbers, so a book of any size needs no more memory than a batch.
+    That depends on the characters from the block on alone: the next heading with which they
+    reach TARGET starts a page, or the block behind the one with which they reach MOST.  Blocks
+    stand at the characters before them, so both are found by windows over a range of
+    characters; parts of `reach` characters, with what begins within MOST behind them and
+    the block behind a long one, are dealt apart.
     """
-    book, start, chars, page = object(), False, 0, 0
-    for batch in batches:
-        out = ([], [], [])
-        for own, seq, length, head in zip(*(c.to_pylist() for c in batch.columns)):
-            if own != book:
-                book, start, chars, page = own, True, 0, -1
-            chars += length
-            cut = not start and chars >= TARGET and head
-            if cut:
-                chars = length
-            if start or cut:
-                page += 1
-                for column, value in zip(out, (own, seq, page)):
-                    column.append(value)
-                start = False
-            elif chars >= MOST:
-                start, chars = True, 0
-        yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.int32()), pa.array(out[2], pa.int32())], ["book_id", "block_seq", "page_index"])
-
-
-def assign_pages(blocks: DataFrame) -> DataFrame:
-    """blocks with page_index (0-based)."""
     head = F.col("type").isin("heading", "subheading")
-    sized = blocks.select("book_id", "block_seq", F.length("content").alias("length"), head.alias("head"))
-    starts = sized.repartition("book_id").sortWithinPartitions("book_id", "block_seq").mapInArrow(_page_starts, "book_id string, block_seq int, page_index int")
+    rows = blocks.select("book_id", "block_seq", F.length("content").cast("long").alias("n"), head.alias("head"))
+    rows = spans.sum_before(rows, "book_id", "block_seq", "at", F.col("n"))
+    part = F.floor(F.col("at") / reach).cast("long")
+    halo = F.floor(F.greatest(F.lit(0), F.col("at") - MOST) / reach).cast("long")
+    rows = rows.withColumns({"own": part, "halo": halo})
+    long = rows.where(F.col("n") > MOST).select("book_id", (F.col("block_seq") + 1).alias("block_seq"), F.col("own").alias("part"))
+    behind = rows.join(long, ["book_id", "block_seq"]).where(F.col("part") < F.col("halo"))
+    rows = rows.select("*", F.explode(F.sequence("halo", "own")).alias("part")).unionByName(behind)
+    # Each block is a place where a page can start, and one where the characters before the next block are reached.
+    start = F.struct(F.col("at").alias("x"), F.lit(None).cast("int").alias("reached"), F.lit(None).cast("int").alias("reached_head"))
+    point = F.struct((F.col("at") + F.col("n")).alias("x"), F.col("block_seq").alias("reached"), F.when(F.col("head"), F.col("block_seq")).alias("reached_head"))
+    both = rows.select("book_id", "part", "own", "block_seq", "head", F.explode(F.array(start, point)).alias("e")).select("*", "e.*")
+    by = Window.partitionBy("book_id", "part")
+    beyond = lambda chars: by.orderBy(F.desc("x")).rangeBetween(Window.unboundedPreceding, -chars)
+    both = both.withColumns({"full": F.min("reached").over(beyond(MOST)), "marked": F.min("reached_head").over(beyond(TARGET))})
+    starts = both.where(F.col("reached").isNull())
+    after = by.orderBy(F.desc("block_seq")).rowsBetween(Window.unboundedPreceding, -1)
+    starts = starts.withColumn("head_after", F.min(F.when(F.col("head"), F.col("block_seq"))).over(after))
+    # A page has a block at least, however long that is.
+    full = F.when(F.col("full").isNotNull(), F.greatest("full", F.col("block_seq") + 1))
+    marked = F.when(F.col("marked") == F.col("block_seq"), F.col("head_after")).otherwise(F.col("marked"))
+    cut = F.when(F.coalesce(marked <= full, marked.isNotNull()), marked).otherwise(full + 1)
+    return starts.where(F.col("part") == F.col("own")).select("book_id", "part", "block_seq", cut.alias("next"))
+
+
+def _walk(steps: Column, start: Column) -> Column:
+    """(places, next): the starts met when the steps (block_seq, next), in order, are followed from start on, and where they lead out."""
+    none = F.struct(F.array().cast("array<int>").alias("places"), start.cast("int").alias("next"))
+    return F.aggregate(steps, none, lambda a, x: F.when(x["block_seq"] == a["next"], F.struct(F.concat(a["places"], F.array(x["block_seq"])).alias("places"), x["next"].alias("next"))).otherwise(a))
+
+
+def page_starts(blocks: DataFrame, reach: int = REACH) -> DataFrame:
+    """(book_id, block_seq) of the first block of every page.
+
+    Inside a part the starts are a walk along _next_starts.  Where a book has several parts,
+    each is walked from every block that an earlier part can lead to, a few at its beginning,
+    and pointers from part to part are doubled until all that a book's first block leads to
+    are known: as many joins as the logarithm of the parts, over a row for each such block.
+    """
+    nexts = settle(_next_starts(blocks, reach))
+    # A part whose blocks all lie beyond a jump is never entered.
+    parts = settle(nexts.groupBy("book_id", "part").agg(F.array_sort(F.collect_list(F.struct("block_seq", "next"))).alias("steps"), F.min("block_seq").alias("lo"), F.max("block_seq").alias("hi")))
+    begin = nexts.groupBy("book_id").agg(F.min("block_seq").alias("entry"))
+    crossing = nexts.join(parts.select("book_id", "part", "hi"), ["book_id", "part"]).where(F.col("next") > F.col("hi"))
+    entries = settle(begin.unionByName(crossing.select("book_id", F.col("next").alias("entry"))).distinct())
+    lead = nexts.select("book_id", "part", F.col("block_seq").alias("entry")).join(entries, ["book_id", "entry"])
+    walked = lead.join(parts.select("book_id", "part", "steps"), ["book_id", "part"]).select("book_id", "entry", _walk(F.col("steps"), F.col("entry")).alias("w"))
+    walked = settle(walked.select("book_id", "entry", "w.places", F.col("w.next").alias("to")))
+    reached = begin
+    hops = walked.select("book_id", "entry", "to").where("to is not null")
+    more = settle(reached.join(hops, ["book_id", "entry"]).select("book_id", F.col("to").alias("entry")))
+    while not more.isEmpty():
+        reached = settle(reached.unionByName(more).distinct())
+        far = hops.select("book_id", F.col("entry").alias("to"), F.col("to").alias("_far"))
+        hops = settle(hops.join(far, ["book_id", "to"]).select("book_id", "entry", F.col("_far").alias("to")))
+        more = settle(reached.join(hops, ["book_id", "entry"]).select("book_id", F.col("to").alias("entry")).join(reached, ["book_id", "entry"], "left_anti").distinct())
+    return walked.join(reached, ["book_id", "entry"]).select("book_id", F.explode("places").alias("block_seq"))
+
+
+def assign_pages(blocks: DataFrame, reach: int = REACH) -> DataFrame:
+    """blocks with page_index (0-based)."""
+    starts = page_starts(blocks, reach).withColumn("_start", F.lit(1))
     rows = blocks.join(starts, ["book_id", "block_seq"], "left")
-    order = Window.partitionBy("book_id").orderBy("block_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return rows.withColumn("page_index", F.last("page_index", ignorenulls=True).over(order)).select(*blocks.columns, "page_index")
+    rows = spans.sum_before(rows, "book_id", "block_seq", "page_index", F.coalesce("_start", F.lit(0)), here=True)
+    return rows.withColumn("page_index", (F.col("page_index") - 1).cast("int")).select(*blocks.columns, "page_index")
 
 
 def pages(books: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -67,10 +111,11 @@ def with_volume(blocks: DataFrame) -> DataFrame:
 
     What is a contents item shows in the block itself, so nothing is joined.
     """
-    order = Window.partitionBy("book_id").orderBy("block_seq").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     at = lambda level, value: F.when(in_contents() & (F.coalesce("level", F.lit(3)) == level), value)
-    carry = lambda value: F.coalesce(F.last(at(2, value), ignorenulls=True).over(order), F.first(at(1, value), ignorenulls=True).over(order))
-    return blocks.withColumns({"volume_block_id": carry(F.col("block_id")), "volume_title": carry(F.col("content"))})
+    both = F.struct("block_id", "content")
+    rows = spans.seen(blocks, "book_id", "block_seq", {"_two": at(2, both)}, {"_one": at(1, both)})
+    here = F.coalesce("_two", "_one")
+    return rows.select(*blocks.columns, here["block_id"].alias("volume_block_id"), here["content"].alias("volume_title"))
 
 
 def enrich_toc(toc: DataFrame, paged: DataFrame) -> DataFrame:

@@ -1,13 +1,16 @@
 """Structural parsing: lines become typed blocks with a confidence, blocks a table of contents.
 
-Every rule looks at one line, except the title (the first line with text) and runs of
-verse, which two windows over a book's lines find.  The one exchange moves whole texts, by
-book; rules and all windows share its partitioning.
+Every rule looks at one line, except the title (the first line with text), runs of verse
+and the numbers of blocks.  A book's lines are dealt in segments, so the one exchange moves
+texts by book and segment; rules and all windows share its partitioning, and a book of any
+size is spread over the cluster.  Of books with several segments each is summed up in a row
+(its first text, the verse at both ends), a scan over those rows tells every segment what
+it stands in, and a second one how many blocks come before it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
@@ -30,14 +33,22 @@ STOPS = r"[。？！；，、]"
 STRONG_END = r"[品篇章訣诀符圖图讚赞頌颂咒呪誥诰]\z"
 
 
-def source_lines(books: DataFrame) -> DataFrame:
-    """(book_id, title, idx, text, indented) of every line, text trimmed; a null source counts as empty.
+#: Lines of a segment: what a task reads of one book at once.
+SEGMENT = 20_000
 
-    Books are dealt by their id while they are one text each: what is sent is smaller than
-    lines with their rules, and all windows over a book find it in place.
+
+def source_lines(books: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """(book_id, title, segments, segment, idx, text, indented) of every line, text trimmed; a null source counts as empty.
+
+    Books are dealt by their segments while those are one text each: what is sent is smaller
+    than lines with their rules, and all windows over a segment find it in place.
     """
-    rows = books.repartition("book_id").select("book_id", "title", F.posexplode(T.lines(F.coalesce("source", F.lit("")))).alias("idx", "line"))
-    return rows.select("book_id", "title", "idx", T.trim("line").alias("text"), F.col("line").rlike(rf"^{T.SPACE}*\x{{3000}}").alias("indented"))
+    rows = books.select("book_id", "title", T.lines(F.coalesce("source", F.lit(""))).alias("lines"))
+    rows = rows.withColumn("segments", F.ceil(F.size("lines") / segment).cast("int"))
+    part = F.transform(F.sequence(F.lit(0), F.col("segments") - 1), lambda k: F.when(F.col("segments") == 1, F.col("lines")).otherwise(F.slice("lines", k * segment + 1, segment)))
+    rows = rows.select("book_id", "title", "segments", F.posexplode(part).alias("segment", "lines")).repartition("book_id", "segment")
+    rows = rows.select("book_id", "title", "segments", "segment", F.posexplode("lines").alias("at", "line"))
+    return rows.select("book_id", "title", "segments", "segment", (F.col("segment") * segment + F.col("at")).alias("idx"), T.trim("line").alias("text"), F.col("line").rlike(rf"^{T.SPACE}*\x{{3000}}").alias("indented"))
 
 
 def _rule(text: Column, free: Column) -> Column:
@@ -59,34 +70,88 @@ def _rule(text: Column, free: Column) -> Column:
     )
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Blocks of the lines that source_lines gives."""
+def _own() -> WindowSpec:
+    return Window.partitionBy("book_id", "segment")
+
+
+def _shaped(lines: DataFrame) -> DataFrame:
+    """lines with verse, whether one has the shape of verse, and taken, whether an earlier rule takes it before a run of verse can start with it."""
     text, free = F.col("text"), ~F.col("indented")
-    rows = lines.withColumns(
-        {
-            "rule": _rule(text, free),
-            "verse": free & text.rlike(VERSE),
-            # Lines that an earlier rule takes before a run of verse can start with them.
-            "taken": free & ((F.length(text) <= 24) & text.rlike(VOLUME_END) | (F.length(text) <= 20) & text.rlike(VOLUME)),
-        }
-    )
+    taken = free & ((F.length(text) <= 24) & text.rlike(VOLUME_END) | (F.length(text) <= 20) & text.rlike(VOLUME))
+    return lines.withColumns({"verse": free & text.rlike(VERSE), "taken": taken})
+
+
+def _runs(rows: DataFrame) -> DataFrame:
+    """rows with is_title, in_verse, lo and hi, the run of verse that a line stands in, and end, the last line of the segment.
+
+    A run is one block from its first line that nothing else takes, if a line of verse
+    follows there.  first: the book's first line with text, where it has several segments;
+    lo_before: where a run starts that comes from the segments before; hi_after: where one
+    ends that goes on behind this segment.
+    """
+    ordered = _own().orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    text, idx = F.col("text"), F.col("idx")
+    first = F.coalesce("first", F.min(F.when(text != "", idx)).over(_own()))
+    rows = rows.withColumns({"is_title": F.coalesce(idx == first, F.lit(False)), "island": F.sum(F.when(F.col("verse"), 0).otherwise(1)).over(ordered), "end": F.max("idx").over(_own())})
+    run = Window.partitionBy("book_id", "segment", "island")
+    starts = F.min(F.when(F.col("verse") & ~F.col("is_title") & ~F.col("taken"), idx)).over(run)
+    last = F.max(F.when(F.col("verse"), idx)).over(run)
+    rows = rows.withColumns({"lo": F.when((F.col("island") == 0) & F.col("lo_before").isNotNull(), F.col("lo_before")).otherwise(starts), "hi": F.when((last == F.col("end")) & F.col("hi_after").isNotNull(), F.col("hi_after")).otherwise(last)})
+    return rows.withColumn("in_verse", F.coalesce(F.col("verse") & (idx >= F.col("lo")) & (F.col("hi") > F.col("lo")), F.lit(False)))
+
+
+def _kept() -> Column:
+    """Whether a line begins a block."""
+    return (F.col("text") != "") & (~F.col("in_verse") | (F.col("idx") == F.col("lo")))
+
+
+def _joined(rows: DataFrame) -> DataFrame:
+    """(book_id, segment, first, lo_before, hi_after, blocks_before, rest): what each segment of a book with several needs to know of the others.
+
+    rest: the text of a run of verse that goes on behind the segment where it starts.
+    """
+    idx = F.col("idx")
+    opening = F.min(F.when(F.col("text") != "", idx)).over(_own())
+    marked = rows.withColumns({"broken": F.max(F.when(~F.col("verse"), idx)).over(_own()), "opening": opening})
+    start = F.col("verse") & ~F.col("taken") & (idx > F.coalesce("broken", F.lit(-1)))
+    sums = marked.groupBy("book_id", "segment").agg(
+        F.min("opening").alias("opening"), F.max("broken").alias("broken"),
+        F.coalesce(F.min(F.when(~F.col("verse"), idx)) - 1, F.max("idx")).alias("lead"), F.min("idx").alias("begin"),
+        F.min(F.when(start, idx)).alias("lo"), F.min(F.when(start & (idx != F.coalesce("opening", F.lit(-1))), idx)).alias("lo_untitled"),
+    )
     book = Window.partitionBy("book_id")
-    ordered = book.orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    first = F.min(F.when(text != "", F.col("idx"))).over(book)
-    rows = rows.withColumns({"is_title": F.coalesce(F.col("idx") == first, F.lit(False)), "island": F.sum(F.when(F.col("verse"), 0).otherwise(1)).over(ordered)})
-    # An island of verse lines is one block from its first line that nothing else takes, if two lines follow from there.
-    run = Window.partitionBy("book_id", "island")
-    to_here = run.orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("started", F.col("verse") & (F.max(F.when(F.col("verse") & ~F.col("is_title") & ~F.col("taken"), 1).otherwise(0)).over(to_here) == 1))
-    whole = run.orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    member = F.when(F.col("started"), F.col("idx"))
-    rows = rows.withColumns({"n": F.count(member).over(whole), "lo": F.min(member).over(whole), "hi": F.max(member).over(whole)})
-    rows = rows.withColumn("in_verse", F.col("started") & (F.col("n") >= 2))
+    first = F.min("opening").over(book)
+    sums = sums.withColumn("first", first).withColumns({"lo": F.when(F.col("opening") == F.col("first"), F.col("lo_untitled")).otherwise(F.col("lo")), "lead": F.when(F.col("lead") >= F.col("begin"), F.col("lead"))})
+    # Segments of nothing but verse hand on what comes to them, from either side.
+    up, down = book.orderBy("segment"), book.orderBy(F.desc("segment"))
+    broken = F.col("broken").isNotNull().cast("int")
+    sums = sums.withColumns({"up": F.sum(broken).over(up), "down": F.sum(broken).over(down)})
+    sums = sums.withColumns({"lo": F.first("lo", ignorenulls=True).over(Window.partitionBy("book_id", "up").orderBy("segment")), "lead": F.max("lead").over(Window.partitionBy("book_id", "down").orderBy(F.desc("segment")))})
+    known = sums.select("book_id", "segment", "first", F.lag("lo").over(up).alias("lo_before"), F.lead("lead").over(up).alias("hi_after"))
+    own = _runs(rows.join(known, ["book_id", "segment"]))
+    counts = own.groupBy("book_id", "segment").agg(F.count_if(_kept()).alias("n"))
+    counts = counts.withColumn("blocks_before", F.coalesce(F.sum("n").over(up.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int"))
+    beyond = own.where(F.col("in_verse") & (F.col("lo") == F.col("lo_before")))
+    parts = F.array_sort(F.collect_list(F.struct("idx", "text")))
+    rest = beyond.groupBy("book_id", "lo").agg(F.array_join(F.transform(parts, lambda x: x["text"]), "\n").alias("rest"))
+    where = own.where(F.col("in_verse") & (F.col("idx") == F.col("lo")) & (F.col("hi") > F.col("end"))).select("book_id", "segment", "lo")
+    rest = where.join(rest, ["book_id", "lo"]).select("book_id", "segment", "rest")
+    return known.join(counts.drop("n"), ["book_id", "segment"]).join(rest, ["book_id", "segment"], "left")
+
+
+def parse_lines(lines: DataFrame) -> DataFrame:
+    """Blocks of the lines that source_lines gives."""
+    text = F.col("text")
+    rows = _shaped(lines)
+    rows = rows.join(_joined(rows.where("segments > 1")), ["book_id", "segment"], "left")
+    rows = _runs(rows.withColumn("rule", _rule(text, ~F.col("indented"))))
+    whole = Window.partitionBy("book_id", "segment", "island").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("joined", F.when(F.col("in_verse"), F.array_join(F.collect_list(F.when(F.col("in_verse"), text)).over(whole), "\n")))
-    kept = rows.where((text != "") & (~F.col("in_verse") | (F.col("idx") == F.col("lo"))))
+    rows = rows.withColumn("joined", F.when(F.col("hi") > F.col("end"), F.concat_ws("\n", "joined", "rest")).otherwise(F.col("joined")))
+    kept = rows.where(_kept())
     title, verse = F.col("is_title"), F.col("in_verse")
     same = (F.coalesce("title", F.lit("")) != "") & (F.contains(text, F.col("title")) | F.contains("title", text))
-    seq = F.row_number().over(book.orderBy("idx")) - 1
+    seq = F.row_number().over(_own().orderBy("idx")) - 1 + F.coalesce("blocks_before", F.lit(0))
     return kept.withColumn("block_seq", seq).select(
         "book_id",
         "block_seq",
@@ -101,9 +166,9 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     )
 
 
-def parse(books: DataFrame) -> DataFrame:
-    """Blocks of books (book_id, title, source), in the columns of schemas.BLOCK."""
-    return parse_lines(source_lines(books))
+def parse(books: DataFrame, segment: int = SEGMENT) -> DataFrame:
+    """Blocks of books (book_id, title, source), in the columns of schemas.BLOCK; they don't depend on the size of segments."""
+    return parse_lines(source_lines(books, segment))
 
 
 def in_contents() -> Column:

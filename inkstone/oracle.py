@@ -195,12 +195,16 @@ def _concepts(most: int = 3) -> str:
 
 _PARTS = rf"list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_replace(q, '《[^》]*》', '，', 'g'), '{ASKING}', '，', 'g'), '{BREAKS}'), lambda x: {_trim('x')}), lambda x: regexp_matches(x, '^{CJK}{{2,8}}$'))"
 # Bodies as JSON values; their types are those of the values.
-_BODIES = f"""b AS (SELECT batch_id, body::JSON AS j FROM {_values(Q.BODIES, "batch_id, body")} WHERE json_valid(body)),
-l AS (SELECT batch_id, CASE json_type(j) WHEN 'ARRAY' THEN j WHEN 'OBJECT' THEN json_extract(j, '$.events') END AS l FROM b),
+# Of repeated members the last counts, in the place of the first.
+_LAST = "(SELECT arg_max(value, id) FROM json_each({0}) WHERE key = '{1}')"
+_BODIES = rf"""b AS (SELECT batch_id, body::JSON AS j FROM {_values(Q.BODIES, "batch_id, body")} WHERE json_valid(body)),
+l AS (SELECT batch_id, CASE json_type(j) WHEN 'ARRAY' THEN j WHEN 'OBJECT' THEN {_LAST.format("j", "events")} END AS l FROM b),
 i AS (SELECT batch_id, unnest(json_extract(l, '$[*]')) AS e FROM l WHERE json_type(l) = 'ARRAY' AND json_array_length(l) BETWEEN 1 AND 50),
-own AS (SELECT batch_id, json_extract_string(e, '$.event') AS event, CASE WHEN json_type(e, '$.sessionId') = 'VARCHAR' THEN json_extract_string(e, '$.sessionId') END AS session_id,
-  CASE WHEN json_type(e, '$.bookId') = 'VARCHAR' THEN json_extract_string(e, '$.bookId') END AS book_id, json_extract(e, '$.extra')::VARCHAR AS extra
-  FROM i WHERE json_type(e) = 'OBJECT' AND json_type(e, '$.event') = 'VARCHAR' AND json_extract_string(e, '$.event') IN ({_KNOWN}))"""
+m AS (SELECT batch_id, {_LAST.format("e", "event")} AS event, {_LAST.format("e", "sessionId")} AS session, {_LAST.format("e", "bookId")} AS book, {_LAST.format("e", "extra")} AS x FROM i WHERE json_type(e) = 'OBJECT'),
+w AS (SELECT *, CASE WHEN json_type(x) = 'OBJECT' THEN (SELECT '{{' || coalesce(string_agg('"' || key || '":' || v, ',' ORDER BY f), '') || '}}' FROM (SELECT key, min(id) AS f, arg_max(value, id)::VARCHAR AS v FROM json_each(x) GROUP BY key)) ELSE x::VARCHAR END AS t FROM m),
+own AS (SELECT batch_id, event->>'$' AS event, CASE WHEN json_type(session) = 'VARCHAR' THEN session->>'$' END AS session_id, CASE WHEN json_type(book) = 'VARCHAR' THEN book->>'$' END AS book_id,
+  CASE WHEN json_type(x) IN ('VARCHAR', 'NULL', 'BOOLEAN') AND t IN ('""', 'null', 'false') OR json_type(x) IN ('DOUBLE', 'UBIGINT', 'BIGINT') AND t::DOUBLE = 0 THEN NULL WHEN json_type(x) = 'VARCHAR' THEN t ELSE regexp_replace(t, '(\d)\.0+([,}}\]]|$)', '\1\2', 'g') END AS extra
+  FROM w WHERE json_type(event) = 'VARCHAR' AND event->>'$' IN ({_KNOWN}))"""
 _SENT = f"""{_EV}, r AS (SELECT user_id || ':' || epoch_ms(date_trunc('minute', ts)) AS batch_id, *, count(*) OVER (PARTITION BY user_id, date_trunc('minute', ts)) <= 50 AND event IN ({_KNOWN}) AS good FROM ev)"""
 _USERS = "u AS (SELECT c_custkey AS k, c_custkey::VARCHAR AS id, replace(c_name, '#', '.') || '@Example.org' AS email FROM customer)"
 _QUESTIONS = _values(list(enumerate(Q.QUESTIONS)), "id, q")
@@ -271,7 +275,7 @@ SELECT request_id, book_id, page_num, status, CASE WHEN status = 200 AND page_nu
     "low_conf_shapes": f"WITH {ALL} SELECT shape, n FROM (SELECT type || ': ' || substr(content, 1, 12) AS shape, count(*) AS n, min({{'b': book_id, 's': block_seq}}) AS f FROM blocks WHERE {_LOW} GROUP BY 1 ORDER BY n DESC, f LIMIT 40)",
     "worst_documents": f"WITH {ALL}, s AS (SELECT book_id, count(*) FILTER ({_LOW}) AS low_confidence, count(*) AS total FROM blocks GROUP BY book_id ORDER BY low_confidence / total DESC, book_id LIMIT 20) SELECT *, {_SHARE('low_confidence', 'total')} AS share FROM s",
     "quality_totals": f"WITH {ALL}, s AS (SELECT count(DISTINCT book_id) AS books, count(*) AS total_blocks, count(*) FILTER ({_LOW}) AS low_confidence FROM blocks) SELECT *, {_SHARE('low_confidence', 'total_blocks')} AS share FROM s",
-    "event_batches": f"WITH {_BODIES} SELECT batch_id, event, session_id, book_id, CASE WHEN extra NOT IN ('0', 'false', 'null', '\"\"') THEN extra END AS extra_json, 120 AS platform_chars FROM own",
+    "event_batches": f"WITH {_BODIES} SELECT batch_id, event, session_id, book_id, extra AS extra_json, 120 AS platform_chars FROM own",
     "event_batch_status": f"WITH {_SENT}, {_BODIES}, s AS (SELECT batch_id, count(*) FILTER (good) AS stored FROM r GROUP BY batch_id UNION ALL SELECT batch_id, (SELECT count(*) FROM own WHERE own.batch_id = v.batch_id) FROM {_values([(i, 0) for i, _ in Q.BODIES], 'batch_id, x')}) SELECT batch_id, stored, CASE WHEN stored > 0 THEN 200 ELSE 400 END AS status FROM s",
     "event_append": f"WITH {_SENT}, {_BODIES} SELECT batch_id, event, 's' || user_id AS session_id, NULL AS book_id, user_id, event_id AS client_ts FROM r WHERE good UNION ALL SELECT batch_id, event, session_id, book_id, 'u1', CASE WHEN json_valid(extra) THEN json_extract_string(extra, '$.ts')::BIGINT END FROM own",
     "event_stream": f"WITH {_SENT} SELECT event, count(*) AS n, 2 * count(*) AS received FROM r WHERE good GROUP BY event",
@@ -375,7 +379,7 @@ cited AS (SELECT question_id, step, place, id AS book_id, title AS book_title, N
   UNION ALL SELECT question_id, 9, 0, book_id, coalesce(book_title, ''), block_id, NULL, 'reading' FROM asked a WHERE coalesce(book_id, '') <> '' AND NOT EXISTS (SELECT 1 FROM kept k WHERE k.question_id = a.question_id AND k.id = a.book_id))
 SELECT question_id, (row_number() OVER (PARTITION BY question_id ORDER BY step, place))::INT AS place, book_id, book_title, block_id, quote, source FROM cited""",
     "query_as_typed": f"WITH {_hits(['灵宝领教', '靈寶領教'], 'c')} SELECT id, matched_term, match_count, 'full' AS mode FROM (SELECT * FROM hits ORDER BY title_hit DESC, match_count DESC, ord LIMIT 20) UNION ALL SELECT id, NULL, NULL, 'full mode' FROM c WHERE contains(content, '三洞') UNION ALL SELECT id, NULL, NULL, 'meta mode' FROM c WHERE contains(title, '三洞') OR contains(preview, '三洞')",
-    "chapter": f"WITH {ALL} SELECT block_id, 'toc' AS part FROM toc WHERE book_id = '7' UNION ALL SELECT block_id, 'block' FROM blocks WHERE book_id = '7' AND block_seq < 5",
+    "chapter": f"WITH {ALL} SELECT block_id, 'toc' AS part FROM toc WHERE book_id = '7' UNION ALL SELECT block_id, 'block' FROM blocks WHERE book_id = '7' AND block_seq < 200",
     "tool_calls": "SELECT * FROM (VALUES (0, 'found'), (1, 'entry lacks entry_id'), (2, 'unknown tool: nope'), (3, 'hidden needs the permission review'), (4, 'found'), (5, 'empty')) v(call, outcome)",
     "footnote_bodies": rf"WITH {ALL}, d AS (SELECT *, regexp_extract(content, '{DEFINITION}', 0) AS head FROM blocks WHERE regexp_matches(content, '{DEFINITION}')) SELECT book_id, block_id, array_to_string(list_transform(regexp_extract_all(head, '[#＃](\d+)', 1), lambda x: x::BIGINT::VARCHAR), ',') AS nums, regexp_replace(substr(content, length(head) + 1), '^{SPACE}+', '') AS body FROM d",
     "footnote_segments": rf"""WITH {ALL}, d AS (SELECT book_id, block_id, regexp_split_to_array(content, '[#＃]\d+') AS t, regexp_extract_all(content, '[#＃]\d+') AS r FROM blocks WHERE regexp_matches(content, '[#＃]\d') AND NOT regexp_matches(content, '{DEFINITION}')),
@@ -385,10 +389,10 @@ SELECT book_id, block_id, place, x.kind AS kind, x.value AS value, CASE WHEN x.k
     "url_parts": "SELECT p_partkey, url_encode(p_name) AS url FROM part",
     "store_progress": f"WITH {_EV} SELECT user_id, event AS book_id, extra_json AS data_json, created_at AS updated_at FROM ev QUALIFY row_number() OVER (PARTITION BY user_id, event ORDER BY created_at DESC, extra_json DESC) = 1",
     "store_quota": f"WITH {_EV} SELECT user_id AS quota_key, strftime(ts, '%Y-%m-%d') AS day, count(*) AS count FROM ev GROUP BY ALL",
-    "store_users": f"WITH {_USERS}, n AS (SELECT u.*, c_name AS name FROM u JOIN customer ON c_custkey = k) SELECT id, email, name, 1::BIGINT AS created_at FROM n WHERE k < 20 UNION ALL SELECT id, ' ' || upper(email), name, 1 FROM n WHERE k >= 20 AND k < 30",
+    "store_users": f"WITH {_USERS} SELECT id, lower(email) AS email, CASE WHEN k % 3 > 0 THEN c_name END AS name, 1::BIGINT AS created_at FROM u JOIN customer ON c_custkey = k",
     "store_jobs": f"""WITH {_EV}, j AS (SELECT user_id AS id, 'k' || user_id AS block_id, min(created_at) AS made FROM ev GROUP BY user_id),
 p AS (SELECT user_id AS job_id, created_at AS seen, event_id AS patch_id, CASE WHEN event_id % 2 = 0 THEN event END AS status, CASE WHEN event_id % 7 = 0 THEN 'failed' END AS error, CASE WHEN event_id % 3 = 0 THEN '/i/' || event_id END AS image_url FROM ev),
 s AS (SELECT job_id AS id, arg_max(status, {{'a': seen, 'p': patch_id}}) FILTER (status IS NOT NULL) AS status, arg_max(error, {{'a': seen, 'p': patch_id}}) FILTER (error IS NOT NULL) AS error, arg_max(image_url, {{'a': seen, 'p': patch_id}}) FILTER (image_url IS NOT NULL) AS image_url, max(seen) AS updated_at FROM p GROUP BY job_id)
-SELECT id, block_id, coalesce(status, 'pending') AS status, error, image_url, made AS created_at, updated_at FROM j JOIN s USING (id)""",
+SELECT id, block_id, '源' || id AS source_text, coalesce(status, 'pending') AS status, error, image_url, made AS created_at, updated_at FROM j JOIN s USING (id)""",
     "store_events": f"WITH {_SENT}, {_BODIES} SELECT event, count(*) AS n FROM (SELECT event FROM r WHERE good UNION ALL SELECT event FROM own) GROUP BY event",
 }

@@ -10,7 +10,8 @@ PROGRESS = "user_id string, book_id string, data_json string, updated_at long"
 QUOTA = "quota_key string, day string, count long"
 USER = "id string, email string, name string, created_at long"
 EVENT = "event string, user_id string, session_id string, book_id string, platform string, extra_json string, created_at long"
-JOB = "id string, book_id string, block_id string, type string, status string, error string, prompt string, image_url string, created_at long, updated_at long"
+STORED_EVENT = f"id string, batch_id string, {EVENT}"
+JOB = "id string, book_id string, block_id string, type string, source_text string, status string, error string, prompt string, image_url string, created_at long, updated_at long"
 IMAGE_ASSET = "id string, source string, copyright string, ai_generated boolean, is_verified boolean"
 
 #: The types of blocks, those that a reviewer may assign, and the names of events.

@@ -64,6 +64,11 @@ def read_text(spark: SparkSession, path: str) -> str | None:
         source.close()
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    at, files = _at(spark, path)
+    return files.exists(at)
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """A file or folder, with all it holds, if it is there."""
     at, files = _at(spark, path)

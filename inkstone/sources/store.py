@@ -1,75 +1,90 @@
 """The tables of the application's store, kept as Parquet: users, progress, quotas, events, jobs.
 
-A table is a folder of versions and a file that names the current one.  A change writes the
-next version whole and then moves the name, so a reader sees one or the other, and a failed
-write leaves the old one; the version before the current one is kept for readers that still
-have it.  Events are only ever appended.  One writer at a time is assumed, as the reference's
-single connection has it.
+A table lies in folders by a hash of its key.  A change reads and rewrites only the folders
+of its keys: what they hold afterwards is written to the shared folder first, then those
+folders are replaced by a dynamic partition overwrite, so what a change costs does not grow
+with the table.  Events are only ever appended, by ingest.  One writer at a time is assumed.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone import schemas
 from inkstone.operators import behaviour
-from inkstone.sources.stage import read_text, remove, write_text
+from inkstone.sources.stage import exists, settle
 
-TABLES = {"users": schemas.USER, "reading_progress": schemas.PROGRESS, "ai_quota": schemas.QUOTA, "analytics_events": f"batch_id string, {schemas.EVENT}", "illustration_jobs": schemas.JOB}
+TABLES = {"users": schemas.USER, "reading_progress": schemas.PROGRESS, "ai_quota": schemas.QUOTA, "analytics_events": schemas.STORED_EVENT, "illustration_jobs": schemas.JOB}
+#: The column that says in which folder a row lies.
+KEYS = {"users": "email", "reading_progress": "user_id", "ai_quota": "quota_key", "illustration_jobs": "book_id"}
 
 
 class Store:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
+    """Tables in a folder; buckets, the folders of a table, never change once it is written."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
+        self.spark, self.path, self.buckets = spark, path.rstrip("/"), buckets
+
+    def _bucket(self, name: str, value: Column | None = None) -> Column:
+        return F.pmod(F.xxhash64(F.col(KEYS[name]) if value is None else value), F.lit(self.buckets)).cast("int")
 
-    def _version(self, name: str) -> int:
-        return int(read_text(self.spark, f"{self.path}/{name}/current") or 0)
+    def _rows(self, name: str) -> DataFrame:
+        """A table with the folder of each row; an empty one where nothing was written yet."""
+        schema = f"{TABLES[name]}, bucket int"
+        if not exists(self.spark, f"{self.path}/{name}"):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.path}/{name}")
 
     def read(self, name: str) -> DataFrame:
-        """A table; an empty one where nothing was written yet."""
-        version = self._version(name)
-        if not version:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/{version}")
-
-    def replace(self, name: str, rows: DataFrame) -> None:
-        version = self._version(name) + 1
-        shaped = rows.select(*self.spark.createDataFrame([], TABLES[name]).columns)
-        shaped.write.mode("overwrite").parquet(f"{self.path}/{name}/{version}")
-        write_text(self.spark, f"{self.path}/{name}/current", str(version))
-        remove(self.spark, f"{self.path}/{name}/{version - 2}")
+        if name != "analytics_events":
+            return self._rows(name).drop("bucket")
+        path = f"{self.path}/{name}"
+        return behaviour.stored_events(self.spark, path) if exists(self.spark, path) else self.spark.createDataFrame([], TABLES[name])
+
+    def read_key(self, name: str, value: str) -> DataFrame:
+        """The rows of one key; other folders are not read."""
+        return self._rows(name).where((F.col("bucket") == self._bucket(name, F.lit(value))) & (F.col(KEYS[name]) == value)).drop("bucket")
+
+    def _change(self, name: str, touched: DataFrame, merged: Callable[[DataFrame], DataFrame]) -> None:
+        """Replace the folders of touched, a column of their numbers, by what merged makes of their rows."""
+        own = [r[0] for r in touched.distinct().collect()]
+        if own:
+            old = self._rows(name).where(F.col("bucket").isin(own)).drop("bucket")
+            new = settle(merged(old).select(*old.columns, self._bucket(name).alias("bucket")))
+            new.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{self.path}/{name}")
+
+    def _upsert(self, name: str, rows: DataFrame, merged: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
+        rows = settle(rows.select(*self.read(name).columns))
+        self._change(name, rows.select(self._bucket(name)), lambda old: merged(old, rows))
 
     def insert_users(self, rows: DataFrame) -> None:
-        """New users; of those whose address is known, in any case, none is added."""
-        known = self.read("users")
-        key = lambda df: df.withColumn("_key", F.lower(F.trim("email")))
-        self.replace("users", behaviour.insert_unique(key(known), key(rows.select(*known.columns)), ["_key"], "created_at"))
+        """New users, their addresses trimmed and in small letters; of those whose address is known none is added."""
+        stored = rows.withColumns({"email": behaviour.address(F.col("email")), "name": F.nullif(F.trim("name"), F.lit(""))})
+        self._upsert("users", stored, lambda old, new: behaviour.insert_unique(old, new, ["email"], "created_at"))
 
     def save_progress(self, rows: DataFrame) -> None:
         """Progress by user and book: the latest row replaces the others."""
-        old = self.read("reading_progress")
-        self.replace("reading_progress", behaviour.latest_progress(old, rows.select(*old.columns)))
+        self._upsert("reading_progress", rows, behaviour.latest_progress)
 
     def use_quota(self, calls: DataFrame) -> None:
         """Calls (key, at) added to the counts of their keys and days."""
         added = behaviour.quota_counts(calls).withColumnRenamed("key", "quota_key")
-        every = self.read("ai_quota").unionByName(added)
-        self.replace("ai_quota", every.groupBy("quota_key", "day").agg(F.sum("count").alias("count")))
+        self._upsert("ai_quota", added, lambda old, new: old.unionByName(new).groupBy("quota_key", "day").agg(F.sum("count").alias("count")))
 
-    def insert_events(self, batches: DataFrame) -> None:
-        """The valid events of request bodies, appended."""
-        if not self._version("analytics_events"):
-            self.replace("analytics_events", self.read("analytics_events"))
-        behaviour.append_events(batches, f"{self.path}/analytics_events/{self._version('analytics_events')}")
+    def insert_events(self, batches: DataFrame, ingest: str) -> None:
+        """The valid events of request bodies, appended; the same ingest again replaces what it wrote."""
+        behaviour.append_events(batches, f"{self.path}/analytics_events", ingest)
 
     def insert_jobs(self, rows: DataFrame) -> None:
         """New jobs; one for each block and type."""
-        old = self.read("illustration_jobs")
-        self.replace("illustration_jobs", behaviour.insert_unique(old, rows.select(*old.columns), ["book_id", "block_id", "type"], "created_at"))
+        self._upsert("illustration_jobs", rows, lambda old, new: behaviour.insert_unique(old, new, ["book_id", "block_id", "type"], "created_at"))
 
     def patch_jobs(self, patches: DataFrame) -> None:
         """Jobs after patches (job_id, patch_id, at, status, error, image_url): a null leaves the old value, the time always moves."""
-        new = behaviour.job_state(patches).select(F.col("job_id").alias("id"), *(F.col(c).alias(f"_{c}") for c in ("status", "error", "image_url", "updated_at")))
-        rows = self.read("illustration_jobs").join(new, "id", "left")
-        self.replace("illustration_jobs", rows.withColumns({c: F.coalesce(f"_{c}", c) for c in ("status", "error", "image_url", "updated_at")}))
+        fields = ("status", "error", "image_url", "updated_at")
+        new = settle(behaviour.job_state(patches).select(F.col("job_id").alias("id"), *(F.col(c).alias(f"_{c}") for c in fields)))
+        touched = self._rows("illustration_jobs").join(new, "id", "left_semi").select("bucket")
+        self._change("illustration_jobs", touched, lambda old: old.join(new, "id", "left").withColumns({c: F.coalesce(f"_{c}", c) for c in fields}))

@@ -1,4 +1,4 @@
-"""Events as a stream: the same validation as in batches, appended once per micro-batch.
+"""Events as a stream: the same validation as in batches, each micro-batch written once, however often it is tried.
 
 Windowed counts with a watermark are an addition of this engine.
 """
@@ -9,12 +9,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from inkstone.operators.behaviour import expand_batches
+from inkstone.operators.behaviour import append_events
 
 
 def ingest(batches: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
-    """Append the valid events of a stream of request bodies to a Parquet table."""
-    return expand_batches(batches).writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    """Append the valid events of a stream of request bodies to a table, each micro-batch as an ingest of its own.
+
+    A micro-batch that fails half way is run again under its number and replaces what it
+    wrote; stored_events reads the table.
+    """
+
+    def write(rows: DataFrame, number: int) -> None:
+        append_events(rows, path, f"batch-{number}")
+
+    return batches.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def windowed_counts(events: DataFrame, late: str = "10 minutes", width: str = "5 minutes") -> DataFrame:

@@ -4,9 +4,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from inkstone import queries as Q
-from inkstone.operators import enrich, paginate, parse
+from inkstone.operators import enrich, paginate, parse, spans
 
 CJK = "[㐀-鿿]"
 
@@ -95,6 +96,32 @@ def test_verse_runs_match_a_sequential_reading(spark):
     assert found == {str(i): m for i, c in enumerate(cases) if (m := model(c))}
 
 
+@pytest.mark.parametrize("segment", [1, 2, 3, 5])
+def test_blocks_do_not_depend_on_segments(spark, segment):
+    """Runs over several segments, segments of nothing but verse or blank lines, titles and volumes that open a run."""
+    rng = random.Random(6)
+    kinds = [LINES, ["天地玄宗", "萬炁本根", "日月星辰"], ["", "天地玄宗"], ["天地玄宗", "三洞珠囊卷之一", "日月星辰", "萬炁本根"]]
+    cases = [[rng.choice(rng.choice(kinds)) if rng.random() < 0.3 else rng.choice(kinds[1]) for _ in range(rng.randrange(1, 16))] for _ in range(150)] + [[""] * 7, ["天地玄宗"] * 9]
+    books = spark.createDataFrame([(str(i), "", "\n".join(c)) for i, c in enumerate(cases)], "book_id string, title string, source string")
+    shape = lambda df: sorted(map(tuple, df.collect()))
+    assert shape(parse.parse(books, segment)) == shape(parse.parse(books))
+
+
+def test_one_book_with_half_of_all_lines_is_spread(spark):
+    big = "\n".join(["某某經", *(f"　　第{i}句經文。" for i in range(2000))])
+    books = spark.createDataFrame([("big", "某某經", big)] + [(str(i), "", "短句甲\n　　正文。\n" * 10) for i in range(100)], "book_id string, title string, source string")
+    lines = parse.source_lines(books, 100)
+    # As dealt, before adaptive execution puts small partitions together.
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        tasks = lines.where("book_id = 'big'").groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(tasks) >= 6 and max(r.n for r in tasks) < 1000
+    found = parse.parse(books, 100).where("book_id = 'big'").agg(F.count("*").alias("n"), F.max("block_seq").alias("last")).head()
+    assert (found.n, found.last) == (2001, 2000)
+
+
 def test_every_line_with_text_is_in_one_block(spark):
     books = Q.books(spark, "/root/testdata/sf0.001")
     lines = parse.source_lines(books).where("text <> ''").count()
@@ -140,18 +167,37 @@ def test_overrides(spark, blocks):
     assert sorted((r.book_id, r.key) for r in enrich.save_overrides(one, changes).collect()) == [("f1", "k"), ("f4", "999:x")]
 
 
-def test_pages_of_one_book_with_half_of_all_lines(spark):
-    """A book that arrives in many batches is cut like any other; the state is carried from batch to batch."""
+@pytest.mark.parametrize("reach,span", [(3000, 50), (2500, 7), (100_000, 20_000)])
+def test_pages_of_one_book_with_half_of_all_lines(spark, monkeypatch, reach, span):
+    """A long book is cut in parts that don't show in its pages; blocks that are long, empty, or all headings."""
+    monkeypatch.setattr(spans, "SPAN", span)
     rng = random.Random(1)
-    books = {f"b{k}": [(rng.choice([1, 40, 300, 900, 2500]), rng.random() < 0.3) for _ in range(n)] for k, n in enumerate([6000, 1, 2, 3000, 2999, 1])}
+    books = {f"b{k}": [(rng.choice([0, 1, 40, 300, 900, 2500, 9000]), rng.random() < 0.3) for _ in range(n)] for k, n in enumerate([900, 1, 2, 400, 399, 1])}
+    books |= {"c0": [(1, False)] * 5000, "c1": [(0, True)] * 30, "c2": [(30_000, True)] * 9, "c3": [(1399, True), (1, True)] * 40, "c4": [(2200, False), (7, True)] * 30, "c5": [(8000, False), (10, True), (0, True)] * 20}
     rows = [(b, i, "heading" if head else "paragraph", "x" * length) for b, sizes in books.items() for i, (length, head) in enumerate(sizes)]
     rng.shuffle(rows)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
-    try:
-        found = paginate.assign_pages(spark.createDataFrame(rows, "book_id string, block_seq int, type string, content string")).select("book_id", "block_seq", "page_index").collect()
-    finally:
-        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    df = spark.createDataFrame(rows, "book_id string, block_seq int, type string, content string")
     pages = {}
-    for b, i, page in found:
-        pages.setdefault(b, {}).setdefault(page, []).append(i)
+    for r in paginate.assign_pages(df, reach).select("book_id", "block_seq", "page_index").collect():
+        pages.setdefault(r.book_id, {}).setdefault(r.page_index, []).append(r.block_seq)
     assert {b: [min(own[p]) for p in sorted(own)] for b, own in pages.items()} == {b: [first for first, _ in pages_model(sizes)] for b, sizes in books.items()}
+    plan = paginate.assign_pages(df, reach)._jdf.queryExecution().toString()
+    assert "MapInArrow" not in plan and "Python" not in plan
+
+
+def test_running_values_do_not_depend_on_spans(spark):
+    rng = random.Random(4)
+    rows = [(rng.choice("aab"), i, rng.choice([None, None, i]), rng.randrange(9)) for i in range(400)]
+    df = spark.createDataFrame(rows, "k string, place int, v int, n int")
+    want = {}
+    for k in "ab":
+        total, last, first = 0, None, None
+        for _, place, v, n in (r for r in rows if r[0] == k):
+            last, first = (v, first if first is not None else v) if v is not None else (last, first)
+            want[place] = (total, total + n, last, first)
+            total += n
+    for span in (1, 7, 1000):
+        got = spans.sum_before(spans.sum_before(df, "k", "place", "s", F.col("n"), span), "k", "place", "t", F.col("n"), span, here=True)
+        got = spans.seen(got, "k", "place", {"last": F.col("v")}, {"first": F.col("v")}, span)
+        assert got.columns == [*df.columns, "s", "t", "last", "first"]
+        assert {r.place: (r.s, r.t, r.last, r["first"]) for r in got.collect()} == want
