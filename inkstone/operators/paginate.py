@@ -12,10 +12,10 @@ from inkstone.sources.stage import settle
 #: Characters of a page from which a heading starts the next, and at which it ends anyway.
 TARGET, MOST = 1400, 2200
 #: Characters of a book that one task cuts.
-REACH = 60_000
+REACH = 400_000
 
 
-def _next_starts(blocks: DataFrame, reach: int) -> DataFrame:
+def _next_starts(blocks: DataFrame, reach: int, whole: bool) -> DataFrame:
     """(book_id, part, block_seq, next): where the page that a block starts ends, the next page's first block.
 
     That depends on the characters from the block on alone: the next heading with which they
@@ -26,7 +26,7 @@ def _next_starts(blocks: DataFrame, reach: int) -> DataFrame:
     """
     head = F.col("type").isin("heading", "subheading")
     rows = blocks.select("book_id", "block_seq", F.length("content").cast("long").alias("n"), head.alias("head"))
-    rows = spans.sum_before(rows, "book_id", "block_seq", "at", F.col("n"))
+    rows = spans.sum_before(rows, "book_id", "block_seq", "at", F.col("n"), whole=whole)
     part = F.floor(F.col("at") / reach).cast("long")
     halo = F.floor(F.greatest(F.lit(0), F.col("at") - MOST) / reach).cast("long")
     rows = rows.withColumns({"own": part, "halo": halo})
@@ -56,7 +56,7 @@ def _walk(steps: Column, start: Column) -> Column:
     return F.aggregate(steps, none, lambda a, x: F.when(x["block_seq"] == a["next"], F.struct(F.concat(a["places"], F.array(x["block_seq"])).alias("places"), x["next"].alias("next"))).otherwise(a))
 
 
-def page_starts(blocks: DataFrame, reach: int = REACH) -> DataFrame:
+def page_starts(blocks: DataFrame, reach: int = REACH, whole: bool | None = None) -> DataFrame:
     """(book_id, block_seq) of the first block of every page.
 
     Inside a part the starts are a walk along _next_starts.  Where a book has several parts,
@@ -64,17 +64,18 @@ def page_starts(blocks: DataFrame, reach: int = REACH) -> DataFrame:
     and pointers from part to part are doubled until all that a book's first block leads to
     are known: as many joins as the logarithm of the parts, over a row for each such block.
     """
-    nexts = settle(_next_starts(blocks, reach))
-    # A part whose blocks all lie beyond a jump is never entered.
-    parts = settle(nexts.groupBy("book_id", "part").agg(F.array_sort(F.collect_list(F.struct("block_seq", "next"))).alias("steps"), F.min("block_seq").alias("lo"), F.max("block_seq").alias("hi")))
+    nexts = settle(_next_starts(blocks, reach, spans.fits(blocks, "block_seq", whole=whole)))
+    parts = nexts.groupBy("book_id", "part").agg(F.array_sort(F.collect_list(F.struct("block_seq", "next"))).alias("steps"))
+    last = nexts.groupBy("book_id", "part").agg(F.max("block_seq").alias("hi"))
     begin = nexts.groupBy("book_id").agg(F.min("block_seq").alias("entry"))
-    crossing = nexts.join(parts.select("book_id", "part", "hi"), ["book_id", "part"]).where(F.col("next") > F.col("hi"))
-    entries = settle(begin.unionByName(crossing.select("book_id", F.col("next").alias("entry"))).distinct())
+    crossing = nexts.join(last, ["book_id", "part"]).where(F.col("next") > F.col("hi"))
+    entries = begin.unionByName(crossing.select("book_id", F.col("next").alias("entry"))).distinct()
     lead = nexts.select("book_id", "part", F.col("block_seq").alias("entry")).join(entries, ["book_id", "entry"])
-    walked = lead.join(parts.select("book_id", "part", "steps"), ["book_id", "part"]).select("book_id", "entry", _walk(F.col("steps"), F.col("entry")).alias("w"))
+    walked = lead.join(parts, ["book_id", "part"]).select("book_id", "entry", _walk(F.col("steps"), F.col("entry")).alias("w"))
     walked = settle(walked.select("book_id", "entry", "w.places", F.col("w.next").alias("to")))
     reached = begin
-    hops = walked.select("book_id", "entry", "to").where("to is not null")
+    # The last page of a book leads nowhere.
+    hops = walked.select("book_id", "entry", "to").join(walked.select("book_id", F.col("entry").alias("to")), ["book_id", "to"], "left_semi")
     more = settle(reached.join(hops, ["book_id", "entry"]).select("book_id", F.col("to").alias("entry")))
     while not more.isEmpty():
         reached = settle(reached.unionByName(more).distinct())
@@ -86,9 +87,10 @@ def page_starts(blocks: DataFrame, reach: int = REACH) -> DataFrame:
 
 def assign_pages(blocks: DataFrame, reach: int = REACH) -> DataFrame:
     """blocks with page_index (0-based)."""
-    starts = page_starts(blocks, reach).withColumn("_start", F.lit(1))
+    whole = spans.fits(blocks, "block_seq")
+    starts = page_starts(blocks, reach, whole).withColumn("_start", F.lit(1))
     rows = blocks.join(starts, ["book_id", "block_seq"], "left")
-    rows = spans.sum_before(rows, "book_id", "block_seq", "page_index", F.coalesce("_start", F.lit(0)), here=True)
+    rows = spans.sum_before(rows, "book_id", "block_seq", "page_index", F.coalesce("_start", F.lit(0)), here=True, whole=whole)
     return rows.withColumn("page_index", (F.col("page_index") - 1).cast("int")).select(*blocks.columns, "page_index")
 
 
@@ -106,14 +108,14 @@ def pages(books: DataFrame, blocks: DataFrame) -> DataFrame:
     return rows.select("book_id", zero("page_index"), zero("start_block"), zero("end_block"), F.coalesce("block_ids", F.array().cast("array<string>")).alias("block_ids"), zero("char_count", "bigint"), *(["volume_block_id"] if volume else []))
 
 
-def with_volume(blocks: DataFrame) -> DataFrame:
+def with_volume(blocks: DataFrame, whole: bool | None = None) -> DataFrame:
     """blocks with the volume they stand in: the last contents item of level 2 so far, else the first of level 1.
 
     What is a contents item shows in the block itself, so nothing is joined.
     """
     at = lambda level, value: F.when(in_contents() & (F.coalesce("level", F.lit(3)) == level), value)
     both = F.struct("block_id", "content")
-    rows = spans.seen(blocks, "book_id", "block_seq", {"_two": at(2, both)}, {"_one": at(1, both)})
+    rows = spans.seen(blocks, "book_id", "block_seq", {"_two": at(2, both)}, {"_one": at(1, both)}, whole=whole)
     here = F.coalesce("_two", "_one")
     return rows.select(*blocks.columns, here["block_id"].alias("volume_block_id"), here["content"].alias("volume_title"))
 

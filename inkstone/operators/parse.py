@@ -37,17 +37,27 @@ STRONG_END = r"[品篇章訣诀符圖图讚赞頌颂咒呪誥诰]\z"
 SEGMENT = 20_000
 
 
-def source_lines(books: DataFrame, segment: int = SEGMENT) -> DataFrame:
+def fits(books: DataFrame, segment: int = SEGMENT) -> bool:
+    """Whether every book is one segment: a look at the line ends alone, which saves exchanges where it holds."""
+    ends = F.length("source") - F.length(F.replace("source", F.lit("\n"), F.lit("")))
+    return (books.agg(F.max(ends)).head()[0] or 0) < segment
+
+
+def source_lines(books: DataFrame, segment: int = SEGMENT, whole: bool = False) -> DataFrame:
     """(book_id, title, segments, segment, idx, text, indented) of every line, text trimmed; a null source counts as empty.
 
     Books are dealt by their segments while those are one text each: what is sent is smaller
-    than lines with their rules, and all windows over a segment find it in place.
+    than lines with their rules, and all windows over a segment find it in place.  whole:
+    every book is one segment, and is dealt by its id.
     """
-    rows = books.select("book_id", "title", T.lines(F.coalesce("source", F.lit(""))).alias("lines"))
-    rows = rows.withColumn("segments", F.ceil(F.size("lines") / segment).cast("int"))
-    part = F.transform(F.sequence(F.lit(0), F.col("segments") - 1), lambda k: F.when(F.col("segments") == 1, F.col("lines")).otherwise(F.slice("lines", k * segment + 1, segment)))
-    rows = rows.select("book_id", "title", "segments", F.posexplode(part).alias("segment", "lines")).repartition("book_id", "segment")
-    rows = rows.select("book_id", "title", "segments", "segment", F.posexplode("lines").alias("at", "line"))
+    if whole:
+        rows = books.repartition("book_id").select("book_id", "title", F.lit(1).alias("segments"), F.lit(0).alias("segment"), F.posexplode(T.lines(F.coalesce("source", F.lit("")))).alias("at", "line"))
+    else:
+        rows = books.select("book_id", "title", T.lines(F.coalesce("source", F.lit(""))).alias("lines"))
+        rows = rows.withColumn("segments", F.ceil(F.size("lines") / segment).cast("int"))
+        part = F.transform(F.sequence(F.lit(0), F.col("segments") - 1), lambda k: F.when(F.col("segments") == 1, F.col("lines")).otherwise(F.slice("lines", k * segment + 1, segment)))
+        rows = rows.select("book_id", "title", "segments", F.posexplode(part).alias("segment", "lines")).repartition("book_id", "segment")
+        rows = rows.select("book_id", "title", "segments", "segment", F.posexplode("lines").alias("at", "line"))
     return rows.select("book_id", "title", "segments", "segment", (F.col("segment") * segment + F.col("at")).alias("idx"), T.trim("line").alias("text"), F.col("line").rlike(rf"^{T.SPACE}*\x{{3000}}").alias("indented"))
 
 
@@ -139,11 +149,14 @@ def _joined(rows: DataFrame) -> DataFrame:
     return known.join(counts.drop("n"), ["book_id", "segment"]).join(rest, ["book_id", "segment"], "left")
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
+def parse_lines(lines: DataFrame, whole: bool = False) -> DataFrame:
     """Blocks of the lines that source_lines gives."""
     text = F.col("text")
     rows = _shaped(lines)
-    rows = rows.join(_joined(rows.where("segments > 1")), ["book_id", "segment"], "left")
+    if whole:
+        rows = rows.withColumns({**{c: F.lit(None).cast("int") for c in ("first", "lo_before", "hi_after", "blocks_before")}, "rest": F.lit(None).cast("string")})
+    else:
+        rows = rows.join(_joined(rows.where("segments > 1")), ["book_id", "segment"], "left")
     rows = _runs(rows.withColumn("rule", _rule(text, ~F.col("indented"))))
     whole = Window.partitionBy("book_id", "segment", "island").orderBy("idx").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     rows = rows.withColumn("joined", F.when(F.col("in_verse"), F.array_join(F.collect_list(F.when(F.col("in_verse"), text)).over(whole), "\n")))
@@ -168,7 +181,8 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 def parse(books: DataFrame, segment: int = SEGMENT) -> DataFrame:
     """Blocks of books (book_id, title, source), in the columns of schemas.BLOCK; they don't depend on the size of segments."""
-    return parse_lines(source_lines(books, segment))
+    whole = fits(books, segment)
+    return parse_lines(source_lines(books, segment, whole), whole)
 
 
 def in_contents() -> Column:

@@ -20,6 +20,8 @@ ASKING = (
 )
 BREAKS = r"[，。？！、；：\s「」『』（）()？?!.,]+"
 TITLES, CONCEPTS, PER_CONCEPT, ENOUGH = 3, 3, 2, 5
+#: Grams up to which a text is searched for each, before its own are listed and joined; the rows are the same.
+FEW = 256
 
 
 def titles(question: Column) -> Column:
@@ -103,7 +105,12 @@ def holding(texts: DataFrame, terms: DataFrame) -> DataFrame:
     single = pieces.where(F.length("gram") == 1).limit(1).count() > 0
     own = T.grams(F.col("text"), 2, 1 if single else 2)
     wanted = pieces.select("gram").distinct()
-    had = settle(texts.select("id", F.explode(F.array_distinct(own)).alias("gram")).join(wanted, "gram", "left_semi"))
+    few = [r[0] for r in wanted.limit(FEW + 1).collect()]
+    if len(few) <= FEW:
+        had = texts.select("id", F.explode(F.filter(F.array(*map(F.lit, few)).cast("array<string>"), lambda g: F.contains("text", g))).alias("gram"))
+    else:
+        had = texts.select("id", F.explode(F.array_distinct(own)).alias("gram")).join(wanted, "gram", "left_semi")
+    had = settle(had)
     counts = had.groupBy("gram").agg(F.count("*").alias("n"))
     rarest = pieces.join(counts, "gram", "left").groupBy("term", "variant").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("r"))
     keys = rarest.where("r.n > 0").select("term", F.col("r.gram").alias("gram")).distinct()

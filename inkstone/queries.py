@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
-from inkstone.operators import behaviour, catalog, enrich, footnotes, paginate, parse, report, retrieve, search, tools
+from inkstone.operators import behaviour, catalog, enrich, footnotes, paginate, parse, report, retrieve, search, spans, tools
 from inkstone.sources import tables
 from inkstone.sources.grams import GramIndex
 from inkstone.sources.stage import fresh_path, settle, write_text
@@ -316,7 +316,8 @@ def paginate_books(spark, sf_dir):
 
 
 def volume_carry(spark, sf_dir):
-    return paginate.with_volume(_all_blocks(spark, sf_dir)).select("book_id", "block_id", "volume_block_id", "volume_title")
+    every = _all_books(spark, sf_dir)
+    return paginate.with_volume(parse.parse(every), whole=parse.fits(every, spans.SPAN)).select("book_id", "block_id", "volume_block_id", "volume_title")
 
 
 def toc_parent(spark, sf_dir):
@@ -336,7 +337,7 @@ def active_toc(spark, sf_dir):
 def _asked_pages(every, asks):
     """The pages, with their volumes, of the books that are asked for: only those are parsed."""
     wanted = settle(every.join(asks.select("book_id").distinct(), "book_id", "left_semi"))
-    blocks = settle(paginate.with_volume(parse.parse(wanted)))
+    blocks = settle(paginate.with_volume(settle(parse.parse(wanted))))
     return settle(paginate.pages(wanted, blocks))
 
 
@@ -371,7 +372,8 @@ def page_fetch_at(spark, sf_dir):
 
 
 def _scoped(spark, sf_dir):
-    return settle(footnotes.with_scope(_all_blocks(spark, sf_dir)).select("book_id", "scope", "block_seq", "block_id", "type", "content"))
+    every = _all_books(spark, sf_dir)
+    return settle(footnotes.with_scope(parse.parse(every), whole=parse.fits(every, spans.SPAN)).select("book_id", "scope", "block_seq", "block_id", "type", "content"))
 
 
 def footnote_refs(spark, sf_dir):

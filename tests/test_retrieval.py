@@ -145,8 +145,8 @@ def test_stream_ingest(spark, tmp_path):
     bodies.write.json(str(tmp_path / "in"))
     stream = spark.readStream.schema(bodies.schema).json(str(tmp_path / "in"))
     events.ingest(stream, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
-    assert sorted(r.event for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["page_view", "search", "share"]
-    query = events.windowed_counts(spark.readStream.schema(spark.read.parquet(str(tmp_path / "out")).schema).parquet(str(tmp_path / "out")))
+    assert sorted(r.event for r in behaviour.stored_events(spark, str(tmp_path / "out")).collect()) == ["page_view", "search", "share"]
+    query = events.windowed_counts(spark.readStream.schema(behaviour.stored_events(spark, str(tmp_path / "out")).schema).parquet(str(tmp_path / "out")))
     running = query.writeStream.format("memory").queryName("counts").outputMode("complete").start()
     running.processAllAvailable()
     running.stop()
@@ -205,7 +205,9 @@ def test_many_questions(spark, docs):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
-def test_terms_meet_texts_by_their_rarest_gram(spark):
+@pytest.mark.parametrize("few", [0, 2000])
+def test_terms_meet_texts_by_their_rarest_gram(spark, monkeypatch, few):
+    monkeypatch.setattr(retrieve, "FEW", few)
     rng = random.Random(2)
     text = lambda n: "".join(rng.choice("abc天 ") for _ in range(rng.randrange(n)))
     texts = [(str(i), rng.choice([None, "", text(30), text(30)])) for i in range(80)]
