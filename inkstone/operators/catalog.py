@@ -84,8 +84,10 @@ def with_position(rows: DataFrame, *order: Column) -> DataFrame:
 
 
 def rollup(entries: DataFrame) -> DataFrame:
-    """(name, count, subcategories) by category, in the fixed order, unknown names first."""
-    subs = F.array_sort(F.collect_set(F.when(F.col("subcategory") != "", F.col("subcategory"))))
+    """(name, count, subcategories: by sound) by category, in the fixed order, unknown names first."""
+    names = F.collect_set(F.when(F.col("subcategory") != "", F.col("subcategory")))
+    # By sound; the result is of plain texts again.
+    subs = F.transform(F.array_sort(F.transform(F.array_sort(names), lambda x: F.collate(x, "zh"))), lambda x: F.collate(x, "UTF8_BINARY"))
     rows = entries.groupBy(F.col("category").alias("name")).agg(F.count("*").alias("count"), subs.alias("subcategories"))
     return rows.orderBy(F.array_position(F.array(*map(F.lit, DIVISIONS)), F.col("name")), "name")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
@@ -56,6 +56,22 @@ def search(docs: DataFrame, variants: list[str], page: int = 1, size: int = 20)
     return shown(found.orderBy(*ranked(found)).offset(max(0, page - 1) * size).limit(size))
 
 
+def after(docs: DataFrame, variants: list[str], last: tuple[bool, int, int] | None = None, size: int = 20) -> tuple[DataFrame, Observation]:
+    """The page behind a cursor, the (title_hit, match_count, ord) of the last hit shown, and what will have counted all hits.
+
+    The cursor filters before the best are taken, so a page far back gathers one page of
+    rows.  The count ("total") is observed in the same pass and is there when the page is.
+    """
+    found = _located(docs, variants)
+    seen = Observation()
+    found = found.observe(seen, F.count("*").alias("total"))
+    if last is not None:
+        title, count, ord_ = (F.lit(x) for x in last)
+        same_title, same_count = F.col("title_hit") == title, F.col("match_count") == count
+        found = found.where((F.col("title_hit") < title) | (same_title & (F.col("match_count") < count)) | (same_title & same_count & (F.col("ord") > ord_)))
+    return shown(found.orderBy(*ranked(found)).limit(size)), seen
+
+
 def total(docs: DataFrame, variants: list[str]) -> DataFrame:
     return _located(docs, variants).agg(F.count("*").alias("total"))
 

@@ -165,7 +165,7 @@ TAGGED = f"list_filter([{', '.join(_TAG_CASES)}], lambda t: t IS NOT NULL)"
 _FILES = _values([(f,) for f in Q.FILES], "filename")
 
 
-def _named(supplement: str) -> str:
+def _named(supplement: str, files: str = _FILES) -> str:
     main = f"regexp_matches(filename, '{MAIN}')"
     extra = f"regexp_matches(filename, '{supplement}')"
     rest = f"CASE WHEN {main} THEN regexp_extract(filename, '{MAIN}', 3) WHEN {extra} THEN regexp_extract(filename, '{supplement}', 1) END"
@@ -173,7 +173,7 @@ def _named(supplement: str) -> str:
   CASE WHEN main THEN '正统道藏' WHEN extra THEN '续道藏' ELSE '其他' END AS collection, CASE WHEN main THEN regexp_extract(filename, '{MAIN}', 1) WHEN extra THEN '续道藏' ELSE '其他' END AS category,
   CASE WHEN main THEN regexp_extract(filename, '{MAIN}', 2) ELSE '' END AS subcategory,
   CASE WHEN signed THEN regexp_extract(rest, '{AUTHOR}', 2) || '-' || substr(rest, length(regexp_extract(rest, '{AUTHOR}', 1)) + 2) END AS author
-  FROM (SELECT *, coalesce(regexp_matches(rest, '{AUTHOR}'), false) AS signed FROM (SELECT filename, {main} AS main, {extra} AS extra, {rest} AS rest FROM {_FILES}))"""
+  FROM (SELECT *, coalesce(regexp_matches(rest, '{AUTHOR}'), false) AS signed FROM (SELECT filename, {main} AS main, {extra} AS extra, {rest} AS rest FROM {files}))"""
 
 
 _KNOWN = ", ".join(map(_str, EVENTS))
@@ -216,6 +216,11 @@ _SHARE = lambda a, b: f"CASE WHEN {b} > 0 THEN printf('%.2f%%', {a} / {b} * 100)
 
 SQL = {
     "catalog_rollup": f"WITH {E} SELECT category AS name, count(*) AS count, array_to_string(list_sort(list_distinct(list(subcategory) FILTER (subcategory <> ''))), ',') AS subcategories FROM e GROUP BY category",
+    "rollup_by_sound": f"WITH {E}, s AS (SELECT category, [{', '.join(map(_str, Q.SUBCATEGORIES))}][ord % {len(Q.SUBCATEGORIES)} + 1] AS sub FROM e) SELECT category AS name, n AS count, array_to_string(list_filter(['本文類', '表奏類', '方法類', '戒律類', '靈圖類', '譜錄類', '神符類', '威儀類', '玉訣類', '讚頌類', '眾術類'], lambda x: list_contains(subs, x)), ',') AS subcategories FROM (SELECT category, count(*) AS n, list(DISTINCT sub) AS subs FROM s GROUP BY category)",
+    "catalog_of_pages": rf"""WITH f AS (SELECT page_id, html, [{', '.join(map(_str, Q.FILES))}][page_id % {len(Q.FILES)} + 1] AS n FROM pages),
+h AS (SELECT CASE WHEN contains(n, '-') THEN split_part(n, '-', 1) || '-' || page_id || substr(n, strpos(n, '-') + 1) ELSE n || page_id END AS filename, html FROM f)
+SELECT substr(sha256(filename || '.txt'), 1, 16) AS id, title, collection, category, subcategory, author, filename || '.txt' AS filename, strlen(html)::BIGINT AS size, len(regexp_split_to_array(html, '\r?\n'))::INT AS line_count FROM h JOIN ({_named(SUPPLEMENT, "(SELECT filename FROM h)")}) USING (filename)""",
+    "jobs_of_orders": "WITH j AS (SELECT o_orderkey::VARCHAR AS id, o_custkey AS b, o_orderkey AS k, CASE WHEN o_orderkey % 5 = 0 THEN 'map' ELSE 'scene' END AS type, ['done', 'pending', 'processing', 'failed'][o_orderkey % 4 + 1] AS status, o_orderkey % 3 > 0 AS has FROM orders WHERE o_orderkey % 7 > 0) SELECT 'k' || o_orderkey AS block_id, id AS job_id, CASE WHEN id IS NULL THEN 'insert' WHEN status = 'done' AND has OR status IN ('pending', 'processing') THEN 'reuse' ELSE 'reject' END AS action FROM orders LEFT JOIN j ON b = o_custkey AND k = o_orderkey AND type = 'scene'",
     "catalog_summary": f"WITH {E} SELECT 2 AS version, count(*) AS total_entries, count(DISTINCT category) AS categories FROM e",
     "catalog_filter_page": f"WITH {E} SELECT id, title FROM e WHERE category = 'en' AND subcategory = 'src1' ORDER BY ord LIMIT 30",
     "catalog_metadata_search": f"WITH {E} SELECT id, title, author FROM e WHERE contains(lower(title), 'erst') OR coalesce(contains(lower(author), 'erst'), false) OR contains(lower(preview), 'erst') OR contains(lower(title), 'src1') OR coalesce(contains(lower(author), 'src1'), false) OR contains(lower(preview), 'src1')",
@@ -232,6 +237,7 @@ SQL = {
     "sitemap": f"WITH {E} SELECT * FROM (VALUES ('{Q.BASE}', 'monthly', 1.0::DOUBLE), ('{Q.BASE}/catalog', 'monthly', 0.9::DOUBLE), ('{Q.BASE}/search', 'monthly', 0.8::DOUBLE), ('{Q.BASE}/about', 'yearly', 0.5::DOUBLE)) v(url, change_frequency, priority) UNION ALL SELECT '{Q.BASE}/text/' || id, 'yearly', 0.6::DOUBLE FROM e",
     "fulltext_search": f"WITH {_hits(['eron', 'thth'])} SELECT id, title, matched_term, match_count, snippet, title_hit FROM hits ORDER BY title_hit DESC, match_count DESC, ord LIMIT 20",
     "fulltext_hits": f"WITH {_hits(['ción', 'ung'])} SELECT id, matched_term, pos, match_count, snippet, title_hit FROM hits",
+    "fulltext_after": f"WITH {_hits(['ción', 'ung'])} SELECT id, match_count, snippet, (SELECT count(*) FROM hits) AS total FROM hits ORDER BY title_hit DESC, match_count DESC, ord LIMIT 5 OFFSET 10",
     "fulltext_total": f"WITH {_hits(['ción', 'ung'])} SELECT count(*) AS total FROM hits",
     "indexed_hits": f"WITH {_hits(['ción', 'ung', '天地玄宗'], 'c')} SELECT id, matched_term, pos, match_count, snippet, title_hit FROM hits",
     "indexed_short": f"WITH {_hits(['囊', 'ß', 'qu'], 'c')} SELECT id, matched_term, pos, match_count, snippet, title_hit FROM hits",
@@ -396,3 +402,6 @@ s AS (SELECT job_id AS id, arg_max(status, {{'a': seen, 'p': patch_id}}) FILTER
 SELECT id, block_id, '源' || id AS source_text, coalesce(status, 'pending') AS status, error, image_url, made AS created_at, updated_at FROM j JOIN s USING (id)""",
     "store_events": f"WITH {_SENT}, {_BODIES} SELECT event, count(*) AS n FROM (SELECT event FROM r WHERE good UNION ALL SELECT event FROM own) GROUP BY event",
 }
+
+#: Pages written before give the same answers.
+SQL["served_fetch"] = SQL["page_fetch"]

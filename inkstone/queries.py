@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from inkstone.functions import text as T
 from inkstone.operators import behaviour, catalog, enrich, footnotes, paginate, parse, report, retrieve, search, spans, tools
+from inkstone.plans.book import compile_books
+from inkstone.plans.served import Served
 from inkstone.sources import tables
 from inkstone.sources.grams import GramIndex
 from inkstone.sources.stage import fresh_path, settle, write_text
@@ -139,6 +141,36 @@ def catalog_rollup(spark, sf_dir):
     return catalog.rollup(entries(spark, sf_dir)).select("name", "count", F.array_join("subcategories", ",").alias("subcategories"))
 
 
+#: Subcategories in no order; by sound they begin ben, biao, fang, jie, jì, ling, pu, shen, wei, yu, zan, zhong.
+SUBCATEGORIES = ("眾術類", "威儀類", "本文類", "譜錄類", "玉訣類", "", "神符類", "方法類", "讚頌類", "戒律類", "表奏類", "靈圖類")
+
+
+def rollup_by_sound(spark, sf_dir):
+    kind = F.get(F.array(*map(F.lit, SUBCATEGORIES)), F.pmod("ord", F.lit(len(SUBCATEGORIES))).cast("int"))
+    return catalog.rollup(entries(spark, sf_dir).withColumn("subcategory", kind)).select("name", "count", F.array_join("subcategories", ",").alias("subcategories"))
+
+
+def catalog_of_pages(spark, sf_dir):
+    """The catalog of raw pages, as files named by every rule."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    name = F.get(F.array(*map(F.lit, FILES)), F.pmod("page_id", F.lit(len(FILES))).cast("int"))
+    head = F.substring_index(name, "-", 1)
+    number = F.col("page_id").cast("string")
+    named = F.concat(F.when(F.contains(name, F.lit("-")), F.concat(head, F.lit("-"), number, F.substring(name, F.length(head) + 2, F.length(name)))).otherwise(F.concat(name, number)), F.lit(".txt"))
+    files = pages.select(named.alias("filename"), F.octet_length("html").cast("long").alias("size"), F.col("html").alias("content"))
+    return catalog.build(files).drop("ord", "preview")
+
+
+def jobs_of_orders(spark, sf_dir):
+    """Requests for illustrations against the jobs that orders stand for: some are there, in every state, some are not."""
+    n = F.col("o_orderkey")
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    state = F.when(n % 4 == 0, "done").when(n % 4 == 1, "pending").when(n % 4 == 2, "processing").otherwise("failed")
+    jobs = orders.where(n % 7 > 0).select(n.cast("string").alias("id"), F.col("o_custkey").cast("string").alias("book_id"), F.concat(F.lit("k"), n.cast("string")).alias("block_id"), F.when(n % 5 == 0, "map").otherwise("scene").alias("type"), state.alias("status"), F.when(n % 3 > 0, F.lit("/i")).when(n % 3 == 0, F.lit("")).alias("image_url"))
+    asks = orders.select(F.col("o_custkey").cast("string").alias("book_id"), F.concat(F.lit("k"), n.cast("string")).alias("block_id"), F.when(n % 2 == 0, "scene").alias("type"))
+    return behaviour.job_requests(asks, jobs).select("block_id", "job_id", "action")
+
+
 def catalog_summary(spark, sf_dir):
     return catalog.summary(entries(spark, sf_dir))
 
@@ -213,6 +245,17 @@ def fulltext_hits(spark, sf_dir):
     return search.hits(entries(spark, sf_dir), ["ción", "ung"]).select("id", "matched_term", "pos", "match_count", "snippet", "title_hit")
 
 
+def fulltext_after(spark, sf_dir):
+    """The third page, reached by the cursors of the pages before it, and the total that its pass observes."""
+    own, last, seen = entries(spark, sf_dir), None, None
+    for _ in range(3):
+        found, seen = search.after(own, ["ción", "ung"], last, 5)
+        page = settle(found)
+        end = page.orderBy(*search.ranked(page)).collect()[-1:]
+        last = (end[0].title_hit, end[0].match_count, end[0].ord) if end else last
+    return page.select("id", "match_count", "snippet", F.lit(seen.get["total"]).cast("long").alias("total"))
+
+
 def fulltext_total(spark, sf_dir):
     return search.total(entries(spark, sf_dir), ["ción", "ung"])
 
@@ -341,12 +384,24 @@ def _asked_pages(every, asks):
     return settle(paginate.pages(wanted, blocks))
 
 
+def _page_requests(every):
+    return every.select(F.concat(F.lit("r"), "book_id").alias("request_id"), "book_id", (F.length("book_id") * 2 - 3).alias("page_num"), F.when(F.col("book_id").endswith("5"), F.lit("x")).alias("volume"))
+
+
 def page_fetch(spark, sf_dir):
     every = books(spark, sf_dir)
-    asks = every.select(F.concat(F.lit("r"), "book_id").alias("request_id"), "book_id", (F.length("book_id") * 2 - 3).alias("page_num"), F.when(F.col("book_id").endswith("5"), F.lit("x")).alias("volume"))
+    asks = _page_requests(every)
     return paginate.fetch_page(_asked_pages(every, asks), asks)
 
 
+def served_fetch(spark, sf_dir):
+    """The same requests against pages that were written before, in buckets by book."""
+    every = books(spark, sf_dir)
+    store = Served(spark, fresh_path(spark, "served"), 8)
+    store.write(compile_books(every))
+    return store.fetch(_page_requests(every))
+
+
 def scroll_pages(spark, sf_dir):
     ev = _events(spark, sf_dir)
     total = F.pmod(F.col("event_id"), F.lit(9)).cast("int")
@@ -825,7 +880,7 @@ def queries() -> dict:
         user_lookups, registration, progress_lookup, scroll_share, job_lookups, question_references, query_as_typed,
         chapter, tool_calls, footnote_bodies, footnote_segments, footnote_display, url_parts,
         store_progress, store_quota, store_users, store_jobs, store_events,
-        indexed_hits, indexed_short, indexed_page, indexed_metadata,
+        indexed_hits, indexed_short, indexed_page, indexed_metadata, fulltext_after, rollup_by_sound, catalog_of_pages, jobs_of_orders, served_fetch,
     )
     return {f.__name__: f for f in found}
 
