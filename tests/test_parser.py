@@ -129,6 +129,20 @@ def test_every_line_with_text_is_in_one_block(spark):
     assert spans == lines
 
 
+def test_more_text_is_parsed_by_more_tasks(spark, monkeypatch):
+    """What a task sorts doesn't grow with the input, and the blocks are the same."""
+    books = Q.books(spark, "/root/testdata/sf0.001")
+    chars = books.agg(F.sum(F.length("source") + F.length("title"))).head()[0]
+    shape = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    before = shape(parse.parse(books))
+    monkeypatch.setattr(parse, "SHARE", chars // 30, raising=False)
+    for segment in (parse.SEGMENT, 20):
+        found = parse.parse(books, segment)
+        assert shape(found) == before
+        if segment == parse.SEGMENT:
+            assert found.rdd.getNumPartitions() >= 30
+
+
 def pages_model(blocks):
     out, start, chars = [], 0, 0
     for i, (n, head) in enumerate(blocks):
