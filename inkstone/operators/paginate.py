@@ -97,9 +97,10 @@ def assign_pages(blocks: DataFrame, reach: int = REACH) -> DataFrame:
 def pages(books: DataFrame, blocks: DataFrame) -> DataFrame:
     """(book_id, page_index, start_block, end_block, block_ids, char_count); a book without blocks has one empty page.
 
-    Where blocks tell their volume, so does a page, that of its first block.
+    Where blocks tell their volume, so does a page, that of its first block.  Blocks that
+    tell their page are taken by it.
     """
-    paged = assign_pages(blocks)
+    paged = blocks if "page_index" in blocks.columns else assign_pages(blocks)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("block_seq", "block_id"))), lambda x: x["block_id"])
     volume = [F.min_by("volume_block_id", "block_seq").alias("volume_block_id")] if "volume_block_id" in blocks.columns else []
     found = paged.groupBy("book_id", "page_index").agg(F.min("block_seq").alias("start_block"), F.max("block_seq").alias("end_block"), ids.alias("block_ids"), F.sum(F.length("content")).alias("char_count"), *volume)

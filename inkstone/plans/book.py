@@ -41,6 +41,7 @@ def compile_books(books: DataFrame, overrides: DataFrame | None = None, illustra
         shown = settle(shown)
     # Positions move when illustrations are injected; ids do not.
     toc = heads if illustrations is None else heads.drop("block_seq").join(shown.select("book_id", "block_id", "block_seq"), ["book_id", "block_id"]).select(*heads.columns)
-    paged = paginate.assign_pages(shown)
-    volumes = paginate.with_volume(shown)
-    return Books(raw, shown, toc, paged, paginate.pages(books, volumes), volumes)
+    # Pages are cut once, for the blocks and for the table of pages.
+    volumes = settle(paginate.assign_pages(paginate.with_volume(shown)))
+    paged = volumes.select(*shown.columns, "page_index")
+    return Books(raw, shown, toc, paged, paginate.pages(books, volumes), volumes.drop("page_index"))

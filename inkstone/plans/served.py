@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkstone.operators import paginate
+from inkstone.operators.parse import SHARE
 from inkstone.plans.book import Books
 from inkstone.schemas import BLOCK
 
@@ -33,11 +34,17 @@ class Served:
         return f"served_{hashlib.sha256(self.path.encode()).hexdigest()[:16]}_{kind}"
 
     def write(self, made: Books) -> None:
-        """The tables of compiled books, in place of those that are there."""
+        """The tables of compiled books, in place of those that are there.
+
+        The more text, the more tasks share a bucket: their number is a multiple of the
+        buckets', so each writes one file of one bucket.
+        """
+        chars = made.blocks.agg(F.sum(F.length("content"))).head()[0] or 0
+        tasks = self.buckets * max(1, -(-chars // (SHARE * self.buckets)))
         for kind, rows in (("pages", made.pages), ("blocks", made.paged), ("toc", made.toc)):
             columns = [c.split()[0] for c in SCHEMAS[kind].split(", ")]
             self.spark.sql(f"DROP TABLE IF EXISTS {self._name(kind)}")
-            rows.select(columns).repartition(self.buckets, "book_id").write.mode("overwrite").bucketBy(self.buckets, "book_id").sortBy("book_id").option("path", f"{self.path}/{kind}").saveAsTable(self._name(kind))
+            rows.select(columns).repartition(tasks, "book_id").write.mode("overwrite").bucketBy(self.buckets, "book_id").sortBy("book_id").option("path", f"{self.path}/{kind}").saveAsTable(self._name(kind))
 
     def table(self, kind: str) -> DataFrame:
         if not self.spark.catalog.tableExists(self._name(kind)):

@@ -7,6 +7,7 @@ import pytest
 from inkstone import queries as Q
 from inkstone.operators import paginate, parse
 from inkstone.plans.book import compile_books
+from inkstone.plans import served as served_plan
 from inkstone.plans.served import Served
 
 
@@ -67,3 +68,21 @@ def test_another_session_opens_the_tables(spark, served):
         spark.sql(f"DROP TABLE {store._name(kind)}")
     assert Served(spark, store.path, buckets=8).contents().count() == served[2].select("book_id").distinct().count()
     assert parse.parse(served[2].where("book_id = 'f1'")).count() == store.table("blocks").where("book_id = 'f1'").count()
+
+
+def test_pages_are_cut_once(spark, monkeypatch):
+    calls, cut = [], paginate.page_starts
+    monkeypatch.setattr(paginate, "page_starts", lambda *a, **k: calls.append(a) or cut(*a, **k))
+    compile_books(Q.fixture_books(spark))
+    assert len(calls) == 1
+
+
+def test_more_text_is_written_by_more_tasks(spark, served, tmp_path, monkeypatch):
+    """Several tasks share a bucket, and what is read is the same."""
+    monkeypatch.setattr(served_plan, "SHARE", 20_000, raising=False)
+    _, made, _ = served
+    store = Served(spark, f"file://{tmp_path}/served", buckets=2)
+    store.write(made)
+    assert len(list((tmp_path / "served" / "blocks").glob("*.parquet"))) > 2
+    assert rows(store.contents()) == rows(paginate.toc_answer(made.toc, made.pages))
+    assert rows(store.page("7", 1)) == rows(made.paged.where("book_id = '7' and page_index = 0"))
