@@ -11,7 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from inkstone.operators import enrich, paginate, parse
+from inkstone.operators import enrich, paginate, parse, spans
 from inkstone.sources.stage import settle
 
 
@@ -34,8 +34,9 @@ def compile_books(books: DataFrame, overrides: DataFrame | None = None, illustra
     corrections, as the report and the review queue need it.
     """
     raw = settle(parse.parse(books))
-    fixed = raw if overrides is None else enrich.apply_overrides(raw, overrides)
-    shown = fixed if illustrations is None else enrich.inject_illustrations(fixed, illustrations)
+    tasks = None if overrides is illustrations is None else spans.measured(raw)[1]
+    fixed = raw if overrides is None else enrich.apply_overrides(raw, overrides, tasks)
+    shown = fixed if illustrations is None else enrich.inject_illustrations(fixed, illustrations, tasks)
     heads = parse.table_of_contents(fixed)
     if shown is not raw:
         shown = settle(shown)
