@@ -37,7 +37,7 @@ def below(text, node):
     return [int(re.search(r"Exchange hashpartitioning\(.*, (\d+)\)", text[m.start() :])[1]) for m in re.finditer(rf"\b{node}\b", text)]
 
 
-@pytest.mark.parametrize("query,nodes", [("overrides_applied", ["SortMergeJoin"]), ("illustration_injection", ["SortMergeJoin", "Window"])])
+@pytest.mark.parametrize("query,nodes", [("overrides_applied", ["SortMergeJoin"]), ("illustration_injection", ["SortMergeJoin", "Window"]), ("review_queue", ["SortMergeJoin", "Window"])])
 def test_what_is_laid_over_blocks_is_dealt_by_text(spark, plans, query, nodes):
     text = plan(Q.queries()[query](spark, SF))
     want = spans.measured(parse.parse(Q.books(spark, SF).unionByName(Q.fixture_books(spark))))[1]
