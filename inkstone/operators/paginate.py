@@ -15,7 +15,7 @@ TARGET, MOST = 1400, 2200
 REACH = 400_000
 
 
-def _next_starts(blocks: DataFrame, reach: int, whole: bool) -> DataFrame:
+def _next_starts(blocks: DataFrame, reach: int, whole: bool, tasks: int) -> DataFrame:
     """(book_id, part, block_seq, next): where the page that a block starts ends, the next page's first block.
 
     That depends on the characters from the block on alone: the next heading with which they
@@ -26,13 +26,13 @@ def _next_starts(blocks: DataFrame, reach: int, whole: bool) -> DataFrame:
     """
     head = F.col("type").isin("heading", "subheading")
     rows = blocks.select("book_id", "block_seq", F.length("content").cast("long").alias("n"), head.alias("head"))
-    rows = spans.sum_before(rows, "book_id", "block_seq", "at", F.col("n"), whole=whole)
+    rows = spans.sum_before(rows, "book_id", "block_seq", "at", F.col("n"), whole=whole, tasks=tasks)
     part = F.floor(F.col("at") / reach).cast("long")
     halo = F.floor(F.greatest(F.lit(0), F.col("at") - MOST) / reach).cast("long")
     rows = rows.withColumns({"own": part, "halo": halo})
     long = rows.where(F.col("n") > MOST).select("book_id", (F.col("block_seq") + 1).alias("block_seq"), F.col("own").alias("part"))
-    behind = rows.join(long, ["book_id", "block_seq"]).where(F.col("part") < F.col("halo"))
-    rows = rows.select("*", F.explode(F.sequence("halo", "own")).alias("part")).unionByName(behind)
+    behind = rows.join(spans.dealt(long, tasks, "book_id", "block_seq"), ["book_id", "block_seq"]).where(F.col("part") < F.col("halo"))
+    rows = spans.dealt(rows.select("*", F.explode(F.sequence("halo", "own")).alias("part")).unionByName(behind), tasks, "book_id", "part")
     # Each block is a place where a page can start, and one where the characters before the next block are reached.
     start = F.struct(F.col("at").alias("x"), F.lit(None).cast("int").alias("reached"), F.lit(None).cast("int").alias("reached_head"))
     point = F.struct((F.col("at") + F.col("n")).alias("x"), F.col("block_seq").alias("reached"), F.when(F.col("head"), F.col("block_seq")).alias("reached_head"))
@@ -56,22 +56,32 @@ def _walk(steps: Column, start: Column) -> Column:
     return F.aggregate(steps, none, lambda a, x: F.when(x["block_seq"] == a["next"], F.struct(F.concat(a["places"], F.array(x["block_seq"])).alias("places"), x["next"].alias("next"))).otherwise(a))
 
 
-def page_starts(blocks: DataFrame, reach: int = REACH, whole: bool | None = None) -> DataFrame:
+def page_starts(blocks: DataFrame, reach: int = REACH, whole: bool | None = None, tasks: int | None = None) -> DataFrame:
     """(book_id, block_seq) of the first block of every page.
 
-    Inside a part the starts are a walk along _next_starts.  Where a book has several parts,
+    Inside a part the starts are a walk along _next_starts, and a book of one part is that
+    walk from its first block.  Where a book has several parts,
     each is walked from every block that an earlier part can lead to, a few at its beginning,
     and pointers from part to part are doubled until all that a book's first block leads to
     are known: as many joins as the logarithm of the parts, over a row for each such block.
     """
-    nexts = settle(_next_starts(blocks, reach, spans.fits(blocks, "block_seq", whole=whole)))
-    parts = nexts.groupBy("book_id", "part").agg(F.array_sort(F.collect_list(F.struct("block_seq", "next"))).alias("steps"))
-    last = nexts.groupBy("book_id", "part").agg(F.max("block_seq").alias("hi"))
-    begin = nexts.groupBy("book_id").agg(F.min("block_seq").alias("entry"))
-    crossing = nexts.join(last, ["book_id", "part"]).where(F.col("next") > F.col("hi"))
-    entries = begin.unionByName(crossing.select("book_id", F.col("next").alias("entry"))).distinct()
-    lead = nexts.select("book_id", "part", F.col("block_seq").alias("entry")).join(entries, ["book_id", "entry"])
-    walked = lead.join(parts, ["book_id", "part"]).select("book_id", "entry", _walk(F.col("steps"), F.col("entry")).alias("w"))
+    if whole is None or tasks is None:
+        whole, tasks = spans.measured(blocks)
+    steps = F.array_sort(F.collect_list(F.struct("block_seq", "next")))
+    parts = _next_starts(blocks, reach, whole, tasks).groupBy("book_id", "part").agg(steps.alias("steps"))
+    book, end = Window.partitionBy("book_id"), lambda k: F.element_at("steps", k)["block_seq"]
+    parts = spans.dealt(parts.withColumns({"lo": end(1), "hi": end(-1)}), tasks, "book_id")
+    parts = settle(parts.withColumns({"n": F.count("*").over(book), "begin": F.min("lo").over(book)}))
+    alone = parts.where("n = 1").select("book_id", F.explode(_walk(F.col("steps"), F.col("lo"))["places"]).alias("block_seq"))
+    parts = parts.where("n > 1")
+    if parts.isEmpty():
+        return alone
+    nexts = parts.select("book_id", "part", F.explode("steps.block_seq").alias("entry"))
+    begin = parts.select("book_id", F.col("begin").alias("entry")).distinct()
+    out = F.array_distinct(F.filter("steps.next", lambda x: x > F.col("hi")))
+    entries = begin.unionByName(parts.select("book_id", F.explode(out).alias("entry"))).distinct()
+    lead = nexts.join(spans.dealt(entries, tasks, "book_id", "entry"), ["book_id", "entry"])
+    walked = lead.join(parts.select("book_id", "part", "steps"), ["book_id", "part"]).select("book_id", "entry", _walk(F.col("steps"), F.col("entry")).alias("w"))
     walked = settle(walked.select("book_id", "entry", "w.places", F.col("w.next").alias("to")))
     reached = begin
     # The last page of a book leads nowhere.
@@ -82,16 +92,20 @@ def page_starts(blocks: DataFrame, reach: int = REACH, whole: bool | None = None
         far = hops.select("book_id", F.col("entry").alias("to"), F.col("to").alias("_far"))
         hops = settle(hops.join(far, ["book_id", "to"]).select("book_id", "entry", F.col("_far").alias("to")))
         more = settle(reached.join(hops, ["book_id", "entry"]).select("book_id", F.col("to").alias("entry")).join(reached, ["book_id", "entry"], "left_anti").distinct())
-    return walked.join(reached, ["book_id", "entry"]).select("book_id", F.explode("places").alias("block_seq"))
+    return alone.unionByName(walked.join(reached, ["book_id", "entry"]).select("book_id", F.explode("places").alias("block_seq")))
 
 
-def assign_pages(blocks: DataFrame, reach: int = REACH) -> DataFrame:
-    """blocks with page_index (0-based)."""
-    whole = spans.fits(blocks, "block_seq")
-    starts = page_starts(blocks, reach, whole).withColumn("_start", F.lit(1))
-    rows = blocks.join(starts, ["book_id", "block_seq"], "left")
-    rows = spans.sum_before(rows, "book_id", "block_seq", "page_index", F.coalesce("_start", F.lit(0)), here=True, whole=whole)
-    return rows.withColumn("page_index", (F.col("page_index") - 1).cast("int")).select(*blocks.columns, "page_index")
+def assign_pages(blocks: DataFrame, reach: int = REACH, rows: DataFrame | None = None) -> DataFrame:
+    """blocks with page_index (0-based); rows: what of the blocks is wanted, if not all.
+
+    The page starts are laid between the blocks and counted, so blocks are dealt once, by book.
+    """
+    rows = blocks if rows is None else rows
+    whole, tasks = spans.measured(blocks)
+    starts = page_starts(blocks, reach, whole, tasks).withColumn("_start", F.lit(1))
+    both = rows.withColumn("_start", F.lit(0)).unionByName(starts, allowMissingColumns=True)
+    both = spans.sum_before(both, "book_id", "block_seq", "page_index", F.col("_start"), here=True, whole=whole, tasks=tasks)
+    return both.where("_start = 0").withColumn("page_index", (F.col("page_index") - 1).cast("int")).select(*rows.columns, "page_index")
 
 
 def pages(books: DataFrame, blocks: DataFrame) -> DataFrame:
@@ -100,34 +114,38 @@ def pages(books: DataFrame, blocks: DataFrame) -> DataFrame:
     Where blocks tell their volume, so does a page, that of its first block.  Blocks that
     tell their page are taken by it.
     """
-    paged = blocks if "page_index" in blocks.columns else assign_pages(blocks)
+    told = [c for c in ("volume_block_id", "page_index") if c in blocks.columns]
+    rows = blocks.select("book_id", "block_seq", "block_id", F.length("content").alias("_chars"), *told)
+    paged = rows if "page_index" in told else assign_pages(blocks, rows=rows)
     ids = F.transform(F.array_sort(F.collect_list(F.struct("block_seq", "block_id"))), lambda x: x["block_id"])
     volume = [F.min_by("volume_block_id", "block_seq").alias("volume_block_id")] if "volume_block_id" in blocks.columns else []
-    found = paged.groupBy("book_id", "page_index").agg(F.min("block_seq").alias("start_block"), F.max("block_seq").alias("end_block"), ids.alias("block_ids"), F.sum(F.length("content")).alias("char_count"), *volume)
+    found = paged.groupBy("book_id", "page_index").agg(F.min("block_seq").alias("start_block"), F.max("block_seq").alias("end_block"), ids.alias("block_ids"), F.sum("_chars").alias("char_count"), *volume)
     zero = lambda name, kind="int": F.coalesce(name, F.lit(0)).cast(kind).alias(name)
     rows = books.select("book_id").distinct().join(found, "book_id", "left")
     return rows.select("book_id", zero("page_index"), zero("start_block"), zero("end_block"), F.coalesce("block_ids", F.array().cast("array<string>")).alias("block_ids"), zero("char_count", "bigint"), *(["volume_block_id"] if volume else []))
 
 
-def with_volume(blocks: DataFrame, whole: bool | None = None) -> DataFrame:
+def with_volume(blocks: DataFrame, whole: bool | None = None, tasks: int | None = None) -> DataFrame:
     """blocks with the volume they stand in: the last contents item of level 2 so far, else the first of level 1.
 
     What is a contents item shows in the block itself, so nothing is joined.
     """
     at = lambda level, value: F.when(in_contents() & (F.coalesce("level", F.lit(3)) == level), value)
     both = F.struct("block_id", "content")
-    rows = spans.seen(blocks, "book_id", "block_seq", {"_two": at(2, both)}, {"_one": at(1, both)}, whole=whole)
+    if whole is None:
+        whole, tasks = spans.measured(blocks)
+    rows = spans.seen(blocks, "book_id", "block_seq", {"_two": at(2, both)}, {"_one": at(1, both)}, whole=whole, tasks=tasks)
     here = F.coalesce("_two", "_one")
     return rows.select(*blocks.columns, here["block_id"].alias("volume_block_id"), here["content"].alias("volume_title"))
 
 
-def enrich_toc(toc: DataFrame, paged: DataFrame) -> DataFrame:
+def enrich_toc(toc: DataFrame, paged: DataFrame, tasks: int | None = None) -> DataFrame:
     """Contents items with page_index (0-based, 0 if unknown) and page_id (1-based)."""
-    rows = toc.join(paged.select("book_id", "block_id", "page_index"), ["book_id", "block_id"], "left")
+    rows = spans.dealt(toc, tasks, "book_id", "block_id").join(paged.select("book_id", "block_id", "page_index"), ["book_id", "block_id"], "left")
     return rows.withColumn("page_index", F.coalesce("page_index", F.lit(0))).withColumn("page_id", F.col("page_index") + 1)
 
 
-def active_item(page_rows: DataFrame, toc: DataFrame) -> DataFrame:
+def active_item(page_rows: DataFrame, toc: DataFrame, tasks: int | None = None) -> DataFrame:
     """(book_id, page_index, active_block_id): the last contents item at or before a page's start, else the first."""
     marks = toc.select("book_id", F.col("block_seq").alias("at"), "block_id", F.lit(None).cast("int").alias("page_index"))
     asks = page_rows.select("book_id", F.col("start_block").alias("at"), F.lit(None).cast("string").alias("block_id"), "page_index")
@@ -135,7 +153,7 @@ def active_item(page_rows: DataFrame, toc: DataFrame) -> DataFrame:
     so_far = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     found = F.coalesce(F.last("block_id", ignorenulls=True).over(so_far), F.first("block_id", ignorenulls=True).over(whole))
-    return marks.unionByName(asks).withColumn("active_block_id", found).where("page_index is not null").select("book_id", "page_index", "active_block_id")
+    return spans.dealt(marks.unionByName(asks), tasks, "book_id").withColumn("active_block_id", found).where("page_index is not null").select("book_id", "page_index", "active_block_id")
 
 
 def toc_parents(toc: DataFrame) -> DataFrame:

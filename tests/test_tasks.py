@@ -46,7 +46,17 @@ def test_what_is_laid_over_blocks_is_dealt_by_text(spark, plans, query, nodes):
         assert (got := below(text, node)) and set(got) == {want}, node
 
 
-@pytest.mark.parametrize("query", ["overrides_applied"])
+@pytest.mark.parametrize("query", ["page_of_block", "paginate_books", "toc_answers"])
+def test_pages_are_cut_by_tasks_in_proportion(spark, plans, query):
+    last = plan(Q.queries()[query](spark, SF))
+    want = spans.measured(parse.parse(Q.books(spark, SF).unionByName(Q.fixture_books(spark))))[1]
+    # The first plan is the parser's.
+    for text in [*plans[1:], last]:
+        assert set(below(text, "Window")) <= {want}
+    assert any(below(text, "Window") for text in plans[1:]) and below(last, "Window")
+
+
+@pytest.mark.parametrize("query", ["overrides_applied", "paginate_books"])
 def test_contents_that_nobody_asks_for_are_not_sent(spark, plans, query):
     """Keys and lengths are made before rows are exchanged."""
     sent = re.findall(r"\) Exchange\nInput \[\d+\]: \[(.*)\]", plan(Q.queries()[query](spark, SF), "formatted"))
