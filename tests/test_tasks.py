@@ -56,6 +56,12 @@ def test_pages_are_cut_by_tasks_in_proportion(spark, plans, query):
     assert any(below(text, "Window") for text in plans[1:]) and below(last, "Window")
 
 
+def test_active_items_are_found_by_tasks_in_proportion(spark, plans):
+    last = plan(Q.active_toc(spark, SF))
+    want = spans.measured(parse.parse(Q.books(spark, SF).unionByName(Q.fixture_books(spark))))[1]
+    assert set(below(last, "Window")) == {want}
+
+
 @pytest.mark.parametrize("query", ["overrides_applied", "paginate_books"])
 def test_contents_that_nobody_asks_for_are_not_sent(spark, plans, query):
     """Keys and lengths are made before rows are exchanged."""
