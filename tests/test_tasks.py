@@ -62,6 +62,15 @@ def test_active_items_are_found_by_tasks_in_proportion(spark, plans):
     assert set(below(last, "Window")) == {want}
 
 
+@pytest.mark.parametrize("query", ["page_fetch", "page_fetch_at"])
+def test_books_that_are_asked_for_are_dealt_by_text(spark, plans, query):
+    Q.queries()[query](spark, SF)
+    want = parse.measured(Q.books(spark, SF))[1]
+    assert want > 8 and below(plans[0], "SortMergeJoin") == [want]
+    # Volumes are found where books were parsed: blocks are written once, then pages.
+    assert len([p for p in plans if "rlike" in p.lower()]) == 1
+
+
 @pytest.mark.parametrize("query", ["overrides_applied", "paginate_books"])
 def test_contents_that_nobody_asks_for_are_not_sent(spark, plans, query):
     """Keys and lengths are made before rows are exchanged."""
